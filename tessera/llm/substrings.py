@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, discard, materialise, partitions, texts
 
 #: The filter of shared minimisers has at most so many bits (32 MB): a proven bound for what is broadcast.
 FILTER_BITS = 28
-#: A minimiser of more super-k-mers than this, and than a thousandth of all, is hot: at most 1,000 are.
+#: A minimiser of more super-k-mers than this, and than a thousandth of all, is hot (at most 1,000 are) and goes in parts.
 HOT = 2000
 
 
@@ -32,23 +34,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def minimisers(words: list[bytes], window: int, gram: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(value, first, last)`` of each run of consecutive windows with the same minimiser, the least hash of the
-    ``gram``-word runs in a window; ``first`` and ``last`` are window starts."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-    h = np.array([hashes[w] for w in words], np.uint64)
+def minimisers(docs: list[list[bytes]], window: int, gram: int, hashes: _Hashes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each document ``(value, first, last)`` of every run of consecutive windows with the same minimiser, the
+    least hash of the ``gram``-word runs in a window; ``first`` and ``last`` are window starts. All documents are one
+    array here, whose windows across a border are left out."""
+    sizes = np.array([len(d) for d in docs])
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(docs)), np.uint64, int(sizes.sum()))
+    begin, windows = np.cumsum(sizes) - sizes, np.maximum(sizes - window + 1, 0)
+    out = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))] * len(docs)
+    if not windows.any():
+        return out
     g = h[: len(h) - gram + 1].copy()
     for k in range(1, gram):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - gram + 1 + k]
+        g *= np.uint64(0x9E3779B97F4A7C15)
+        g += h[k : len(h) - gram + 1 + k]
     least, span, width = _mix(g), 1, window - gram + 1
     while span * 2 <= width:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
     if span < width:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return least[first], first, np.concatenate([first[1:] - 1, [n - 1]])
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    for i in np.flatnonzero(windows):
+        b, n = int(begin[i]), int(windows[i])
+        new[b] = True
+        first = np.flatnonzero(new[b : b + n])
+        out[i] = (least[b + first], first, np.append(first[1:], n) - 1)
+    return out
 
 
 def _spots(mini, bits: int):
@@ -78,32 +90,48 @@ def _runs(batch, window: int, gram: int, hashes: _Hashes):
     """For each document of a batch with a known id and a window: ``(doc_id, tid, words, minis, first, last)``."""
     import zlib
 
+    held, size = [], 0
+
+    def flush():
+        for (doc, tid, words), (mini, first, last) in zip(held, minimisers([x[2] for x in held], window, gram, hashes)):
+            yield doc, tid, words, mini.view(np.int64), first, last
+
     for doc, text in zip(batch.column(0).to_pylist(), texts(batch)):
         words = text.split()
         if doc is not None and len(words) >= window:
-            mini, first, last = minimisers(words, window, gram, hashes)
-            yield doc, zlib.crc32(text) - (1 << 31), words, mini.view(np.int64), first, last
+            held.append((doc, zlib.crc32(text) - (1 << 31), words))
+            size += len(words)
+            if size > 100_000:
+                yield from flush()
+                held, size = [], 0
+    yield from flush()
 
 
 def _groups(batches):
-    """Runs of rows with the same minimiser, of sorted Arrow batches, that hold more than one document."""
+    """Runs of rows with the same minimiser and salt, of sorted Arrow batches, that hold more than one document or are
+    part of a hot minimiser's."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-        mini, doc = table.column("mini").to_numpy(), table.column("doc_id").to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(mini[1:] != mini[:-1]) + 1])
+        mini, salt, doc = (table.column(c).to_numpy() for c in ("mini", "salt", "doc_id"))
+        edges = np.concatenate([[0], np.flatnonzero((mini[1:] != mini[:-1]) | (salt[1:] != salt[:-1])) + 1])
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if doc[x] != doc[y - 1]:
+            if doc[x] != doc[y - 1] or salt[x]:
                 yield table.slice(x, y - x)
         rest = table.slice(edges[-1]).combine_chunks() if table.num_rows else None
-    if rest is not None and rest.num_rows and rest.column("doc_id")[0] != rest.column("doc_id")[-1]:
+    if rest is not None and rest.num_rows:
         yield rest
 
 
 def _repeats(group, window: int):
-    """Rows ``(doc_id, tid, start, stop)``: runs of window starts whose words also start in a smaller document of the
-    group. The windows are sorted by their words and then by document, so equal ones are neighbours."""
+    """Rows ``(doc_id, tid, start, stop, digest)``: runs of window starts whose words also start in a smaller document
+    of the group. The windows are sorted by their words and then by document, so equal ones are neighbours. A part of
+    a hot minimiser's group also gives, with its digest, each window of the least document here that has it: whether
+    another part has a smaller one is left to tell."""
+    import hashlib
+
     docs, tids, starts = (group.column(c).to_pylist() for c in ("doc_id", "tid", "start"))
+    part = group.column("salt")[0].as_py() > 0
     windows = []
     for row, packed in enumerate(group.column("packed").to_pylist()):
         words = packed.split(b" ")
@@ -114,13 +142,16 @@ def _repeats(group, window: int):
     for text, doc, row, k in windows:
         if text != head:
             head, least = text, doc
-        elif doc > least:
+            digest = hashlib.blake2b(text, digest_size=16).digest() if part else None
+        if doc > least:
             marks.setdefault(row, []).append(k)
+        elif part:
+            yield doc, tids[row], starts[row] + k, starts[row] + k + 1, digest
     for row, ks in marks.items():
         ks = np.sort(np.array(ks)) + starts[row]
         cut = np.flatnonzero(np.diff(ks) != 1) + 1
-        for part in np.split(ks, cut):
-            yield docs[row], tids[row], int(part[0]), int(part[-1]) + 1
+        for run in np.split(ks, cut):
+            yield docs[row], tids[row], int(run[0]), int(run[-1]) + 1, None
 
 
 def _batch(rows: list, names: list[str], types: list):
@@ -150,58 +181,52 @@ def repeated_ranges(docs: DataFrame, window: int = 50, gram: int = 8, hot_from:
     counts = docs.mapInArrow(survey, "mini long, lo long, hi long, n long").groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     shared = materialise(counts.where("lo < hi").select("mini", "n"), "shared")
     total, n_shared = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = [r.mini for r in shared.where(F.col("n") > max(hot_from, total / 1000)).select("mini").collect()]
+    most = max(hot_from, total / 1000)
+    hot = shared.where(F.col("n") > most).select("mini", F.ceil(F.col("n") / most).cast("long").alias("parts")).orderBy("mini").toArrow()
     bits, words = _shared_filter(shared, n_shared)
-    sent = spark.sparkContext.broadcast((bits, words, np.array(sorted(hot), np.int64)))
+    sent = spark.sparkContext.broadcast((bits, words, hot.column("mini").to_numpy(), hot.column("parts").to_numpy()))
     discard(shared)
 
-    names, types = ["mini", "doc_id", "tid", "start", "packed"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names, types = ["mini", "salt", "doc_id", "tid", "start", "packed"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def pack(batches):
-        hashes, (bits, filt, hot) = _Hashes(), sent.value
+        hashes, (bits, filt, hot, parts) = _Hashes(), sent.value
         for b in batches:
             rows = []
             for doc, tid, words, mini, first, last in _runs(b, window, gram, hashes):
                 ok = _passes(mini, bits, filt)
-                if len(hot):
-                    ok &= ~np.isin(mini, hot)
-                rows += [(m, doc, tid, x, b" ".join(words[x : y + window])) for m, x, y in zip(mini[ok].tolist(), first[ok].tolist(), last[ok].tolist())]
+                mini, first, last = mini[ok], first[ok], last[ok]
+                salt = np.zeros(len(mini), np.int64)
+                if len(hot) and len(mini):  # a hot minimiser's super-k-mers are dealt out by document
+                    at = np.minimum(np.searchsorted(hot, mini), len(hot) - 1)
+                    salt = np.where(hot[at] == mini, hash((doc, 11)) % parts[at] + 1, 0)
+                rows += [(m, s, doc, tid, x, b" ".join(words[x : y + window])) for m, s, x, y in zip(mini.tolist(), salt.tolist(), first.tolist(), last.tolist())]
                 if len(rows) > 20_000:
                     yield _batch(rows, names, types)
                     rows = []
             yield _batch(rows, names, types)
 
+    out_names, out_types = ["doc_id", "tid", "start", "stop", "digest"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
     def sort_and_count(batches):
         rows = []
         for group in _groups(batches):
-            rows += _repeats(group, window)
-            if len(rows) > 20_000:
-                yield _batch(rows, ["doc_id", "tid", "start", "stop"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
-                rows = []
-        yield _batch(rows, ["doc_id", "tid", "start", "stop"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()])
-
-    packed = docs.mapInArrow(pack, "mini long, doc_id long, tid int, start int, packed binary")
-    packed = packed.repartition(partitions(spark), "mini").sortWithinPartitions("mini", "doc_id")
-    found = packed.mapInArrow(sort_and_count, "doc_id long, tid int, start int, stop int")
-    if not hot:
-        return found
-
-    def digests(batches):
-        import hashlib
-
-        hashes, (_, _, hot) = _Hashes(), sent.value
-        for b in batches:
-            rows = []
-            for doc, tid, words, mini, first, last in _runs(b, window, gram, hashes):
-                for k in np.flatnonzero(np.isin(mini, hot)).tolist():
-                    rows += [(hashlib.blake2b(b" ".join(words[x : x + window]), digest_size=16).digest(), doc, tid, x) for x in range(first[k], last[k] + 1)]
-            yield _batch(rows, ["digest", "doc_id", "tid", "start"], [pa.binary(), pa.int64(), pa.int32(), pa.int32()])
-
-    # A hot minimiser's windows go one by one: their least document is a combinable minimum, and AQE splits the join.
-    single = materialise(docs.mapInArrow(digests, "digest binary, doc_id long, tid int, start int"), "hot")
-    least = materialise(single.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "least")
-    later = single.join(least, "digest").where("doc_id > least").select("doc_id", "tid", "start", (F.col("start") + 1).alias("stop"))
-    return found.union(later)
+            for row in _repeats(group, window):
+                rows.append(row)
+                if len(rows) > 20_000:
+                    yield _batch(rows, out_names, out_types)
+                    rows = []
+        yield _batch(rows, out_names, out_types)
+
+    packed = docs.mapInArrow(pack, "mini long, salt int, doc_id long, tid int, start int, packed binary")
+    packed = packed.repartition(partitions(spark), "mini", "salt").sortWithinPartitions("mini", "salt", "doc_id")
+    found = materialise(packed.mapInArrow(sort_and_count, "doc_id long, tid int, start int, stop int, digest binary"), "found")
+    marks = found.where("digest is null").drop("digest")
+    if not hot.num_rows:
+        return marks
+    # At most one document for each window and part of a hot group is left: the least of them all stays unmarked.
+    later = found.where("digest is not null").withColumn("least", F.min("doc_id").over(Window.partitionBy("digest"))).where("doc_id > least")
+    return marks.union(later.select("doc_id", "tid", "start", "stop"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_from: int = HOT) -> DataFrame:
