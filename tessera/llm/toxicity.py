@@ -49,7 +49,7 @@ def _flat(docs: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return cols[cols >= 0], own[cols >= 0]
 
 
-def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 2e-4):
+def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-3):
     """Weights and bias of a linear classifier that minimise the non-negative PU risk with the logistic loss:
     prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]), by full-batch Adam. Where the corrected negative
     risk is below zero, its gradient is followed backwards, so the model unlearns what it has learnt by heart."""
@@ -92,7 +92,7 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str, most_positive: int
     p_df, u_df = (np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << BITS) for docs in (pos, unl))
     # Columns more frequent in positives than chance lets them be; the rest carries no sign of toxicity.
     chance = len(pos) * (u_df + 0.5) / len(unl)
-    keep = np.flatnonzero((p_df >= 3) & (p_df > 2 * chance) & (p_df - chance >= 3.5 * np.sqrt(chance + 0.5)))
+    keep = np.flatnonzero((p_df >= 3) & (p_df > 2 * chance) & (p_df - chance >= 5 * np.sqrt(chance + 0.5)))
     at = np.full(1 << BITS, -1, np.int64)
     at[keep] = np.arange(len(keep))
     w, bias = nnpu(_flat(pos, at), _flat(unl, at), len(pos), len(unl), len(keep), prior)
