@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
+from .htmltext import extract
 from .katz import score_texts
 from .langid import identify
 from .mixing import mix_sources
@@ -29,6 +31,11 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), folds=7, held_out=2)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -56,8 +67,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_katz": op2_katz,
+    "op3_html": op3_html,
     "op4_langid": op4_langid,
     "op5_substrings": op5_substrings,
+    "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
