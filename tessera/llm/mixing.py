@@ -68,9 +68,10 @@ def _thresholds(sizes: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3
-) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` per row of ``docs``.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken)`` and the columns ``carry`` per row of ``docs``.
 
     A document's size is its number of words (null: 0). A target of several times its source's size takes all its
     documents so many times over, and the rest of it those whose hash of the id is up to the source's threshold, so
@@ -78,15 +79,13 @@ def mix_sources(
     most half the document (rows that share an id count as one) on which its budget ends. A null source is a source;
     a null id hashes like any other; sources of size 0 have target 0. Other columns are not read. No rows, no result.
     """
-    sizes = materialise(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
+    given = docs.select(
+            *carry, F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit("mix")), 1).alias("h"),
-        ),
-        "sizes",
-    )
+        )
+    sizes = materialise(given.select("doc_id", "source", "size", "h"), "sizes")
     targets = materialise(
         source_targets(sizes, weights, limit)
         .withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -95,5 +94,6 @@ def mix_sources(
     )
     cuts = _thresholds(sizes, targets.select("source", "part"))
     plan = materialise(targets.join(cuts.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c"))).drop("c", "part"), "plan")
-    out = sizes.withColumnRenamed("source", "s").join(bounded_broadcast(plan), F.col("s").eqNullSafe(F.col("source")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("times") + (F.col("h") <= F.col("last")).cast("long"))).alias("taken"))
+    out = (given if carry else sizes).withColumnRenamed("source", "s").join(bounded_broadcast(plan), F.col("s").eqNullSafe(F.col("source")))
+    out = out.withColumn("copies", F.col("times") + (F.col("h") <= F.col("last")).cast("long"))
+    return out.select("doc_id", *carry, "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .decontam import find_leaks
 from .htmltext import extract
 from .katz import score_texts
 from .langid import identify
@@ -59,6 +60,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle_words=5, similarity=0.8)
+    return out.select("doc_id", "item_id", F.col("start").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "similarity")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
@@ -73,8 +79,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontam": """
+WITH dw AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+iw AS (
+  SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ds AS (
+  SELECT doc_id, len(w) - 4 AS nd, unnest(range(len(w) - 4)) AS pos, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM dw WHERE len(w) > 4),
+ic AS (
+  SELECT item_id, sz, sh, count(*) AS n_item
+  FROM (SELECT item_id, len(w) - 4 AS sz, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM iw WHERE len(w) > 4) GROUP BY ALL),
+an AS (
+  SELECT doc_id, item_id, pos, nd, sz, least(sz, nd) AS span, CAST(ceil((sz + least(sz, nd)) * (CAST(0.8 AS DOUBLE) / CAST(1.8 AS DOUBLE)) - CAST(1e-9 AS DOUBLE)) AS BIGINT) AS need,
+    row_number() OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS rn
+  FROM (SELECT DISTINCT doc_id, item_id, pos, nd, sz FROM ds JOIN ic USING (sh))),
+st AS (
+  SELECT DISTINCT a.doc_id, a.item_id, a.sz, a.span, least(a.pos, a.nd - a.span) AS start
+  FROM an a JOIN an b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.rn = a.rn + a.need - 1 WHERE b.pos - a.pos < a.span),
+wc AS (
+  SELECT st.doc_id, st.item_id, st.sz, st.span, st.start, ds.sh, count(*) AS n_window
+  FROM st JOIN ds ON st.doc_id = ds.doc_id AND ds.pos >= st.start AND ds.pos < st.start + st.span GROUP BY ALL),
+ov AS (
+  SELECT wc.doc_id, wc.item_id, wc.sz, wc.span, wc.start, CAST(sum(least(n_window, n_item)) AS BIGINT) AS o
+  FROM wc JOIN ic ON wc.item_id = ic.item_id AND wc.sh = ic.sh GROUP BY ALL),
+best AS (
+  SELECT *, o / (sz + span - o) AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o / (sz + span - o) DESC, start, span) AS b
+  FROM ov WHERE o / (sz + span - o) >= CAST(0.8 AS DOUBLE))
+SELECT doc_id, item_id, start AS start_word, span + 4 AS n_words, similarity FROM best WHERE b = 1
+UNION ALL
+SELECT doc_id, item_id, min(pos) AS start_word, n AS n_words, CAST(1 AS DOUBLE) AS similarity
+FROM (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS sh FROM iw WHERE len(w) BETWEEN 1 AND 4) i
+JOIN (SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS pos, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS sh
+      FROM dw, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n) r USING (n, sh)
+GROUP BY doc_id, item_id, n
+""",
+}

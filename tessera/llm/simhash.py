@@ -248,7 +248,7 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _sketch(docs: DataFrame, shingle_words: int, anchors: int) -> DataFrame:
-    """``(doc_id, digest, fp, anchors)``: of the lower-cased words; ``anchors`` are minimal shingles under as many hashes."""
+    """``(doc_id, tid, digest, fp, anchors)``: of the lower-cased words; ``anchors`` are minimal shingles under as many hashes."""
     salts = np.random.default_rng(7).integers(1, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
@@ -258,18 +258,19 @@ def _sketch(docs: DataFrame, shingle_words: int, anchors: int) -> DataFrame:
             picks = [[int(h[np.argmin(h * s ^ (h * s >> np.uint64(29)))].view(np.int64)) for s in salts] if len(h) else [] for h in hashes]
             digests = [_digest(w) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.array(fingerprints(hashes).view(np.int64)), pa.array(picks, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "fp", "anchors"],
+                [b.column("doc_id"), b.column("tid"), pa.array(digests, pa.binary()), pa.array(fingerprints(hashes).view(np.int64)), pa.array(picks, pa.list_(pa.int64()))],
+                ["doc_id", "tid", "digest", "fp", "anchors"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, fp long, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, tid long, digest binary, fp long, anchors array<long>")
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 22, anchors: int = 8
 ) -> DataFrame:
-    """``(doc_id, component_id)`` per row: documents are linked when the Jaccard similarity of their sets of word
-    shingles is at least ``similarity``.
+    """``(doc_id, tid, component_id, component_tid)`` per row: documents are linked when the Jaccard similarity of their
+    sets of word shingles is at least ``similarity``. ``tid`` hashes the text: it tells apart rows that share an id. The
+    component is named by its smallest doc_id, and of rows that share it the smallest tid.
 
     Texts with the same lower-cased words are one class from the start. Two documents are compared where they share
     one of ``anchors`` minimal shingles, which a pair of the least similarity fails to do with probability
@@ -278,9 +279,9 @@ def near_duplicates(
     copies of one another. Repeated rows stay rows; a null doc_id keeps its row and names no component. Other
     columns are not read. No rows, no result.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tid"))
     sketch = materialise(_sketch(given, shingle_words, anchors), "sketch")
-    rep = materialise(sketch.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")).withColumn("id", F.xxhash64("digest")), "rep")
+    rep = materialise(sketch.groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tid"))).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")).withColumn("id", F.xxhash64("digest")), "rep")
     rows = rep.select("id", "fp", F.explode(F.array_distinct("anchors")).alias("bucket"))
     # Buckets with the same members are one bucket: the count and two sums of hashes stand for the set.
     members = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2")).where("n > 1")
@@ -303,7 +304,7 @@ def near_duplicates(
 
     # First by fingerprint alone: who has a partner at all. Only those bring their shingles.
     close = materialise(_in_tiles(rows).mapInArrow(partners, "id long, bucket long").distinct().join(rows, ["id", "bucket"]), "close")
-    wanted = close.select("id").distinct().join(rep.select("id", F.col("digest").alias("want"), F.col("least").alias("rep_id")), "id")
+    wanted = close.select("id").distinct().join(rep.select("id", F.col("digest").alias("want"), F.col("least.doc_id").alias("rep_id")), "id")
     wanted = bounded_broadcast(materialise(wanted, "wanted"))
 
     def shingles(batches):
@@ -329,6 +330,6 @@ def near_duplicates(
 
     roots = connected_components(_in_tiles(close.join(sets, "id")).mapInArrow(links, "a long, b long"))
     named = materialise(rep.select("digest", "least", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
-    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    names = materialise(named.join(least, "root").select("digest", "component_id"), "names")
-    return sketch.join(names, "digest").select("doc_id", "digest", "component_id")
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
+    names = materialise(named.join(least, "root").select("digest", "component"), "names")
+    return sketch.join(names, "digest").select("doc_id", "tid", F.col("component.doc_id").alias("component_id"), F.col("component.tid").alias("component_tid"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_broadcast, discard, materialise, partitions, texts
 
@@ -229,8 +230,8 @@ def repeated_ranges(docs: DataFrame, window: int = 50, gram: int = 8, hot_from:
     return marks.union(later.select("doc_id", "tid", "start", "stop"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_from: int = HOT) -> DataFrame:
-    """``(doc_id, text, n_words, n_removed, kept)`` per row: ``kept`` is the text's words, joined by one space, without
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_from: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, text, n_words, n_removed, kept)`` and the columns ``carry`` per row: ``kept`` is the text's words, joined by one space, without
     those in a window of ``window`` words whose sequence also starts in a document with a smaller doc_id.
 
     Windows are judged on the input. Null texts have no words. Rows that share an id never repeat one another; a null
@@ -239,13 +240,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     import zlib
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = materialise(repeated_ranges(given, window, hot_from=hot_from), "ranges")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    found = materialise(repeated_ranges(given.select("doc_id", "text"), window, hot_from=hot_from), "ranges")
     # All ranges of a row: as many as its words at most.
     ranges = found.distinct().groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     ranges = materialise(ranges.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tid", "ranges"))).alias("by_tid")), "by_doc")
     most = 300_000 if found.count() <= 1_000_000 else 0
-    joined = given.join(bounded_broadcast(ranges, most), "doc_id", "left").select("doc_id", "text", "by_tid")
+    joined = given.join(bounded_broadcast(ranges, most), "doc_id", "left").select("doc_id", "text", *carry, "by_tid")
 
     def run(batches):
         for b in batches:
@@ -259,6 +260,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((len(words), removed, b" ".join(words if not removed else [words[i] for i in np.flatnonzero(~gone).tolist()])))
             n, removed, kept = zip(*out) if out else ((), (), ())
             kept = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), kept], ["doc_id", "text", "n_words", "n_removed", "kept"])
+            own = ["doc_id", "text", *carry]
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), kept], [*own, "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept string")
+    schema = T.StructType([*given.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
+    return joined.mapInArrow(run, schema)

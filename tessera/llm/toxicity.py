@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import texts
 from .learning import labelled, sample, with_fold
@@ -101,9 +102,9 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str, most_positive: int
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000, most_unlabelled: int = 8000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000, most_unlabelled: int = 8000, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``(doc_id, held_out, score)`` per row of ``docs``: the probability that the whole text is toxic.
+    """``(doc_id, held_out, score)`` and the columns ``carry`` per row of ``docs``: the probability that the whole text is toxic.
 
     Learns from a bounded sample outside the held-out fold: about ``most_positive`` texts whose label is 1 and
     ``most_unlabelled`` of all texts, whose labels are not looked at; the class prior is the share of 1 among all
@@ -118,6 +119,9 @@ def score_toxicity(
         weight = lru_cache(500_000)(lambda word: float(weights[_columns(word)].sum()))
         for b in batches:
             f = np.array([sum(map(weight, _words(t))) for t in texts(b)], np.float64) + bias
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))))], ["doc_id", "held_out", "score"])
+            own = ["doc_id", "held_out", *carry]
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))))], [*own, "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    given = with_fold(docs, id_col, text_col, *[c for c in carry if c != "text"])
+    schema = T.StructType([*given.select("doc_id", "held_out", *carry).schema.fields, T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(run, schema)
