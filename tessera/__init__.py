@@ -1,0 +1,2 @@
+"""Governance of material master data on Spark: normalisation, quality rules, duplicate candidates, decisions, reviews
+and append-only event logs, all as DataFrame and Column functions."""
