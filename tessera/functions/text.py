@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,7 +43,6 @@ def fold(c: Column) -> Column:
 
 def fold_exactly(c: Column) -> Column:
     """NFKD without combining marks for all of Unicode, in Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

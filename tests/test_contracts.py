@@ -1,0 +1,116 @@
+import json
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tessera.operators import contracts, records
+
+GOOD = {"material_id": "M1", "decision": "REVIEW", "confidence": 0.5, "issues": ["INVALID_UNIT"], "summary": "s", "evidence": ["e"]}
+
+
+def fault(spark, raw):
+    return spark.createDataFrame([(raw,)], "raw string").select(contracts.validate_output("raw")["violation"].alias("v")).first().v
+
+
+@pytest.mark.parametrize(("change", "wanted"), [
+    ({}, None), ({"confidence": 1}, None), ({"confidence": "0.84"}, None), ({"confidence": True}, None), ({"issues": [], "evidence": []}, None), ({"material_id": " "}, None),
+    ({"confidence": None}, "confidence"), ({"confidence": 1.01}, "confidence"), ({"confidence": "x"}, "confidence"), ({"confidence": [1]}, "confidence"),
+    ({"material_id": 5}, "material_id"), ({"material_id": ""}, "material_id"), ({"decision": "review"}, "decision"), ({"issues": "INVALID_UNIT"}, "issues"),
+    ({"issues": ["invalid_unit"]}, "issues"), ({"issues": [None]}, "issues"), ({"summary": ""}, "summary"), ({"evidence": [1]}, "evidence"), ({"extra": 1}, "extra_key"),
+])
+def test_output_contract(spark, change, wanted):
+    assert fault(spark, json.dumps(GOOD | change)) == wanted
+
+
+@pytest.mark.parametrize("key", list(GOOD))
+def test_every_key_is_required(spark, key):
+    assert fault(spark, json.dumps({k: v for k, v in GOOD.items() if k != key})) == f"missing:{key}"
+
+
+@pytest.mark.parametrize(("raw", "wanted"), [("{", "malformed"), ("", "malformed"), (None, "malformed"), ("[]", "not_object"), ('"x"', "not_object"), ("null", "not_object")])
+def test_no_object(spark, raw, wanted):
+    assert fault(spark, raw) == wanted
+
+
+def test_schema_lists_all_keys():
+    s = contracts.output_schema()
+    assert s["required"] == list(GOOD) == list(s["properties"]) and s["additionalProperties"] is False and s["properties"]["confidence"]["maximum"] == 1
+
+
+def test_provider_and_identity_guard(spark):
+    from tests.test_assess import frame
+
+    asked = contracts.ask_provider(frame(spark, {"material_id": "A"}, {"material_id": "B"}), lambda prompt, schema: json.dumps(GOOD | {"material_id": "A"}))
+    loose = {r.material_id: r.violation for r in contracts.analyze_outputs(asked.select("material_id", "raw"), strict=False).collect()}
+    assert loose["A"] is None and loose["B"] == "identity: expected B, received A"
+    with pytest.raises(PySparkException, match="identity"):
+        contracts.analyze_outputs(asked.select("material_id", "raw")).collect()
+
+
+AUDIT = {"schema_version": 1, "event_id": "e1", "event_type": "HUMAN_REVIEW_RECORDED", "material_id": "M", "actor_id": "a", "occurred_at": "2026-01-01T00:00:00+00:00", "review_id": "r", "metadata": {"k": 1}}
+EVIDENCE = {"material_id": "M", "source": "RULE", "issue_type": "INVALID_UNIT", "observation": "o", "severity": "WARNING"}
+OPENED = {"schema_version": 1, "event_id": "e1", "workflow_id": "w", "opened_at": "2026-01-01T00:00:00Z", "recommendation": {"material_id": "M", "decision": "REVIEW", "rationale": "r", "requires_human_decision": True, "evidence": [EVIDENCE]}}
+WHO = {"specialist_id": "s", "identity_provider": "p", "identity_subject": "u", "verification_id": "v", "verified_at": "2026-01-01T00:00:00Z"}
+REVIEW = {"review_id": "r", "material_id": "M", "system_recommendation": "REVIEW", "human_decision": "REQUEST_CORRECTION", "reviewer_identity": WHO, "reviewed_at": "2026-01-02T00:00:00Z", "justification": "j", "corrections": [{"field_name": "unit", "reason": "x", "suggested_value": None}]}
+CONCLUDED = {"schema_version": 1, "event_type": "WORKFLOW_CONCLUDED", "event_id": "e2", "workflow_id": "w", "review": REVIEW}
+GONE = object()
+
+
+def changed(record, path, value):
+    out = json.loads(json.dumps(record))
+    at = out
+    *head, last = path.split(".")
+    for k in head:
+        at = at[int(k)] if k.isdigit() else at[k]
+    last = int(last) if last.isdigit() else last
+    if value is GONE:
+        del at[last]
+    else:
+        at[last] = value
+    return out
+
+
+def read(spark, record, maker):
+    raw = record if isinstance(record, str) else json.dumps(record)
+    return spark.createDataFrame([(raw,)], "raw string").withColumns(maker("raw")).first()
+
+
+@pytest.mark.parametrize(("path", "value", "wanted"), [
+    ("extra", 1, None), ("metadata", GONE, None), ("metadata", [], "metadata is no object"), ("metadata", None, "metadata is no object"), ("event_id", GONE, "event_id is missing"), ("event_id", " ", "event_id is blank"), ("event_id", 1, "event_id is no string"),
+    ("schema_version", GONE, "schema_version is missing"), ("schema_version", 2, "schema_version is not 1"), ("schema_version", True, "schema_version is not 1"), ("schema_version", "1", "schema_version is not 1"), ("schema_version", 1.0, "schema_version is not 1"),
+    ("event_type", "OTHER", "event_type is unknown"), ("event_type", None, "event_type is no string"), ("occurred_at", "2026-01-01T00:00:00", "occurred_at is no time with an offset"), ("occurred_at", 5, "occurred_at is no string"),
+])
+def test_audit_record(spark, path, value, wanted):
+    assert read(spark, changed(AUDIT, path, value), records.audit_record).violation == wanted
+
+
+@pytest.mark.parametrize(("record", "path", "value", "wanted"), [
+    (OPENED, "extra", 1, None), (CONCLUDED, "extra", 1, None), (OPENED, "event_type", None, "event_type is unknown"), (OPENED, "event_type", "WORKFLOW_OPENED", "event_type is unknown"), (OPENED, "event_type", 123, "event_type is unknown"),
+    (OPENED, "recommendation.requires_human_decision", False, "requires_human_decision is not true"), (OPENED, "recommendation.requires_human_decision", "true", "requires_human_decision is not true"), (OPENED, "recommendation.requires_human_decision", GONE, "requires_human_decision is not true"),
+    (OPENED, "recommendation.evidence", {}, "recommendation.evidence is no list"), (OPENED, "recommendation.evidence", [], None), (OPENED, "recommendation.evidence.0.material_id", "N", "evidence of another material"), (OPENED, "recommendation.evidence.0.source", "X", "evidence source is unknown"),
+    (OPENED, "recommendation.evidence.0", 1, "evidence item is no object"), (OPENED, "recommendation.decision", "x", "recommendation.decision is unknown"), (OPENED, "opened_at", "2026-01-01", "opened_at is no time with an offset"), (OPENED, "workflow_id", GONE, "workflow_id is missing"),
+    (CONCLUDED, "review.justification", GONE, "review.justification is missing"), (CONCLUDED, "review.justification", None, "justification is missing"), (CONCLUDED, "review.justification", 1, "review.justification is no string"), (CONCLUDED, "review.corrections", [], "REQUEST_CORRECTION without correction"),
+    (CONCLUDED, "review.human_decision", "APPROVE", "APPROVE with corrections"), (CONCLUDED, "review.corrections.0.reason", " ", "correction reason is no text"), (CONCLUDED, "review.corrections.0.suggested_value", GONE, "correction suggested_value is neither string nor null"),
+    (CONCLUDED, "review.reviewer_identity.verified_at", "2026-02-01T00:00:00Z", "verified_at is later than reviewed_at"), (CONCLUDED, "review.reviewed_at", "2026-01-01T00:00:00Z", None), (CONCLUDED, "schema_version", True, "schema_version is not 1"),
+])
+def test_lifecycle_record(spark, record, path, value, wanted):
+    row = read(spark, changed(record, path, value), records.lifecycle_record)
+    assert row.violation == wanted and (row.event is None) == (wanted is not None)
+
+
+def test_ids_are_stripped_but_not_the_recommendations(spark):
+    row = read(spark, changed(changed(OPENED, "event_id", " e "), "recommendation", OPENED["recommendation"] | {"material_id": " M ", "evidence": []}), records.lifecycle_record)
+    assert (row.event.event_id, row.event.material_id) == ("e", " M ")
+    assert read(spark, changed(CONCLUDED, "review.material_id", " M "), records.lifecycle_record).event.material_id == "M"
+
+
+def test_records_round_trip(spark):
+    at = F.lit("2026-01-01T00:00:00.5Z").cast("timestamp")
+    e = F.array(F.struct(*[F.lit(v).alias(k) for k, v in EVIDENCE.items()]))
+    raw = spark.range(1).select(F.lit("e1").alias("event_id"), F.lit("w").alias("workflow_id"), F.lit("M").alias("material_id"), F.lit("REVIEW").alias("decision"), F.lit("ç").alias("rationale"), e.alias("evidence"))
+    from tessera.operators.reviews import iso
+
+    row = raw.select(records.opened_json(iso(at)).alias("raw")).withColumns(records.lifecycle_record("raw")).first()
+    assert row.violation is None and row.event.rationale == "ç" and row.event.evidence[0].observation == "o" and row.event.event_at.microsecond == 500_000
+    assert list(json.loads(row.raw)) == sorted(json.loads(row.raw))

@@ -1,0 +1,157 @@
+import datetime as dt
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import log, projection, reviews
+from tessera.sources import files
+from tests.test_contracts import AUDIT, CONCLUDED, OPENED, changed
+
+SCHEMA = "seq long, event_id string, workflow_id string, kind string, material_id string, decision string, human_decision string, event_at timestamp"
+
+
+def event(seq, event_id, wf, kind, material="M", decision="REVIEW", day=1):
+    return (seq, event_id, wf, kind, material, decision, None if kind == "OPENED" else "APPROVE", dt.datetime(2026, 1, day))
+
+
+def outcomes(spark, rows):
+    return {r.seq: r.outcome for r in log.admit(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def folded(rows):
+    return dict(zip([r[0] for r in rows], log.fold([(r[1], r[2], r[3], r[4], r[5], r[7]) for r in rows], {}, set(), {})))
+
+
+CASES = [
+    event(1, "c0", "w", "CONCLUDED"), event(2, "o", "w", "OPENED", day=3), event(3, "o2", "w", "OPENED", day=3), event(4, "o", "w", "OPENED", day=3), event(5, "c1", "w", "CONCLUDED", material="N", day=4), event(6, "c2", "w", "CONCLUDED", decision="REJECT", day=4),
+    event(7, "c3", "w", "CONCLUDED", day=2), event(8, "c4", "w", "CONCLUDED", day=3), event(9, "c4", "w", "CONCLUDED", day=3), event(10, "c5", "w", "CONCLUDED", day=4), event(11, "c3", "w", "CONCLUDED", day=4),
+]
+WANTED = ["not_opened", "ok", "already_opened", "dup", "material", "recommendation", "temporal", "ok", "dup", "already_concluded", "already_concluded"]
+
+
+def test_every_outcome(spark):
+    assert list(folded(CASES).values()) == WANTED
+    assert outcomes(spark, CASES) == dict(zip(range(1, 12), WANTED))
+
+
+def test_ids_across_workflows_and_kinds(spark):
+    rows = [event(1, "x", "a", "OPENED"), event(2, "x", "b", "OPENED"), event(3, "y", "b", "OPENED"), event(4, "x", "a", "CONCLUDED"), event(5, "z", "b", "CONCLUDED"), event(6, "z", "a", "CONCLUDED"), event(7, "q", "c", "OPENED")]
+    assert outcomes(spark, rows) == folded(rows) == {1: "ok", 2: "dup", 3: "ok", 4: "dup", 5: "ok", 6: "dup", 7: "ok"}
+
+
+def test_stored_first_decides_between_two_errors(spark):
+    late_id = [event(1, "a", "w", "OPENED"), event(2, "b", "v", "OPENED"), event(3, "b", "w", "OPENED")]
+    early_id = [event(1, "b", "v", "OPENED"), event(2, "a", "w", "OPENED"), event(3, "b", "w", "OPENED")]
+    assert outcomes(spark, late_id)[3] == folded(late_id)[3] == "already_opened"
+    assert outcomes(spark, early_id)[3] == folded(early_id)[3] == "dup"
+
+
+@pytest.mark.parametrize("ids", [6, 200])
+def test_admission_equals_the_fold(spark, ids):
+    rng = random.Random(ids)
+    rows = [event(i, f"e{rng.randrange(ids)}", f"w{rng.randrange(12)}", rng.choice(["OPENED", "CONCLUDED", "CONCLUDED"]), rng.choice("MMN"), rng.choice(["REVIEW", "REVIEW", "REJECT"]), rng.randint(1, 9)) for i in range(1, 150)]
+    assert outcomes(spark, rows) == folded(rows)
+
+
+def test_append_and_query(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first = files.append_events(spark, path, spark.createDataFrame(CASES[1:2], SCHEMA))
+    assert [r.outcome for r in first.collect()] == ["ok"]
+    second = files.append_events(spark, path, spark.createDataFrame([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED", day=5)], SCHEMA))
+    assert {r.seq: r.outcome for r in second.collect()} == {1: "dup", 2: "ok"}
+    stored = spark.read.parquet(path)
+    assert [r.event_id for r in log.by_workflow(stored, "w").collect()] == ["o", "c"] and log.by_event(stored, " o").count() == 0
+    assert [r.event_id for r in log.listed(stored).collect()] == ["o", "c"] and log.opened(stored).count() == 1 and log.by_material(stored, "M").count() == 2
+
+
+def test_append_audit(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    rows = lambda *x: spark.createDataFrame([(i, e, "M") for i, e in enumerate(x, 1)], "seq long, event_id string, material_id string")
+    assert [r.outcome for r in files.append_audit(spark, path, rows("a", "b", "a")).orderBy("seq").collect()] == ["ok", "ok", "dup"]
+    assert [r.outcome for r in files.append_audit(spark, path, rows("b", "c")).orderBy("seq").collect()] == ["dup", "ok"]
+    assert [(r.seq, r.event_id) for r in spark.read.parquet(path).orderBy("seq").collect()] == [(1, "a"), (2, "b"), (4, "c")]
+
+
+def test_read_logs_whole_or_not_at_all(spark, tmp_path):
+    at = tmp_path / "log.jsonl"
+    assert files.read_lifecycle_log(spark, str(at)).count() == 0
+    at.write_text(json.dumps(OPENED) + "\n" + json.dumps(CONCLUDED) + "\n")
+    got = files.read_lifecycle_log(spark, str(at)).orderBy("seq").collect()
+    assert [(r.seq, r.kind) for r in got] == [(1, "OPENED"), (2, "CONCLUDED")]
+    for bad in ("", "{", "[]", json.dumps(changed(OPENED, "schema_version", 2))):
+        at.write_text(json.dumps(OPENED) + "\n" + bad + "\n" + json.dumps(CONCLUDED) + "\n")
+        with pytest.raises(files.LogCorruption) as e:
+            files.read_lifecycle_log(spark, str(at))
+        assert e.value.line_number == 2
+    audit = tmp_path / "audit.jsonl"
+    audit.write_text(json.dumps(AUDIT))
+    assert files.read_audit_log(spark, str(audit)).first().metadata == '{"k":1}'
+
+
+def test_projection(spark):
+    rows = [event(1, "o", "w", "OPENED", day=1), event(2, "c", "w", "CONCLUDED", day=2), event(3, "p", "v", "OPENED", day=1)]
+    got = {r.workflow_id: r for r in projection.workflow_state(log.accepted(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert (got["w"].status, got["w"].lead_time_us, got["v"].status, got["v"].closed_at) == ("REVIEWED", 86_400_000_000, "PENDING_HUMAN_REVIEW", None)
+
+
+@pytest.mark.parametrize(("rows", "wanted"), [
+    ([event(1, "c", "w", "CONCLUDED")], "first event is not an opening"), ([event(1, "o", "w", "OPENED"), event(2, "p", "w", "OPENED")], "expected one opening, got 2"),
+    ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED"), event(3, "d", "w", "CONCLUDED")], "expected at most one conclusion, got 2"),
+    ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED", material="N")], "material mismatch"), ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED", decision="REJECT")], "recommendation mismatch"),
+    ([event(1, "o", "w", "OPENED", day=2), event(2, "c", "w", "CONCLUDED")], "reviewed before opened"), ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED")], None),
+])
+def test_history_violations(spark, rows, wanted):
+    assert projection.history_violation(spark.createDataFrame(rows, SCHEMA)).first().violation == wanted
+
+
+REVIEW = dict(event_id="e", review_id="r", material_id="M", specialist_id=" S ", identity_provider="p", identity_subject="u", verification_id="v", verified_at=dt.datetime(2026, 1, 1), reviewed_at=dt.datetime(2026, 1, 1), system_recommendation="APPROVE", human_decision="APPROVE", justification=None, corrections=[])
+REVIEW_SCHEMA = "event_id string, review_id string, material_id string, specialist_id string, identity_provider string, identity_subject string, verification_id string, verified_at timestamp, reviewed_at timestamp, system_recommendation string, human_decision string, justification string, corrections array<struct<field_name:string,reason:string,suggested_value:string>>"
+FIX = [("unit", "wrong", " PC ")]
+
+
+@pytest.mark.parametrize(("change", "wanted"), [
+    ({}, None), ({"review_id": " "}, "review_id must not be empty"), ({"specialist_id": ""}, "specialist_id must not be empty"), ({"reviewed_at": None}, "reviewed_at must be timezone-aware"), ({"verified_at": dt.datetime(2026, 1, 2)}, "verified_at is later than reviewed_at"),
+    ({"system_recommendation": "x"}, "system_recommendation is unknown"), ({"human_decision": "x"}, "human_decision is unknown"), ({"human_decision": "REJECT"}, "REJECT requires justification"), ({"human_decision": "REJECT", "justification": " "}, "REJECT requires justification"),
+    ({"human_decision": "REJECT", "justification": "j", "corrections": FIX}, None), ({"human_decision": "REQUEST_CORRECTION", "justification": "j"}, "REQUEST_CORRECTION requires at least one correction"), ({"human_decision": "REQUEST_CORRECTION", "justification": "j", "corrections": FIX}, None),
+    ({"corrections": FIX}, "APPROVE cannot include corrections"), ({"human_decision": "REQUEST_CORRECTION", "justification": "j", "corrections": [("unit", " ", None)]}, "correction needs field_name and reason"),
+])
+def test_reviews(spark, change, wanted):
+    rows = spark.createDataFrame([tuple((REVIEW | change).values())], REVIEW_SCHEMA)
+    got = reviews.record_reviews(rows).first()
+    assert got.violation == wanted and (got.audit_event is None) == (wanted is not None)
+    if not wanted:
+        assert got.audit_event.actor_id == "S" == got.review.reviewer_id and got.audit_event.metadata.correction_count == len((REVIEW | change)["corrections"])
+        assert got.audit_event.metadata.identity_verified_at == "2026-01-01T00:00:00+00:00"
+
+
+def test_agreement(spark):
+    pairs = [(s, h) for s in ("APPROVE", "REVIEW", "REJECT") for h in ("APPROVE", "REJECT", "REQUEST_CORRECTION")]
+    got = spark.createDataFrame(pairs, "s string, h string").where(reviews.agrees(F.col("s"), F.col("h"))).collect()
+    assert {(r.s, r.h) for r in got} == {("APPROVE", "APPROVE"), ("REJECT", "REJECT"), ("REVIEW", "REQUEST_CORRECTION")}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from tessera.streaming.workflows import run_to_end
+
+    rows = spark.createDataFrame(CASES + [event(12, "p", "v", "OPENED")], SCHEMA)
+    rows.where("seq <= 7").coalesce(1).write.parquet(str(tmp_path / "in"))
+    run_to_end(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "run"))
+    rows.where("seq > 7").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run_to_end(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "run"))
+    got = spark.read.parquet(str(tmp_path / "run" / "states")).groupBy("workflow_id").agg(F.max_by(F.struct("status", "lead_time_us"), "batch").alias("s")).collect()
+    want = projection.workflow_state(log.accepted(rows)).collect()
+    assert {(r.workflow_id, r.s.status, r.s.lead_time_us) for r in got} == {(r.workflow_id, r.status, r.lead_time_us) for r in want}
+
+
+def test_read_materials(spark, tmp_path):
+    at = tmp_path / "m.csv"
+    at.write_text('status,material_id,description_short,expected_issue\nACTIVE, M-1 ,"say ""2"" \\",VALID\n,M-2,"two\nlines",\n', encoding="utf-8")
+    got = files.read_materials(spark, str(at)).orderBy("ord").collect()
+    assert [(r.ord, r.material_id, r.description_short, r.status, r.unit, r.expected_issue) for r in got] == [(0, "M-1", 'say "2" \\', "ACTIVE", "", "VALID"), (1, "M-2", "two\nlines", "", "", "")]
+    (tmp_path / "more").mkdir()
+    for i in range(2):
+        (tmp_path / "more" / f"{i}.csv").write_text("material_id\nx\n")
+    with pytest.raises(ValueError, match="order"):
+        files.read_materials(spark, str(tmp_path / "more"))
