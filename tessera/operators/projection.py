@@ -36,6 +36,32 @@ def history_violation(events: DataFrame) -> DataFrame:
     return _folded(events).select("workflow_id", fault.alias("violation"))
 
 
+def pending(opened_event: DataFrame) -> DataFrame:
+    """Openings as workflows that wait for their review."""
+    return workflow_state(opened_event.where("kind = 'OPENED'"))
+
+
+def conclude(workflows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``workflows`` (of ``workflow_state``) joined to at most one review each (``workflow_id, material_id, decision,
+    human_decision, event_at``): the concluded state, or a ``violation`` why the review can't conclude it."""
+    w, e = workflows.alias("w"), ends.alias("e")
+    fault = (
+        F.when(F.col("e.workflow_id").isNull(), None)
+        .when(F.col("w.status") == d.REVIEWED, "already reviewed")
+        .when(F.col("w.material_id") != F.col("e.material_id"), "material mismatch")
+        .when(F.col("w.decision") != F.col("e.decision"), "recommendation mismatch")
+        .when(F.col("e.event_at") < F.col("w.opened_at"), "reviewed before opened")
+    )
+    out = w.join(e, F.col("w.workflow_id") == F.col("e.workflow_id"), "left").withColumn("violation", fault)
+    ok = F.col("e.workflow_id").isNotNull() & F.col("violation").isNull()
+    return out.select(
+        "w.workflow_id", "w.material_id", "w.decision", F.when(ok, d.REVIEWED).otherwise(F.col("w.status")).alias("status"), "w.opened_at",
+        F.when(ok, F.col("e.event_at")).otherwise(F.col("w.closed_at")).alias("closed_at"),
+        F.when(ok, F.timestamp_diff("MICROSECOND", F.col("w.opened_at"), F.col("e.event_at"))).otherwise(F.col("w.lead_time_us")).alias("lead_time_us"),
+        F.when(ok, F.col("e.human_decision")).otherwise(F.col("w.human_decision")).alias("human_decision"), "violation",
+    )
+
+
 def workflow_state(log: DataFrame) -> DataFrame:
     """The state of each workflow of an admitted log; times stay in their own type, the lead time is in microseconds."""
     lead = F.timestamp_diff("MICROSECOND", F.col("open.event_at"), F.col("end.event_at"))

