@@ -55,6 +55,13 @@ def fold_of(doc_id: str, of: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of
 
 
+def small(batches, rows: int = 500):
+    """Arrow batches cut to few rows: what Python makes of a batch's texts is many times their size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def texts(batch, column: str = "text") -> list[bytes]:
     """The UTF-8 texts of an Arrow batch; null is empty."""
     import pyarrow as pa

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 # HTML elements by their role.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -250,7 +252,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = [main_blocks(h or "") for h in b.column(2).to_pylist()]
             texts = ["\n".join(x).encode("utf-8", "replace").decode() for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in found], pa.int32())], ["page_id", "url", "text", "blocks"])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small, texts
 from .learning import with_fold
 
 #: Character n-grams of these lengths, dealt out to 2**BITS columns of the log-probability matrix.
@@ -43,7 +43,7 @@ def _ngram_counts(rows: DataFrame) -> DataFrame:
     def run(batches):
         seen: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for b in batches:
+        for b in small(batches):
             for lang, text in zip(b.column(0).to_pylist(), texts(b)):
                 docs[lang] = docs.get(lang, 0) + 1
                 into = seen.setdefault(lang, np.zeros(1 << BITS, np.int64))
@@ -86,7 +86,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches):
         langs, prior, matrix = sent.value
-        for b in batches:
+        for b in small(batches):
             names, scores = [], []
             for text in texts(b):
                 points = _letters(text)

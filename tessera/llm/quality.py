@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small, texts
 from .learning import labelled, with_fold
 
 STATISTICS = (
@@ -44,7 +44,7 @@ def fit(rows: DataFrame, shrink: float = 0.1, ridge: float = 0.02):
 
     def run(batches):
         n, s, x2 = np.zeros(2), np.zeros((2, len(STATISTICS))), np.zeros((2, len(STATISTICS), len(STATISTICS)))
-        for b in batches:
+        for b in small(batches):
             x, y = _matrix(b), b.column("y").to_numpy()
             for c in (0, 1):
                 v = x[y == c]
@@ -81,7 +81,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         model = sent.value
-        for b in batches:
+        for b in small(batches):
             f = np.zeros(b.num_rows)
             if model and b.num_rows:
                 x = _matrix(b)

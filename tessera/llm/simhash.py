@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, partitions, shingle_hashes, texts
+from .common import bounded_broadcast, materialise, partitions, shingle_hashes, small, texts
 from .components import connected_components, merge_labels
 
 #: Fingerprints in a tile; pairs of tiles share a task's memory of a few MB.
@@ -197,7 +197,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``(doc_id, fp)`` of each row's whole text, A-Z lower-cased; ``fp`` is the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             fps = fingerprints([shingle_hashes(t.lower().split(), shingle_words) for t in texts(b)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -252,7 +252,7 @@ def _sketch(docs: DataFrame, shingle_words: int, anchors: int) -> DataFrame:
     salts = np.random.default_rng(7).integers(1, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             words = [t.lower().split() for t in texts(b)]
             hashes = [shingle_hashes(w, shingle_words) for w in words]
             picks = [[int(h[np.argmin(h * s ^ (h * s >> np.uint64(29)))].view(np.int64)) for s in salts] if len(h) else [] for h in hashes]
@@ -308,7 +308,7 @@ def near_duplicates(
     wanted = bounded_broadcast(materialise(wanted, "wanted"))
 
     def shingles(batches):
-        for b in batches:
+        for b in small(batches):
             words = [t.lower().split() for t in texts(b)]
             own = [i for i, (w, want) in enumerate(zip(words, b.column(1).to_pylist())) if _digest(w) == want]
             sets = [np.unique(shingle_hashes(words[i], shingle_words)).tobytes() for i in own]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_broadcast, discard, materialise, partitions, texts
+from .common import bounded_broadcast, discard, materialise, partitions, small, texts
 
 #: The filter of shared minimisers has at most so many bits (32 MB): a proven bound for what is broadcast.
 FILTER_BITS = 28
@@ -24,7 +24,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 5)
         return h
@@ -166,7 +166,7 @@ def repeated_ranges(docs: DataFrame, window: int = 50, gram: int = 8, hot_from:
 
     def survey(batches):
         hashes = _Hashes()
-        for b in batches:
+        for b in small(batches):
             seen = [(doc, m) for doc, _, _, m, _, _ in _runs(b, window, gram, hashes)]
             if seen:
                 mini = np.concatenate([m for _, m in seen])
@@ -192,7 +192,7 @@ def repeated_ranges(docs: DataFrame, window: int = 50, gram: int = 8, hot_from:
 
     def pack(batches):
         hashes, (bits, filt, hot, parts) = _Hashes(), sent.value
-        for b in batches:
+        for b in small(batches):
             rows = []
             for doc, tid, words, mini, first, last in _runs(b, window, gram, hashes):
                 ok = _passes(mini, bits, filt)
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = given.join(bounded_broadcast(ranges, most), "doc_id", "left").select("doc_id", "text", *carry, "by_tid")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = []
             for text, by_tid in zip(texts(b), b.column("by_tid").to_pylist()):
                 words = text.split()

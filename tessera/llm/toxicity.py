@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import small, texts
 from .learning import labelled, sample, with_fold
 
 #: Hashed columns: a word and its beginnings of these lengths, in code points.
@@ -34,8 +34,8 @@ def _features(rows: DataFrame) -> list[np.ndarray]:
     """Columns of every row's distinct words, one array a row; ``rows`` is a bounded sample."""
 
     def run(batches):
-        columns = lru_cache(200_000)(_columns)
-        for b in batches:
+        columns = lru_cache(50_000)(_columns)
+        for b in small(batches):
             found = [np.array([c for w in _words(t) for c in columns(w)], np.uint32).tobytes() for t in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["columns"])
 
@@ -116,8 +116,8 @@ def score_toxicity(
 
     def run(batches):
         weights, bias = sent.value
-        weight = lru_cache(500_000)(lambda word: float(weights[_columns(word)].sum()))
-        for b in batches:
+        weight = lru_cache(150_000)(lambda word: float(weights[_columns(word)].sum()))
+        for b in small(batches):
             f = np.array([sum(map(weight, _words(t))) for t in texts(b)], np.float64) + bias
             own = ["doc_id", "held_out", *carry]
             yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))))], [*own, "score"])
