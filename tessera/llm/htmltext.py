@@ -39,11 +39,11 @@ GOOD = frozenset("article articlebody body content entry main maincontent post p
 
 #: Linear classifier of a block: positive speaks for content. The bias is that of a short text without any sign.
 WEIGHTS = {
-    "bias": -0.6, "in article": 2.5, "in main": 1.5, "good name": 1.5, "bad name": -6.0, "chrome": -6.0, "page header": -5.0, "header in article": -1.0,
-    "heading": 0.6, "words": 0.9, "stops": 0.8, "links": -3.5, "outside": -0.8,
+    "bias": -0.4, "in article": 2.5, "in main": 1.5, "good name": 1.5, "bad name": -6.0, "chrome": -6.0, "page header": -5.0, "header in article": -1.0,
+    "heading": 0.6, "words": 0.9, "stops": 0.8, "links": -3.5, "outside": -0.5,
 }
-#: Smoothness: of blocks side by side, and of the nearest blocks of one parent.
-ADJACENT, SIBLING = 0.8, 0.5
+#: Smoothness: of blocks side by side (by their distance), and of neighbours under one parent.
+ADJACENT, SIBLING = 1.6, 0.5
 SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -56,7 +56,9 @@ class _Element:
         signs = set(parent.signs) if parent else set()
         names = {w for key in ("class", "id", "role") if attrs.get(key) for w in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs[key]).lower())}
         if tag not in ("body", "html"):
-            if names & BAD:
+            if names & BAD == {"header"} and (names & GOOD or signs & {"in article", "in main", "good name"}):
+                signs.add("header in article")  # the head of the article, with its title
+            elif names & BAD:
                 signs.add("bad name")
             elif names & GOOD:
                 signs.add("good name")
@@ -232,9 +234,9 @@ def main_blocks(html: str) -> list[str]:
     edges, last = [], {}
     for i, (element, _, _) in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, ADJACENT / (1 + distance(blocks[i - 1][0], element))))
+            edges.append((i - 1, i, ADJACENT / max(1, distance(blocks[i - 1][0], element))))
         parent = (element.parent or element).serial
-        if last.get(parent, i - 1) != i - 1:
+        if parent in last:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
     keep = minimum_cut([cost(*b) for b in blocks], edges)
