@@ -5,7 +5,7 @@ Events: ``seq, event_id, workflow_id, kind (OPENED, CONCLUDED), material_id, dec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OK, DUPLICATE, ALREADY_OPENED, NOT_OPENED = "ok", "dup", "already_opened", "not_opened"
@@ -14,13 +14,13 @@ COLUMNS = ["seq", "event_id", "workflow_id", "kind", "material_id", "decision",
 
 
 def _independent(events: DataFrame) -> DataFrame:
-    """Outcomes where each event id is of one workflow and one kind. Only combinable minima and equi-joins: a workflow
-    may have any number of events."""
-    opens = events.where("kind = 'OPENED'").groupBy("workflow_id").agg(F.min(F.struct("seq", "material_id", "decision", "event_at", "event_id")).alias("open"))
-    all_ = events.join(opens, "workflow_id", "left")
+    """Outcomes where each event id is of one workflow and one kind: minima over a workflow's events tell what is stored
+    of it, so events are shuffled once and never folded."""
+    of = Window.partitionBy("workflow_id")
+    is_open = F.col("kind") == "OPENED"
+    all_ = events.withColumn("open", F.min(F.when(is_open, F.struct("seq", "material_id", "decision", "event_at", "event_id"))).over(of))
     fits = (F.col("seq") > F.col("open.seq")) & (F.col("material_id") == F.col("open.material_id")) & (F.col("decision") == F.col("open.decision")) & (F.col("event_at") >= F.col("open.event_at"))
-    ends = all_.where((F.col("kind") == "CONCLUDED") & fits).groupBy("workflow_id").agg(F.min(F.struct("seq", "event_id")).alias("end"))
-    all_ = all_.join(ends, "workflow_id", "left")
+    all_ = all_.withColumn("end", F.min(F.when(~is_open & fits, F.struct("seq", "event_id"))).over(of))
     known = F.least(F.when(F.col("open.event_id") == F.col("event_id"), F.col("open.seq")), F.when(F.col("end.event_id") == F.col("event_id"), F.col("end.seq")))
     outcome = (
         F.when(known < F.col("seq"), DUPLICATE)
