@@ -45,9 +45,16 @@ def _features(rows: DataFrame) -> list[np.ndarray]:
 
 def _flat(docs: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kept columns of all documents end to end, renumbered by ``at`` (-1: dropped), and the document of each."""
-    own = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    cols = at[np.concatenate(docs)] if docs else np.empty(0, np.int64)
-    return cols[cols >= 0], own[cols >= 0]
+    kept = [x[x >= 0] for x in (at[d] for d in docs)]
+    return np.concatenate(kept), np.repeat(np.arange(len(docs)), [len(x) for x in kept])
+
+
+def _frequencies(docs: list[np.ndarray]) -> np.ndarray:
+    """In how many documents each column occurs."""
+    out = np.zeros(1 << BITS, np.int32)
+    for d in docs:
+        out[np.unique(d)] += 1
+    return out
 
 
 def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-3):
@@ -90,11 +97,11 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str, most_positive: int
     unl = _features(sample(free, free.count(), most_unlabelled, "unlabelled"))
     if not pos or not unl:
         return weights, float(np.log(prior / (1 - prior)))
-    p_df, u_df = (np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << BITS) for docs in (pos, unl))
+    p_df, u_df = _frequencies(pos), _frequencies(unl)
     # Columns more frequent in positives than chance lets them be; the rest carries no sign of toxicity.
     chance = len(pos) * (u_df + 0.5) / len(unl)
     keep = np.flatnonzero((p_df >= 3) & (p_df > 2 * chance) & (p_df - chance >= 5 * np.sqrt(chance + 0.5)))
-    at = np.full(1 << BITS, -1, np.int64)
+    at = np.full(1 << BITS, -1, np.int32)
     at[keep] = np.arange(len(keep))
     w, bias = nnpu(_flat(pos, at), _flat(unl, at), len(pos), len(unl), len(keep), prior)
     weights[keep] = w
