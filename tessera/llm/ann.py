@@ -187,7 +187,7 @@ def _search(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int, table
     schema = f"table int, bucket long, id long, v {kind}"
     placed = materialise(rows.mapInArrow(place, schema), "placed")
     chunks = placed.groupBy("table", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    chunks = bounded_broadcast(materialise(chunks, "chunks"))
+    chunks = bounded_broadcast(materialise(chunks, "chunks", True))
     there = placed.join(chunks, ["table", "bucket"]).select("table", "bucket", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id", "v")
     asked = queries.mapInArrow(probe, schema).join(chunks, ["table", "bucket"])
     asked = asked.select("table", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "v")

@@ -23,8 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: its lineage is cut and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: its lineage is cut and a lost executor costs no
+    recomputation. ``compact``, for what a cheap last step makes of few bytes: no more tasks and files than cores."""
+    if compact:
+        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -88,13 +88,14 @@ def find_leaks(
     k = shingle_words
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     given = given.select("doc_id", F.xxhash64("text").alias("tid"), _words("text").alias("words"))
-    items = materialise(benchmark.select(F.col(item_col).cast("long").alias("item_id"), _words(item_text_col).alias("item_words")).where("size(item_words) > 0").distinct(), "items")
+    items = materialise(benchmark.select(F.col(item_col).cast("long").alias("item_id"), _words(item_text_col).alias("item_words")).where("size(item_words) > 0").distinct(), "items", True)
     long_items = items.where(F.size("item_words") >= k).withColumn("item_no", F.xxhash64("item_id", "item_words"))
     item_shingles = _exploded(long_items.select("item_no", F.col("item_words").alias("words")), ["item_no"], k)
-    item_counts = materialise(item_shingles.groupBy("item_no", "h").agg(F.count("*").alias("n_item")), "item_counts")
+    item_counts = materialise(item_shingles.groupBy("item_no", "h").agg(F.count("*").alias("n_item")), "item_counts", True)
     size = materialise(
         fingerprint(item_shingles, ["item_no"]).withColumnRenamed("fp", "item_fp").join(long_items.select("item_no", "item_id", (F.size("item_words") - (k - 1)).alias("size")), "item_no"),
         "item_sizes",
+        True,
     )
     key = ["doc_id", "tid"]
 
@@ -106,22 +107,22 @@ def find_leaks(
     anchors = anchors.withColumn("span", F.least("size", "n_doc")).withColumn("need", _least_overlap(F.col("size"), F.col("span"), similarity))
     starts = F.expr("transform(filter(sequence(1, size(at) - need + 1), i -> at[i + need - 2] - at[i - 1] < span), i -> least(at[i - 1], n_doc - span))")
     windows = anchors.where("size(at) >= need").select(*key, "item_no", "size", "span", F.explode(F.array_distinct(starts)).alias("start"))
-    windows = materialise(windows.select(*key, "size", "span", "start").distinct(), "windows")
+    windows = materialise(windows.select(*key, "size", "span", "start").distinct(), "windows", True)
 
     # Their shingles, once more from the text: only of documents that have such windows.
     texts = given.select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), "words").join(
-        bounded_broadcast(materialise(windows.select(*key).distinct(), "suspects")), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left_semi"
+        bounded_broadcast(materialise(windows.select(*key).distinct(), "suspects", True)), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left_semi"
     )
     hashes = texts.groupBy("d", "t").agg(F.first("words").alias("words")).select("d", "t", F.transform(_shingles("words", k), lambda s: F.xxhash64(*[s[str(i)] for i in range(k)])).alias("hs"))
     inside = windows.join(hashes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")))
     own = [*key, "size", "span", "start"]
     inside = inside.select(*own, F.explode(F.slice("hs", F.col("start") + 1, F.col("span"))).alias("h"))
-    inside = materialise(inside.groupBy(*own, "h").agg(F.count("*").alias("n_window")), "inside")
+    inside = materialise(inside.groupBy(*own, "h").agg(F.count("*").alias("n_window")), "inside", True)
     repeated = inside.withColumn("h", F.explode(F.array_repeat("h", F.col("n_window").cast("int"))))
-    prints = materialise(fingerprint(repeated, own), "prints")
+    prints = materialise(fingerprint(repeated, own), "prints", True)
 
     found = multi_index(prints, bounded_broadcast(size.select(F.col("item_no").alias("item_id"), "item_fp", "size")), radius).withColumnRenamed("item_id", "item_no")
-    found = materialise(found.drop("fp"), "pairs")
+    found = materialise(found.drop("fp"), "pairs", True)
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"i.{c}")) if c == "doc_id" else F.col(f"f.{c}") == F.col(f"i.{c}") for c in own]
     shared = found.alias("f").join(inside.alias("i"), same).select("f.*", "i.h", "i.n_window").join(bounded_broadcast(item_counts), ["item_no", "h"])
     shared = shared.groupBy(*own, "item_no", "distance").agg(F.sum(F.least("n_window", "n_item")).alias("o"))
@@ -132,6 +133,6 @@ def find_leaks(
 
     for n in [r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < k).distinct().collect()]:
         short = _exploded(items.where(F.size("item_words") == n).select("item_id", F.col("item_words").alias("words")), ["item_id"], n).select("item_id", "h")
-        runs = _exploded(given, key, n).join(bounded_broadcast(materialise(short, "short")), "h").groupBy(*key, "item_id").agg(F.min("pos").alias("start"))
+        runs = _exploded(given, key, n).join(bounded_broadcast(materialise(short, "short", True)), "h").groupBy(*key, "item_id").agg(F.min("pos").alias("start"))
         out = out.union(runs.select(*key, "item_id", "start", F.lit(n).alias("n_words"), F.lit(1.0).alias("similarity"), F.lit(0).alias("distance")))
     return out

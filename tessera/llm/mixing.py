@@ -53,14 +53,14 @@ def _thresholds(sizes: DataFrame, parts: DataFrame) -> DataFrame:
         hist = hist.withColumn("upto", F.col("before") + F.sum("size").over(line))
         ends = F.col("upto") >= F.col("part")
         hist = hist.where(ends & (F.col("upto") - F.col("size") < F.col("part")) & (F.col("size") > 0))
-        hist = materialise(hist.select("source", "part", "prefix", (F.col("upto") - F.col("size")).alias("before"), "size", "n"), "boundary")
+        hist = materialise(hist.select("source", "part", "prefix", (F.col("upto") - F.col("size")).alias("before"), "size", "n"), "boundary", True)
         nearer = F.col("part") - F.col("before") > F.col("size") / 2
         single = (F.col("n") == 1) | F.lit(shift == 0)
         done.append(hist.where(single).select("source", (F.shiftleft("prefix", shift) + F.when(nearer, (1 << shift) - 1).otherwise(-1)).alias("last")))
         open_ = hist.where(~single).select("source", "part", "prefix", "before")
         if shift == 0 or open_.isEmpty():
             break
-        open_ = materialise(open_, "open")
+        open_ = materialise(open_, "open", True)
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
@@ -91,9 +91,10 @@ def mix_sources(
         .withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("part", F.col("target") - F.col("times") * F.col("source_size")),
         "targets",
+        True,
     )
     cuts = _thresholds(sizes, targets.select("source", "part"))
-    plan = materialise(targets.join(cuts.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c"))).drop("c", "part"), "plan")
+    plan = materialise(targets.join(cuts.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c"))).drop("c", "part"), "plan", True)
     out = (given if carry else sizes).withColumnRenamed("source", "s").join(bounded_broadcast(plan), F.col("s").eqNullSafe(F.col("source")))
     out = out.withColumn("copies", F.col("times") + (F.col("h") <= F.col("last")).cast("long"))
     return out.select("doc_id", *carry, "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -233,11 +233,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and names no component, unless no id there is known (then null). Other columns are not read. No rows, no result.
     """
     fps = materialise(fingerprint_documents(docs, id_col, text_col, shingle_words), "fps")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes", True)
     named = nodes.join(link_fingerprints(nodes, radius), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialise(named, "named")
-    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    names = materialise(named.join(least, "root").select("fp", "component_id"), "names")
+    named = materialise(named, "named", True)
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "least", True)
+    names = materialise(named.join(least, "root").select("fp", "component_id"), "names", True)
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -281,12 +281,12 @@ def near_duplicates(
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tid"))
     sketch = materialise(_sketch(given, shingle_words, anchors), "sketch")
-    rep = materialise(sketch.groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tid"))).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")).withColumn("id", F.xxhash64("digest")), "rep")
+    rep = materialise(sketch.groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tid"))).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")).withColumn("id", F.xxhash64("digest")), "rep", True)
     rows = rep.select("id", "fp", F.explode(F.array_distinct("anchors")).alias("bucket"))
     # Buckets with the same members are one bucket: the count and two sums of hashes stand for the set.
     members = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2")).where("n > 1")
     kept = members.groupBy("n", "s", "s2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = materialise(rows.join(kept, "bucket"), "buckets")
+    rows = materialise(rows.join(kept, "bucket"), "buckets", True)
 
     def partners(batches):
         def of_tile(t):
@@ -303,9 +303,9 @@ def near_duplicates(
         yield from _tiles(batches, of_tile)
 
     # First by fingerprint alone: who has a partner at all. Only those bring their shingles.
-    close = materialise(_in_tiles(rows).mapInArrow(partners, "id long, bucket long").distinct().join(rows, ["id", "bucket"]), "close")
+    close = materialise(_in_tiles(rows).mapInArrow(partners, "id long, bucket long").distinct().join(rows, ["id", "bucket"]), "close", True)
     wanted = close.select("id").distinct().join(rep.select("id", F.col("digest").alias("want"), F.col("least.doc_id").alias("rep_id")), "id")
-    wanted = bounded_broadcast(materialise(wanted, "wanted"))
+    wanted = bounded_broadcast(materialise(wanted, "wanted", True))
 
     def shingles(batches):
         for b in small(batches):
@@ -329,7 +329,7 @@ def near_duplicates(
         yield from _tiles(batches, of_tile)
 
     roots = connected_components(_in_tiles(close.join(sets, "id")).mapInArrow(links, "a long, b long"))
-    named = materialise(rep.select("digest", "least", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
-    least = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
-    names = materialise(named.join(least, "root").select("digest", "component"), "names")
+    named = materialise(rep.select("digest", "least", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named", True)
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least", True)
+    names = materialise(named.join(least, "root").select("digest", "component"), "names", True)
     return sketch.join(names, "digest").select("doc_id", "tid", F.col("component.doc_id").alias("component_id"), F.col("component.tid").alias("component_tid"))

@@ -180,7 +180,7 @@ def repeated_ranges(docs: DataFrame, window: int = 50, gram: int = 8, hot_from:
 
     # Which minimisers do several documents share? All others travel no further.
     counts = docs.mapInArrow(survey, "mini long, lo long, hi long, n long").groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-    shared = materialise(counts.where("lo < hi").select("mini", "n"), "shared")
+    shared = materialise(counts.where("lo < hi").select("mini", "n"), "shared", True)
     total, n_shared = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     most = max(hot_from, total / 1000)
     hot = shared.where(F.col("n") > most).select("mini", F.ceil(F.col("n") / most).cast("long").alias("parts")).orderBy("mini").toArrow()
@@ -241,10 +241,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     import zlib
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    found = materialise(repeated_ranges(given.select("doc_id", "text"), window, hot_from=hot_from), "ranges")
+    found = repeated_ranges(given.select("doc_id", "text"), window, hot_from=hot_from)
     # All ranges of a row: as many as its words at most.
     ranges = found.distinct().groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    ranges = materialise(ranges.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tid", "ranges"))).alias("by_tid")), "by_doc")
+    ranges = materialise(ranges.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tid", "ranges"))).alias("by_tid")), "by_doc", True)
     most = 300_000 if found.count() <= 1_000_000 else 0
     joined = given.join(bounded_broadcast(ranges, most), "doc_id", "left").select("doc_id", "text", *carry, "by_tid")
 
