@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small, texts
 from .learning import labelled, with_fold
@@ -51,8 +52,11 @@ def fit(rows: DataFrame, shrink: float = 0.1, ridge: float = 0.02):
                 n[c], s[c], x2[c] = n[c] + len(v), s[c] + v.sum(0), x2[c] + v.T @ v
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([n, s.ravel(), x2.ravel()]).tolist()], pa.list_(pa.float64()))], ["sums"])
 
-    got = [np.array(r.sums) for r in rows.select("text", "y").mapInArrow(run, "sums array<double>").toLocalIterator()]
-    total, d = sum(got, np.zeros(2 + 2 * len(STATISTICS) * (1 + len(STATISTICS)))), len(STATISTICS)
+    parts = rows.select("text", "y").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "part"))
+    d = len(STATISTICS)
+    total = np.zeros(2 + 2 * d * (1 + d))
+    for r in parts.groupBy("at").agg(F.sum("part").alias("total")).collect():
+        total[r["at"]] = r["total"]
     n, s, x2 = total[:2], total[2 : 2 + 2 * d].reshape(2, d), total[2 + 2 * d :].reshape(2, d, d)
     if not n.all():
         return None
