@@ -251,7 +251,7 @@ def audit_events(spark, sf):
 
 def audit_roundtrip(spark, sf):
     good = reviews.record_reviews(_reviews(spark, sf)).where("violation is null")
-    back = good.select("audit_event", records.audit_json("audit_event").alias("raw")).withColumns(records.audit_record("raw"))
+    back = records.validated(good.select("audit_event", records.audit_json("audit_event").alias("raw")), records.audit_record)
     same = F.lit(True)
     for k in ("event_id", "material_id", "actor_id", "review_id", "occurred_at"):
         same = same & (F.col(f"event.{k}") == F.col(f"audit_event.{k}"))
@@ -352,7 +352,8 @@ def lifecycle_roundtrip(spark, sf):
         .when(n == 3, F.replace("raw", F.lit('"workflow_id"'), F.lit('"work"'))).when(n == 4, F.replace("raw", F.lit("+00:00"), F.lit("")))
         .when(n == 5, F.concat(F.lit('{"event_type":null,'), F.expr("substring(raw, 2)"))).otherwise(F.col("raw"))
     )
-    back = opened.union(ended).select("seq", broken.alias("raw")).where("not (seq % 23 = 5 and contains(raw, 'WORKFLOW_CONCLUDED'))").withColumns(records.lifecycle_record("raw"))
+    lines = opened.union(ended).select("seq", broken.alias("raw")).where("not (seq % 23 = 5 and contains(raw, 'WORKFLOW_CONCLUDED'))")
+    back = records.validated(lines, records.lifecycle_record)
     return back.select("seq", F.coalesce("violation", F.lit("ok")).alias("violation"), F.col("event.kind").alias("kind"), F.col("event.workflow_id").alias("workflow_id"))
 
 
