@@ -1,10 +1,12 @@
 """Katz backoff language model over words, with Good-Turing discounts and exactly normalised backoff weights.
 
-Unigram counts cover every training token. Bigrams are counted between the commonest words, at most ``vocabulary`` of
-them; all other words, seen or not, are one class there, whose share is divided among its members by their discounted
-unigram counts (unseen words share what the discounts set aside). So the model is a distribution over an open
-vocabulary, and a history has a bounded number of followers. Counts are tables in the shared folder, dealt out by
-history; documents are scored where the counts of their histories are, and only sums travel back.
+Unigram and bigram counts cover every training token; unseen words share what the discounts set aside, so the model is a
+distribution over an open vocabulary. Every task knows the commonest words by short ids; all others go by 62 bits of a
+hash, and their unigram counts are joined to where they follow a history. Counts are tables in the shared folder, dealt
+out by history; documents are scored where the counts of their histories are, and only sums travel back.
+
+With a ``vocabulary`` given, bigrams are counted between so many of the commonest words only: all other words, seen or
+not, are one class there, whose share is divided among its members by their discounted unigram counts.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, discard, fold_of, materialise, partitions, small, texts
 
-#: Class of words outside the vocabulary, and the history of a text's first token; word ids start after these.
-RARE, BEGIN, FIRST = 0, 1, 2
+#: Class of words outside a given vocabulary, and the history of a text's first token; word ids start after these, codes
+#: of words without an id at HASHED.
+RARE, BEGIN, FIRST, HASHED = 0, 1, 2, 1 << 62
+#: Words, at most, that have an id if no vocabulary is given.
+CACHE = 1 << 18
 #: The token that ends a text; no word is empty.
 END = b""
-#: A bigram is history << SHIFT | word. Counts up to MOST_DISCOUNTED are discounted.
-SHIFT, MOST_DISCOUNTED = 20, 5
+#: Where codes are numbered, a bigram is history << SHIFT | word. Counts up to MOST_DISCOUNTED are discounted.
+SHIFT, MOST_DISCOUNTED = 31, 5
+LOW = (1 << SHIFT) - 1
 #: Tokens that a task gathers before it sends them off.
 CHUNK = 2_000_000
 
@@ -47,11 +53,29 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0)
 
 
+class _Codes(dict):
+    """Codes of words: their ids; of others, RARE in a model with that class, else by hash."""
+
+    def __init__(self, words: list[bytes], classed: bool):
+        import xxhash
+
+        super().__init__((w, i + FIRST) for i, w in enumerate(words))
+        self.classed, self.hash = classed, xxhash.xxh64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        return RARE if self.classed else self.hash(word, 42) >> 2 | HASHED
+
+
+def _code(token):
+    """The code by hash as a column."""
+    return F.shiftrightunsigned(F.xxhash64(token), 2).bitwiseOR(F.lit(HASHED))
+
+
 class Unigrams:
-    """What every task knows of the unigram model: vocabulary, counts and probabilities by id, of bounded size."""
+    """What every task knows of the unigram model: words with ids, their counts and probabilities, of bounded size."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, of_counts: dict[int, int]):
-        self.words, self.n, self.v, self.d = words, n, v, discounts(of_counts)
+    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, of_counts: dict[int, int], classed: bool):
+        self.words, self.n, self.v, self.d, self.classed = words, n, v, discounts(of_counts), classed
         small = {r: c for r, c in of_counts.items() if r <= MOST_DISCOUNTED}
         aside = sum((1 - self.d[r]) * r * c for r, c in small.items())
         self.whole = n if aside else n + 1  # something is always set aside for unseen words
@@ -65,16 +89,27 @@ class Unigrams:
     def ids(self) -> dict[bytes, int]:
         return {w: i + FIRST for i, w in enumerate(self.words)}
 
+    def codes(self) -> _Codes:
+        return _Codes(self.words, self.classed)
+
+    def of(self, word: np.ndarray, rare: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Probabilities of codes. ``rare``, ``count``: sorted codes by hash, with all that are in ``word``, and their counts."""
+        hashed = word >= HASHED
+        out = self.p[np.where(hashed, RARE, word)]
+        if hashed.any():
+            out[hashed] = (_discounted(count, self.d) / self.whole)[np.searchsorted(rare, word[hashed])]
+        return out
+
 
-def backoff(history: np.ndarray, word: np.ndarray, count: np.ndarray, p: np.ndarray, d: np.ndarray):
-    """Per bigram, sorted by history: log10 of its discounted probability; per history: the history, log10 of its
+def backoff(history: np.ndarray, p: np.ndarray, count: np.ndarray, d: np.ndarray):
+    """Per bigram, sorted by history, ``p`` its word's unigram probability: log10 of its discounted probability; per history: the history, log10 of its
     backoff weight. What the followers of a history leave is shared by the unigram probabilities of all others, so
     the two parts sum to one. A history whose counts leave nothing counts one event more; one that every word has
     followed keeps its counts whole."""
     start = np.flatnonzero(np.append(True, history[1:] != history[:-1])) if len(history) else np.empty(0, int)
     own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(history))))
     total = np.bincount(own, weights=count, minlength=len(start)).astype(float)
-    others = 1 - np.bincount(own, weights=p[word], minlength=len(start))
+    others = 1 - np.bincount(own, weights=p, minlength=len(start))
     every = others < 1e-9
     kept = np.where(every[own], count, _discounted(count, d))
     left = np.where(every, 0.0, total - np.bincount(own, weights=kept, minlength=len(start)))
@@ -92,9 +127,26 @@ def _unpack(blob: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(blob, size, asbytes=True), kind) if n else np.empty(0, kind)
 
 
-def _gaps(keys: np.ndarray) -> np.ndarray:
-    """Differences of sorted keys: small numbers, which compress well."""
-    return np.diff(keys, prepend=np.int64(0))
+def _pack_pairs(history: np.ndarray, word: np.ndarray) -> bytes:
+    """Of pairs sorted by history, then word: differences, small numbers, byte by byte, which compress well."""
+    gaps = word.copy()
+    gaps[1:] -= np.where(history[1:] == history[:-1], word[:-1], 0)
+    return _pack(np.ascontiguousarray(np.concatenate([np.diff(history, prepend=np.int64(0)), gaps]).view(np.uint8).reshape(-1, 8).T))
+
+
+def _unpack_pairs(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(_unpack(blob, 16 * n, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0]
+    history, word = np.cumsum(both[:n]), np.cumsum(both[n:])  # sums of words may wrap, their differences are right
+    start = np.flatnonzero(np.append(True, history[1:] != history[:-1]))
+    before = word[start] - both[n:][start]
+    return history, word - np.repeat(before, np.diff(np.append(start, n)))
+
+
+def _by_bucket(history: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by bucket of histories that leaves rows of a bucket in theirs, and where each bucket's begin and end."""
+    bucket = (history % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -118,72 +170,84 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def unigrams(counts: DataFrame, vocabulary: int) -> tuple[Unigrams, int]:
-    """The unigram model and the least count of a vocabulary word. Counts of counts have at most sqrt(2 N) rows."""
+def unigrams(counts: DataFrame, vocabulary: int | None) -> tuple[Unigrams, int]:
+    """The unigram model and the least count of a word with an id. Counts of counts have at most sqrt(2 N) rows."""
     by = sorted((r.c, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect())
     n, v, least, words = sum(c * k for c, k in by), sum(k for _, k in by), 1, 0
     for c, k in reversed(by):
-        if words + k > vocabulary:
+        if words + k > (CACHE if vocabulary is None else vocabulary):
             least = c + 1
             break
         words += k
     hot = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "token").toArrow()
-    return Unigrams([t.encode() for t in hot.column("token").to_pylist()], hot.column("c").to_numpy(), n, v, dict(by)), least
+    return Unigrams([t.encode() for t in hot.column("token").to_pylist()], hot.column("c").to_numpy(), n, v, dict(by), vocabulary is not None), least
 
 
-def _pairs(batches, ids: dict[bytes, int]):
-    """Chunks ``(bigrams, document of each, doc_ids, tids)`` of the texts of batches."""
+def _pairs(batches, codes: _Codes):
+    """Chunks ``(codes, bigrams, document of each, doc_ids, tids)`` of the texts of batches: sorted distinct codes, and
+    bigrams of numbers of these."""
     import zlib
 
-    get, docs, tids, parts, size = ids.get, [], [], [], 0
-    end = ids.get(END, RARE)
+    get, docs, tids, parts, size = codes.__getitem__, [], [], [], 0
+    end = get(END)
+
+    def chunk():
+        known, number = np.unique(np.concatenate(parts), return_inverse=True)
+        ends = np.cumsum([len(x) for x in parts])
+        first, last = np.ones(len(number), bool), np.ones(len(number), bool)
+        first[ends - 1] = False
+        last[np.append(0, ends[:-1])] = False
+        return known, number[first] << SHIFT | number[last], np.repeat(np.arange(len(parts)), [len(x) - 1 for x in parts]), docs, tids
+
     for b in small(batches):
         for doc, text in zip(b.column(0).to_pylist(), texts(b)):
             words = text.lower().split()
             seq = np.empty(len(words) + 2, np.int64)
             seq[0], seq[-1] = BEGIN, end
-            seq[1:-1] = np.fromiter(map(get, words, repeat(RARE)), np.int64, len(words))
-            parts.append((seq[:-1] << SHIFT) | seq[1:])
+            seq[1:-1] = np.fromiter(map(get, words), np.int64, len(words))
+            parts.append(seq)
             docs.append(doc)
             tids.append(zlib.crc32(text) - (1 << 31))
             size += len(words)
             if size > CHUNK:
-                yield np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), docs, tids
+                yield chunk()
                 docs, tids, parts, size = [], [], [], 0
     if parts:
-        yield np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts]), docs, tids
+        yield chunk()
 
 
-def _sum_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, int)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+def _sum_pairs(history: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((word, history))
+    history, word, counts = history[order], word[order], counts[order]
+    at = np.flatnonzero(np.append(True, (history[1:] != history[:-1]) | (word[1:] != word[:-1])))
+    return history[at], word[at], np.add.reduceat(counts, at)
 
 
-def count_bigrams(train: DataFrame, ids, buckets: int) -> DataFrame:
+def count_bigrams(train: DataFrame, model, buckets: int) -> DataFrame:
     """``(bucket, n, keys, counts, of_counts)``: sorted distinct bigrams of a bucket of histories and their counts, one
     row a bucket; ``of_counts[r]`` bigrams of it occur r times."""
 
     def run(batches):
-        own = ids.value.ids()
-        for keys, *_ in _pairs(batches, own):
-            keys, n = np.unique(keys, return_counts=True)
-            bucket = (keys >> SHIFT) % buckets
-            rows = [(i, int(m.sum()), _pack(_gaps(keys[m])), _pack(n[m].astype(np.int32))) for i in range(buckets) if (m := bucket == i).any()]
+        own = model.value.codes()
+        for codes, pairs, *_ in _pairs(batches, own):
+            pairs, n = np.unique(pairs, return_counts=True)
+            history, word = codes[pairs >> SHIFT], codes[pairs & LOW]
+            order, cut = _by_bucket(history, buckets)
+            history, word, n = history[order], word[order], n[order].astype(np.int32)
+            rows = [(i, int(y - x), _pack_pairs(history[x:y], word[x:y]), _pack(n[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "counts"])
 
     def merge(batches):
-        now, keys, counts = None, [], []
+        now, parts = None, []
 
         def total():
-            return _sum_keys(np.concatenate(keys), np.concatenate(counts))
+            return _sum_pairs(*map(np.concatenate, zip(*parts)))
 
         def row():
-            k, c = total()
+            h, w, c = total()
             of = np.bincount(np.minimum(c, MOST_DISCOUNTED + 2), minlength=MOST_DISCOUNTED + 3)[: MOST_DISCOUNTED + 2]
             return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([_pack(_gaps(k))], pa.binary()), pa.array([_pack(c)], pa.binary()), pa.array([of.tolist()], pa.list_(pa.int64()))],
+                [pa.array([now], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([_pack_pairs(h, w)], pa.binary()), pa.array([_pack(c)], pa.binary()), pa.array([of.tolist()], pa.list_(pa.int64()))],
                 ["bucket", "n", "keys", "counts", "of_counts"],
             )
 
@@ -191,12 +255,11 @@ def count_bigrams(train: DataFrame, ids, buckets: int) -> DataFrame:
             for bucket, n, k, c in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if now is not None and bucket != now:
                     yield row()
-                    keys, counts = [], []
+                    parts = []
                 now = bucket
-                keys.append(np.cumsum(_unpack(k, n, np.int64)))
-                counts.append(_unpack(c, n, np.int32).astype(np.int64))
-                if sum(map(len, keys)) > 4_000_000 + 2 * len(keys[0]):  # what is held stays near the distinct ones
-                    keys, counts = ([x] for x in total())
+                parts.append((*_unpack_pairs(k, n), _unpack(c, n, np.int32).astype(np.int64)))
+                if sum(len(x[0]) for x in parts) > 4_000_000 + 2 * len(parts[0][0]):  # what is held stays near the distinct ones
+                    parts = [total()]
         if now is not None:
             yield row()
 
@@ -205,7 +268,30 @@ def count_bigrams(train: DataFrame, ids, buckets: int) -> DataFrame:
     return dealt.mapInArrow(merge, "bucket int, n long, keys binary, counts binary, of_counts array<long>")
 
 
-def _backed_off(docs: DataFrame, bigrams: DataFrame, model, d2: np.ndarray, buckets: int) -> DataFrame:
+def _rare_followers(bigrams: DataFrame, rare: DataFrame) -> DataFrame:
+    """``(bucket, n, keys, counts)``: the words by hash that follow a history of a bucket, and their unigram counts."""
+
+    def followers(batches):
+        for b in batches:
+            for bucket, n, keys in zip(*(b.column(i).to_pylist() for i in range(3))):
+                words = np.unique((w := _unpack_pairs(keys, n)[1])[w >= HASHED])
+                for at in range(0, len(words), 100_000):
+                    part = words[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), pa.array(part)], ["bucket", "code"])
+
+    def pack(batches):
+        for b in batches:
+            bucket, words, c = (b.column(i).to_numpy() for i in range(3))
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            rows = [(int(bucket[x]), y - x, _pack(words[x:y]), _pack(c[x:y])) for x, y in zip(edges[:-1], edges[1:]) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "counts"])
+
+    there = bigrams.select("bucket", "n", "keys").mapInArrow(followers, "bucket int, code long")
+    met = there.join(rare.select(_code("word").alias("code"), "c"), "code").select("bucket", "code", "c")
+    return met.repartition(partitions(bigrams.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(pack, "bucket int, n long, keys binary, counts binary")
+
+
+def _backed_off(docs: DataFrame, bigrams: DataFrame, rare: DataFrame | None, model, d2: np.ndarray, buckets: int) -> DataFrame:
     """``(doc_id, tid, lp)``: sums of what the history adds to a token's unigram log probability: the ratio of bigram
     to unigram where the bigram was seen, the backoff weight of the history where not. A chunk of documents asks each
     bucket of histories once for all its tokens, and gets one packed list of sums by document."""
@@ -213,39 +299,52 @@ def _backed_off(docs: DataFrame, bigrams: DataFrame, model, d2: np.ndarray, buck
     def ask(batches):
         from pyspark import TaskContext
 
-        own, chunk = model.value.ids(), (TaskContext.get().partitionId() + 1) << 24
-        for keys, doc, ids, tids in _pairs(batches, own):
+        own, chunk = model.value.codes(), (TaskContext.get().partitionId() + 1) << 24
+        for codes, pairs, doc, ids, tids in _pairs(batches, own):
             chunk += 1
-            place = ((keys >> SHIFT) % buckets << 2 * SHIFT) | keys
-            order = np.argsort(place)
-            keys, doc, cut = keys[order], doc[order].astype(np.int32), np.searchsorted(place[order] >> 2 * SHIFT, np.arange(buckets + 1))
-            rows = [(i, 1, int(y - x), _pack(_gaps(keys[x:y])), _pack(doc[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+            order = np.argsort(pairs)
+            history, word, doc = codes[pairs[order] >> SHIFT], codes[pairs[order] & LOW], doc[order].astype(np.int32)
+            order, cut = _by_bucket(history, buckets)
+            history, word, doc = history[order], word[order], doc[order]
+            rows = [(i, 2, int(y - x), _pack_pairs(history[x:y], word[x:y]), _pack(doc[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
             named = np.array([[i is not None, i or 0] for i in ids], np.int64)
-            rows.append((chunk % buckets, 2, len(ids), _pack(named), _pack(np.array(tids, np.int32))))
+            rows.append((chunk % buckets, 3, len(ids), _pack(named), _pack(np.array(tids, np.int32))))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(rows), chunk))], ["bucket", "side", "n", "keys", "other", "chunk"])
 
     def answer(batches):
-        p, now = model.value.p, None
+        now, of, rare = None, None, []
         for b in batches:
             rows = []
             for bucket, side, n, keys, other, chunk in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if side == 2:  # who the documents of a chunk are, on its way to where its sums meet
+                if side == 3:  # who the documents of a chunk are, on its way to where its sums meet
                     rows.append((chunk, 0, n, keys, other))
                     continue
-                keys = np.cumsum(_unpack(keys, n, np.int64))
                 if side == 0:
-                    now, table = bucket, keys
-                    log_p, histories, log_alpha = backoff(keys >> SHIFT, keys & ((1 << SHIFT) - 1), _unpack(other, n, np.int64), p, d2)
-                    gain = log_p - np.log10(p[keys & ((1 << SHIFT) - 1)])
+                    rare, of = rare if of == bucket else [], bucket
+                    rare.append((_unpack(keys, n, np.int64), _unpack(other, n, np.int64)))
+                    continue
+                h, w = _unpack_pairs(keys, n)
+                if side == 1:
+                    now = bucket
+                    known, times = map(np.concatenate, zip(*rare)) if of == bucket else (np.empty(0, np.int64),) * 2
+                    order, rare = np.argsort(known), []
+                    p = model.value.of(w, known[order], times[order])
+                    log_p, histories, log_alpha = backoff(h, p, _unpack(other, n, np.int64), d2)
+                    gain = log_p - np.log10(p)
+                    words, number = np.unique(w, return_inverse=True)
+                    table = np.searchsorted(histories, h) << SHIFT | number
                     continue
                 value = np.zeros(n)
                 if now == bucket and len(table):
-                    h = keys >> SHIFT
                     at = np.minimum(np.searchsorted(histories, h), len(histories) - 1)
-                    value = np.where(histories[at] == h, log_alpha[at], 0.0)  # a history never seen: the unigram alone
-                    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-                    value = np.where(table[at] == keys, gain[at], value)
+                    there = histories[at] == h
+                    value = np.where(there, log_alpha[at], 0.0)  # a history never seen: the unigram alone
+                    number = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                    there &= words[number] == w
+                    pairs = at << SHIFT | number
+                    at = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
+                    value = np.where(there & (table[at] == pairs), gain[at], value)
                 doc = _unpack(other, n, np.int32)
                 there = np.flatnonzero(np.bincount(doc)).astype(np.int32)
                 rows.append((chunk, 1, len(there), _pack(there), _pack(np.bincount(doc, weights=value)[there])))
@@ -270,7 +369,9 @@ def _backed_off(docs: DataFrame, bigrams: DataFrame, model, d2: np.ndarray, buck
 
     some = partitions(docs.sparkSession)
     asked = docs.mapInArrow(ask, "bucket int, side int, n long, keys binary, other binary, chunk long")
-    stored = bigrams.select("bucket", F.lit(0).alias("side"), "n", "keys", F.col("counts").alias("other"), F.lit(0).cast("long").alias("chunk"))
+    stored = bigrams.select("bucket", F.lit(1).alias("side"), "n", "keys", F.col("counts").alias("other"), F.lit(0).cast("long").alias("chunk"))
+    if rare is not None:
+        stored = stored.union(_rare_followers(bigrams, rare).select("bucket", F.lit(0), "n", "keys", "counts", F.lit(0).cast("long")))
     met = stored.union(asked).repartition(min(buckets, some), "bucket").sortWithinPartitions("bucket", "side")
     sums = met.mapInArrow(answer, "chunk long, kind int, n long, a binary, b binary")
     return sums.repartition(some, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, "doc_id long, tid int, lp double")
@@ -310,12 +411,12 @@ def _alone(docs: DataFrame, model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tid int, held_out boolean, n_tokens long, n_known long, base double, lp double, token string, n long")
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, vocabulary: int = 1 << 18) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, vocabulary: int | None = None) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row.
 
     Learns from the rows whose crc32(id as text) modulo ``folds`` is not ``held_out``. Tokens are the words, A-Z
     lower-cased, and one end. ``base_score`` sums log10((c + 1) / (N + V + 1)) over the tokens, ``score`` the Katz
-    bigram log10 probabilities. Null texts are empty: their only token is the end. Repeated rows stay rows and count
+    bigram log10 probabilities; with a ``vocabulary``, words outside it are one class in bigrams. Null texts are empty: their only token is the end. Repeated rows stay rows and count
     as often in training; a null id hashes as an empty text. Without training tokens the model knows nothing: all
     probability is that of the one unseen class. Other columns are not read. No rows, no result.
     """
@@ -327,9 +428,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = spark.sparkContext.broadcast(uni)
     bigrams = materialise(count_bigrams(train, model, buckets), "bigrams")
     of = bigrams.select(F.posexplode("of_counts").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
-    context = _backed_off(rows, bigrams, model, discounts({x.r: x.k for x in of}), buckets)
-
     rare = counts.where(F.col("c") < least).withColumnRenamed("token", "word")
+    context = _backed_off(rows, bigrams, rare if vocabulary is None else None, model, discounts({x.r: x.k for x in of}), buckets)
+
     c = F.coalesce("c", F.lit(0))
     p = F.when(c == 0, float(uni.unseen))
     for r in range(1, MOST_DISCOUNTED + 1):

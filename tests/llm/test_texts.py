@@ -119,6 +119,31 @@ def test_katz_equals_brute_force_and_sums_to_one(docs, corpus, vocabulary):
         assert sum(prob(h, w) for w in uni) + prob(h, "unheard of") == pytest.approx(1)
 
 
+def katz_like_brute_force(rows, got):
+    uni, n, _, prob, _ = brute_katz(rows, 1 << 62)
+    want = []
+    for d, t in rows:
+        w = [*(t or "").lower().split(), ""]
+        want.append((d, len(w), sum(math.log10((uni.get(x, 0) + 1) / (n + len(uni) + 1)) for x in w), sum(math.log10(prob(a, b)) for a, b in zip(["<", *w], w))))
+    key = lambda x: (str(x[0]), x[1], round(x[2], 3))
+    for g, w in zip(sorted([(r.doc_id, r.n_tokens, r.base_score, r.score) for r in got], key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], rel=1e-9)
+
+
+@pytest.mark.parametrize("cache", [1 << 18, 60, 0])
+def test_katz_of_all_words_whatever_has_an_id(docs, corpus, cache, monkeypatch):
+    monkeypatch.setattr(katz, "CACHE", cache, raising=False)
+    katz_like_brute_force([(d, t) for d, t, *_ in corpus], katz.score_texts(clash(docs)).collect())
+
+
+def test_katz_counts_bigrams_of_all_of_many_words(spark):
+    words = [f"w{i}" for i in range(280_000)]
+    texts = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
+    rows = list(enumerate([*texts, *texts, "w1 w2 w3 w2 w1"]))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(4)
+    katz_like_brute_force(rows, katz.score_texts(docs).collect())
+
+
 def test_katz_without_training_rows(spark):
     none = katz.score_texts(spark.createDataFrame([], DOCS))
     assert none.count() == 0
