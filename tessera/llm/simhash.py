@@ -248,13 +248,13 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _sketch(docs: DataFrame, shingle_words: int, anchors: int) -> DataFrame:
-    """``(doc_id, tid, digest, fp, anchors)``: of the lower-cased words; ``anchors`` are minimal shingles under as many hashes."""
+    """``(doc_id, tid, digest, fp, anchors)``: of the lower-cased words; ``fp`` is of the distinct shingles, whose sets decide; ``anchors`` are minimal shingles under as many hashes."""
     salts = np.random.default_rng(7).integers(1, 2**63, anchors, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for b in small(batches):
             words = [t.lower().split() for t in texts(b)]
-            hashes = [shingle_hashes(w, shingle_words) for w in words]
+            hashes = [np.unique(shingle_hashes(w, shingle_words)) for w in words]
             picks = [[int(h[np.argmin(h * s ^ (h * s >> np.uint64(29)))].view(np.int64)) for s in salts] if len(h) else [] for h in hashes]
             digests = [_digest(w) for w in words]
             yield pa.RecordBatch.from_arrays(

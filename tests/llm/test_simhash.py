@@ -93,5 +93,20 @@ def test_near_duplicates(spark, docs, corpus):
     assert sorted(((r.doc_id, r.component_id) for r in s.near_duplicates(clash(docs)).collect()), key=str) == want
 
 
+def test_near_duplicates_that_repeat_a_line_differently_often(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        body, line = [f"b{i}x{k}" for k in range(400)], " ".join(f"l{i}x{k}" for k in range(12))
+        other = list(body)
+        for k in rng.choice(400, 6, replace=False):
+            other[k] = "edited"
+        rows += [(2 * i, " ".join([*body, *[line] * 2])), (2 * i + 1, " ".join([*other, *[line] * 20]))]
+        a, b = (set(shingles(t, 5)) for _, t in rows[-2:])
+        assert len(a & b) >= 0.8 * len(a | b)
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)}
+
+
 def test_empty_tables(docs):
     assert s.simhash_components(docs.limit(0)).count() == 0 == s.near_duplicates(docs.limit(0)).count()
