@@ -69,19 +69,24 @@ def _vectors(column) -> np.ndarray:
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int):
-    """Rows ``(query, id, distance)`` of each query's ``k`` nearest with another id, ties to the smaller id. Products
-    pick out what may be among them; the distances are those of the differences in double precision."""
+    """Rows ``(query, id, distance, row)`` of each query's ``k`` nearest with another id, ties to the smaller id; rows that
+    share an id count once, as the nearest of them. Products pick out what may be among them; the distances are those of
+    the differences in double precision."""
     square = (vectors**2).sum(1)
+    by_id = np.argsort(ids, kind="stable")
+    start = np.flatnonzero(np.append(True, np.diff(ids[by_id]) != 0)) if len(ids) else np.empty(0, int)
     for at in range(0, len(queries), 512):
         q = queries[at : at + 512]
         rough = square[None, :] + (q**2).sum(1)[:, None] - 2 * q @ vectors.T
         rough[own[at : at + 512, None] == ids[None, :]] = np.inf
+        least = np.minimum.reduceat(rough[:, by_id], start, axis=1) if len(start) < len(ids) else rough
         for i, row in enumerate(rough):
-            bound = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+            bound = np.partition(least[i], k - 1)[k - 1] if len(start) > k else np.inf
             near = np.flatnonzero((row <= bound * (1 + 1e-9) + 1e-9 * (1 + square.max())) & np.isfinite(row))
             exact = np.sqrt(((vectors[near] - q[i]) ** 2).sum(1))
-            for j in np.lexsort((ids[near], exact))[:k]:
-                yield at + i, int(ids[near[j]]), float(exact[j])
+            order = np.lexsort((ids[near], exact))
+            for j in order[np.sort(np.unique(ids[near[order]], return_index=True)[1])[:k]]:
+                yield at + i, int(ids[near[j]]), float(exact[j]), int(near[j])
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -100,10 +105,10 @@ def _tune(rows: DataFrame, queries: DataFrame, dim: int, rot: Rotations, k: int,
     def brute(batches):
         for b in batches:
             ids, v = b.column(0).to_numpy(), _vectors(b.column(1))
-            out = [(int(q_ids[i]), d, s, v[int(np.flatnonzero(ids == d)[0])].tolist()) for i, d, s in nearest(q, ids, v, q_ids, k)] if len(ids) else []
+            out = [(int(q_ids[i]), d, s, v[row].tolist()) for i, d, s, row in nearest(q, ids, v, q_ids, k)] if len(ids) else []
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())))], ["query_id", "vec_id", "score", "v"])
 
-    found = rows.mapInArrow(brute, "query_id long, vec_id long, score double, v array<double>")
+    found = rows.mapInArrow(brute, "query_id long, vec_id long, score double, v array<double>").groupBy("query_id", "vec_id").agg(F.min_by("v", "score").alias("v"), F.min("score").alias("score"))
     line = Window.partitionBy("query_id").orderBy("score", "vec_id")
     true = found.withColumn("r", F.row_number().over(line)).where(F.col("r") <= k).select("query_id", "v").toArrow()
     if not true.num_rows:
@@ -180,7 +185,7 @@ def _search(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int, table
             if not len(own) or not len(ids):
                 continue
             v = np.frombuffer(b"".join(part.column("v").to_pylist()), store).reshape(len(side), dim).astype(np.float64)
-            out = [(int(own[i]), d, s) for i, d, s in nearest(v[side == 0], ids, v[side == 1], own, k)]
+            out = [(int(own[i]), d, s) for i, d, s, _ in nearest(v[side == 0], ids, v[side == 1], own, k)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 

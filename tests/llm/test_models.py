@@ -162,6 +162,29 @@ def test_neighbours(spark, n, least):
     assert hit >= least * total and set(got) <= {*queries_, *(i for i in range(n, n + 7) if i % 100 == 0)}
 
 
+@pytest.mark.parametrize("n", [600, 1500])
+def test_neighbours_where_rows_repeat(spark, n):
+    rng = np.random.default_rng(n)
+    x = unit(rng, n, 16)
+    near = {i + 1: x[i] + 1e-3 * rng.normal(size=16) for i in range(0, n, 100)}  # next to each query, in many rows
+    rows = [(i, near.get(i, v).tolist()) for i, v in enumerate(x)]
+    rows += [(i, (v + 1e-4 * (k % 3) * rng.normal(size=16)).tolist()) for i, v in near.items() for k in range(25)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    d, hit = np.array([v for _, v in rows]), 0
+    for q in range(0, n, 100):
+        best = {}
+        for (i, _), s in zip(rows, np.sqrt(((d - d[q]) ** 2).sum(1))):
+            best[i] = min(s, best.get(i, s))
+        mine = sorted(got[q])
+        assert len(mine) == len({i for _, i in mine}) == 10 and all(abs(best[i] - s) < 1e-12 for s, i in mine)
+        hit += len({i for _, i in mine} & set(sorted(best.keys() - {q}, key=lambda i: (best[i], i))[:10]))
+    assert hit >= (1.0 if n <= 1000 else 0.9) * 10 * (n // 100)
+    q, v = np.zeros((1, 2)), np.array([[1.0, 0], [1, 0], [1, 0], [2, 0], [3, 0]])
+    assert [z[1:3] for z in ann.nearest(q, np.array([7, 7, 7, 8, 9]), v, np.array([0]), 2)] == [(7, 1.0), (8, 2.0)]
+
+
 def test_neighbours_in_chunks_and_with_two_hashes(spark, monkeypatch):
     x = unit(np.random.default_rng(1), 1500, 16)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
