@@ -16,6 +16,8 @@ from .common import bounded_broadcast, materialise, partitions
 CHUNK = 8192
 #: Queries, at most, that tune the probes, and the recall they must reach.
 TUNING, AIM = 64, 0.97
+#: Probes a table, at most; where these don't reach the recall, all rows are compared.
+PROBES = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -95,8 +97,9 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _tune(rows: DataFrame, queries: DataFrame, dim: int, rot: Rotations, k: int, of: int) -> int:
-    """Probes a table that find AIM of the true ``k`` nearest of up to TUNING queries, by brute force over all rows."""
+def _tune(rows: DataFrame, queries: DataFrame, dim: int, rot: Rotations, k: int, of: int) -> int | None:
+    """Probes a table, ``of`` at most, that find AIM of the true ``k`` nearest of up to TUNING queries, by brute force over
+    all rows; none if ``of`` don't."""
     some = queries.orderBy(F.xxhash64("id"), "id").limit(TUNING).toArrow()
     if not some.num_rows:
         return of
@@ -120,7 +123,8 @@ def _tune(rows: DataFrame, queries: DataFrame, dim: int, rot: Rotations, k: int,
         order, code = rot.probes(q, t, of), rot.bucket(v, t)
         hit = order[who] == code[:, None]
         first = np.minimum(first, np.where(hit.any(1), hit.argmax(1), of))
-    return min(of, int(np.sort(first)[math.ceil(AIM * len(first)) - 1]) + 1)
+    last = int(np.sort(first)[math.ceil(AIM * len(first)) - 1])
+    return last + 1 if last < of else None
 
 
 def search(rows: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 6) -> DataFrame:
@@ -129,7 +133,7 @@ def search(rows: DataFrame, queries: DataFrame | None = None, id_col: str = "vec
 
     Every row is hashed into one bucket a table: the signed axis nearest to its rotated unit vector (two rotations
     from two million rows on). Queries look into so many buckets a table as find nearly all true neighbours of a
-    bounded sample of them; only the buckets' rows are compared, exactly, in chunks that no bucket size outgrows.
+    bounded sample of them, or at all rows where a bounded number of buckets doesn't; only the buckets' rows are compared, exactly, in chunks that no bucket size outgrows.
     Few rows (1,000) are all compared. Null ids, null vectors and those that are zero or hold nulls or non-finite
     numbers take no part; vectors meet only those of the same length. Rows that share an id count once, as the
     nearest of them, and never as their own neighbour. Other columns are not read.
@@ -158,8 +162,9 @@ def _search(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int, table
     spark = rows.sparkSession
     rot = Rotations(dim, tables, 1 if n < 1 << 21 else 2)
     buckets = rot.axes**rot.hashes
-    probes = buckets if n <= 1000 else _tune(rows, queries, dim, rot, k, min(buckets, 1024))
-    if probes >= buckets:  # one table holds every row already
+    probes = None if n <= 1000 else _tune(rows, queries, dim, rot, k, min(buckets, PROBES))
+    every = probes is None or probes >= buckets
+    if every:  # all rows are one bucket of one table
         rot.tables = 1
     kind, store = ("binary", np.float32) if dict(rows.dtypes)["v"] == "array<float>" else ("binary", np.float64)
 
@@ -168,14 +173,14 @@ def _search(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int, table
             v = _vectors(b.column(1))
             for t in range(rot.tables):
                 if b.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(rot.bucket(v, t)), b.column(0), pa.array([x.tobytes() for x in v.astype(store)], pa.binary())], ["table", "bucket", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(np.zeros(len(v), np.int64) if every else rot.bucket(v, t)), b.column(0), pa.array([x.tobytes() for x in v.astype(store)], pa.binary())], ["table", "bucket", "id", "v"])
 
     def probe(batches):
         for b in batches:
             v = _vectors(b.column(1))
             raw = pa.array([x.tobytes() for x in v.astype(store)], pa.binary())
             for t in range(rot.tables):
-                for p in rot.probes(v, t, probes).T if b.num_rows else ():
+                for p in (np.zeros((1, len(v)), np.int64) if every else rot.probes(v, t, probes).T) if b.num_rows else ():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(np.ascontiguousarray(p)), b.column(0), raw], ["table", "bucket", "id", "v"])
 
     def meet(batches):

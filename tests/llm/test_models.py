@@ -185,6 +185,13 @@ def test_neighbours_where_rows_repeat(spark, n):
     assert [z[1:3] for z in ann.nearest(q, np.array([7, 7, 7, 8, 9]), v, np.array([0]), 2)] == [(7, 1.0), (8, 2.0)]
 
 
+def test_neighbours_are_exact_where_the_most_probes_miss_the_recall(spark):
+    x = unit(np.random.default_rng(3), 1100, 520)  # 2,048 buckets
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank, r.vec_id) for r in ann.search(df, tables=1).collect()}
+    assert got == {(q, r + 1, int(i)) for q in range(0, 1100, 100) for r, i in enumerate(np.argsort(((x - x[q]) ** 2).sum(1))[1:11])}
+
+
 def test_neighbours_in_chunks_and_with_two_hashes(spark, monkeypatch):
     x = unit(np.random.default_rng(1), 1500, 16)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
