@@ -251,7 +251,7 @@ def audit_events(spark, sf):
 
 def audit_roundtrip(spark, sf):
     good = reviews.record_reviews(_reviews(spark, sf)).where("violation is null")
-    back = records.validated(good.select("audit_event", records.audit_json("audit_event").alias("raw")), records.audit_record)
+    back = records.audit_records(good.select("audit_event", records.audit_json("audit_event").alias("raw")))
     same = F.lit(True)
     for k in ("event_id", "material_id", "actor_id", "review_id", "occurred_at"):
         same = same & (F.col(f"event.{k}") == F.col(f"audit_event.{k}"))
@@ -353,7 +353,7 @@ def lifecycle_roundtrip(spark, sf):
         .when(n == 5, F.concat(F.lit('{"event_type":null,'), F.expr("substring(raw, 2)"))).otherwise(F.col("raw"))
     )
     lines = opened.union(ended).select("seq", broken.alias("raw"))
-    back = records.validated(lines, records.lifecycle_record)
+    back = records.lifecycle_records(lines)
     return back.select("seq", F.coalesce("violation", F.lit("ok")).alias("violation"), F.col("event.kind").alias("kind"), F.col("event.workflow_id").alias("workflow_id"))
 
 

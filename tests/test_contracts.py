@@ -73,7 +73,7 @@ def changed(record, path, value):
 
 def read(spark, record, maker):
     raw = record if isinstance(record, str) else json.dumps(record)
-    return spark.createDataFrame([(raw,)], "raw string").withColumns(maker("raw")).first()
+    return maker(spark.createDataFrame([(raw,)], "raw string")).first()
 
 
 @pytest.mark.parametrize(("path", "value", "wanted"), [
@@ -82,7 +82,7 @@ def read(spark, record, maker):
     ("event_type", "OTHER", "event_type is unknown"), ("event_type", None, "event_type is no string"), ("occurred_at", "2026-01-01T00:00:00", "occurred_at is no time with an offset"), ("occurred_at", 5, "occurred_at is no string"),
 ])
 def test_audit_record(spark, path, value, wanted):
-    assert read(spark, changed(AUDIT, path, value), records.audit_record).violation == wanted
+    assert read(spark, changed(AUDIT, path, value), records.audit_records).violation == wanted
 
 
 @pytest.mark.parametrize(("record", "path", "value", "wanted"), [
@@ -95,14 +95,14 @@ def test_audit_record(spark, path, value, wanted):
     (CONCLUDED, "review.reviewer_identity.verified_at", "2026-02-01T00:00:00Z", "verified_at is later than reviewed_at"), (CONCLUDED, "review.reviewed_at", "2026-01-01T00:00:00Z", None), (CONCLUDED, "schema_version", True, "schema_version is not 1"),
 ])
 def test_lifecycle_record(spark, record, path, value, wanted):
-    row = read(spark, changed(record, path, value), records.lifecycle_record)
+    row = read(spark, changed(record, path, value), records.lifecycle_records)
     assert row.violation == wanted and (row.event is None) == (wanted is not None)
 
 
 def test_ids_are_stripped_but_not_the_recommendations(spark):
-    row = read(spark, changed(changed(OPENED, "event_id", " e "), "recommendation", OPENED["recommendation"] | {"material_id": " M ", "evidence": []}), records.lifecycle_record)
+    row = read(spark, changed(changed(OPENED, "event_id", " e "), "recommendation", OPENED["recommendation"] | {"material_id": " M ", "evidence": []}), records.lifecycle_records)
     assert (row.event.event_id, row.event.material_id) == ("e", " M ")
-    assert read(spark, changed(CONCLUDED, "review.material_id", " M "), records.lifecycle_record).event.material_id == "M"
+    assert read(spark, changed(CONCLUDED, "review.material_id", " M "), records.lifecycle_records).event.material_id == "M"
 
 
 def test_records_round_trip(spark):
@@ -111,6 +111,6 @@ def test_records_round_trip(spark):
     raw = spark.range(1).select(F.lit("e1").alias("event_id"), F.lit("w").alias("workflow_id"), F.lit("M").alias("material_id"), F.lit("REVIEW").alias("decision"), F.lit("ç").alias("rationale"), e.alias("evidence"))
     from tessera.operators.reviews import iso
 
-    row = raw.select(records.opened_json(iso(at)).alias("raw")).withColumns(records.lifecycle_record("raw")).first()
+    row = records.lifecycle_records(raw.select(records.opened_json(iso(at)).alias("raw"))).first()
     assert row.violation is None and row.event.rationale == "ç" and row.event.evidence[0].observation == "o" and row.event.event_at.microsecond == 500_000
     assert list(json.loads(row.raw)) == sorted(json.loads(row.raw))
