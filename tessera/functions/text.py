@@ -1,11 +1,10 @@
-"""Text functions: Column to Column, all inside the JVM, but for the exact Unicode fold."""
+"""Text functions: Column to Column, all inside the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,38 +22,49 @@ def is_blank(c: Column) -> Column:
     return strip(c) == ""
 
 
-@lru_cache(1)
-def _fold_table() -> tuple[str, str]:
-    """Characters of the Latin blocks whose compatibility decomposition without marks is one character, that character,
-    and last the combining marks, which ``translate`` deletes."""
-    found = {}
-    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x209D)]:
-        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != chr(code):
-            found[chr(code)] = plain
-    marks = "".join(chr(x) for x in range(0x300, 0x370) if unicodedata.combining(chr(x)))
-    return "".join(found) + marks, "".join(found.values())
+def _plain(ch: str) -> str:
+    """The compatibility decomposition without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
 
 
-def fold(c: Column) -> Column:
-    """Without accents, for the Latin script. Ligatures, fractions and other scripts: ``fold_exactly``."""
-    return F.translate(c, *_fold_table())
+def _letters(text: str) -> bool:
+    """Does it hold a letter A-Z or a digit, once in upper case?"""
+    return any(x.isascii() and x.isalnum() for x in text.upper())
 
 
-def fold_exactly(c: Column) -> Column:
-    """NFKD without combining marks for all of Unicode, in Arrow batches."""
+@lru_cache(1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """For ``translate``: characters that fold to one other, these, and last those that vanish; and the characters that
+    fold to several. Beyond the Latin blocks only folds with a letter A-Z or a digit, as ``normalize`` keeps no others."""
+    one, gone, many = {}, [], {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        ch = chr(code)
+        plain = _plain(ch)
+        if plain == ch:
+            continue
+        if not plain:
+            gone.append(ch)
+        elif len(plain) == 1 and (code < 0x250 or 0x1E00 <= code < 0x1F00 or _letters(plain)):
+            one[ch] = plain
+        elif _letters(plain):
+            many[ch] = plain
+    return "".join(one) + "".join(gone), "".join(one.values()), many
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
 
-    return run(c)
+def fold(c: Column) -> Column:
+    """NFKD without combining marks, as far as the Latin script and letters A-Z and digits come out of it: ligatures,
+    fractions, full-width and circled forms too. ASCII texts pass untouched."""
+    old, new, many = _folds()
+    table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in many.items())), F.lit("\n"), F.lit("\t"))
+    # A class of few ranges that holds them all: Java tries each member of a class in turn.
+    several = F.array_distinct(F.regexp_extract_all(c, F.lit("([\u00bc-\u00be\u0130-\U0010ffff])"), 1))
+    spelt = F.when(F.size(several) > 0, F.aggregate(several, c, lambda text, ch: F.replace(text, ch, F.coalesce(F.try_element_at(table, ch), ch)))).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(spelt, old, new)).otherwise(c)
 
 
-def normalize(c: Column, exact_unicode: bool = False) -> Column:
+def normalize(c: Column) -> Column:
     """Without accents, upper case, anything but A-Z and 0-9 one space, trimmed."""
-    plain = fold_exactly(c) if exact_unicode else fold(c)
-    return F.trim(F.regexp_replace(F.upper(plain), "[^A-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.upper(fold(c)), "[^A-Z0-9]+", " "))
 
 
 def tokens(normalized: Column) -> Column:

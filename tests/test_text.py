@@ -1,3 +1,4 @@
+import re
 import unicodedata
 
 import pytest
@@ -17,8 +18,17 @@ def test_normalize(spark, given, wanted):
     assert one(spark, t.normalize(F.col("a")), a=given) == wanted
 
 
-def test_exact_fold_covers_ligatures_and_other_blocks(spark):
-    assert one(spark, t.normalize(F.col("a"), exact_unicode=True), a="ﬁn ½ ＡＢ") == "FIN 1 2 AB"
+def test_normalize_equals_nfkd_for_every_code_point(spark):
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    wanted = []
+    for c in codes:
+        plain = "".join(x for x in unicodedata.normalize("NFKD", f"a{chr(c)}b") if not unicodedata.combining(x)).upper()
+        wanted.append(" ".join(re.sub("[^A-Z0-9]+", " ", plain).split()))
+    import pandas as pd
+
+    rows = spark.createDataFrame(pd.DataFrame({"a": [f"a{chr(c)}b" for c in codes], "w": wanted}))
+    assert [(hex(ord(r.a[1])), r.n) for r in rows.withColumn("n", t.normalize(F.col("a"))).where("n <> w").limit(20).collect()] == []
+    assert one(spark, t.normalize(F.col("a")), a="ﬁn ½ ＡＢ № ⑩ ½ Ⅳ") == "FIN 1 2 AB NO 10 1 2 IV"
 
 
 def test_fast_fold_equals_python_on_latin(spark):
