@@ -118,6 +118,16 @@ def prompt() -> Column:
     return F.concat_ws("\n", *lines)
 
 
+_OFFSET = r"(Z|[+-]\d\d(?::?\d\d(?::?\d\d)?)?)"
+#: Extended and basic form, any one character between date and time; week dates are not taken.
+EXTENDED = rf"^\d{{4}}-\d\d-\d\d.\d\d:\d\d(:\d\d([.,]\d+)?)?{_OFFSET}$"
+BASIC = rf"^(\d{{4}})(\d\d)(\d\d).(\d\d)(\d\d)(\d\d(?:[.,]\d+)?)?{_OFFSET}$"
+
+
 def offset_time(raw: Column) -> Column:
     """The instant of an ISO 8601 text with an offset; null, if it has none or is no time."""
-    return F.when(raw.rlike(r"(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)$"), F.try_to_timestamp(raw))
+    spelt = F.regexp_replace(F.regexp_replace(raw, BASIC, "$1-$2-$3T$4:$5:$6$7"), r":([Z+-])", "$1")
+    form = F.when(raw.rlike(EXTENDED), F.concat(F.substring(raw, 1, 10), F.lit("T"), F.substring(raw, 12, 100))).when(raw.rlike(BASIC), spelt)
+    # Seconds may be left out, but not below.
+    form = F.when(F.substring(form, 17, 1) == ":", form).otherwise(F.concat(F.substring(form, 1, 16), F.lit(":00"), F.substring(form, 17, 100)))
+    return F.try_to_timestamp(F.replace(form, F.lit(","), F.lit(".")))

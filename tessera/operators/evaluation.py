@@ -14,8 +14,12 @@ def predicted(issues: Column) -> Column:
 
 
 def with_outcome(assessments: DataFrame, labels: DataFrame) -> DataFrame:
-    """Assessments joined to ``labels(ord, expected_issue)`` one to one, with the predicted labels and what is right."""
-    out = assessments.join(labels.select("ord", d.LABEL), "ord").withColumn("predicted", predicted(F.col("issues")))
+    """Assessments joined to ``labels(ord, expected_issue)`` one to one, with the predicted labels and what is right. A row
+    without its counterpart is an error when the result is computed."""
+    both = assessments.join(labels.select(F.col("ord").alias("label_ord"), d.LABEL), F.col("ord") == F.col("label_ord"), "full")
+    alone = F.col("ord").isNull() | F.col("label_ord").isNull()
+    both = both.where(F.when(alone, F.raise_error(F.lit("assessments and labels are not one to one")).cast("boolean")).otherwise(True)).drop("label_ord")
+    out = both.withColumn("predicted", predicted(F.col("issues")))
     hit = F.array_contains("predicted", F.col(d.LABEL))
     return out.withColumns({"hit": hit, "exact": hit & (F.size("predicted") == 1)})
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise
+
 OK, DUPLICATE, ALREADY_OPENED, NOT_OPENED = "ok", "dup", "already_opened", "not_opened"
 ALREADY_CONCLUDED, MATERIAL, RECOMMENDATION, TEMPORAL = "already_concluded", "material", "recommendation", "temporal"
 COLUMNS = ["seq", "event_id", "workflow_id", "kind", "material_id", "decision", "human_decision", "event_at"]
@@ -86,17 +88,19 @@ def _fold_groups(events: DataFrame) -> DataFrame:
 
 def _groups(events: DataFrame, tangled: DataFrame) -> DataFrame:
     """``workflow_id``, ``group``: workflows that share event ids, directly or through others, by their smallest name."""
-    spark = events.sparkSession
-    edges = events.join(tangled, "event_id", "left_semi").select("workflow_id", "event_id").distinct().persist()
-    now = edges.select("workflow_id").distinct().withColumn("group", F.col("workflow_id"))
+    edges = materialise(events.join(tangled, "event_id", "left_semi").select("workflow_id", "event_id").distinct(), "ties")
+    now = materialise(edges.select("workflow_id").distinct().withColumn("group", F.col("workflow_id")), "groups", True)
     while True:
         by_id = edges.join(now, "workflow_id").groupBy("event_id").agg(F.min("group").alias("g"))
-        new = edges.join(by_id, "event_id").groupBy("workflow_id").agg(F.min("g").alias("group")).persist()
-        moved = new.join(now.withColumnRenamed("group", "old"), "workflow_id").where("group < old").limit(1).count()
-        if spark.conf.get("spark.checkpoint.dir", None):
-            new = new.checkpoint()
+        near = edges.join(by_id, "event_id").groupBy("workflow_id").agg(F.min("g").alias("g"))
+        # A group is a workflow with a group of its own: taking that doubles how far a name goes in a round.
+        further = now.select(F.col("workflow_id").alias("g"), "group")
+        new = materialise(near.join(further, "g").select("workflow_id", "group"), "groups", True)
+        moved = not new.join(now.withColumnRenamed("group", "old"), "workflow_id").where("group < old").isEmpty()
+        discard(now)
         now = new
         if not moved:
+            discard(edges)
             return now
 
 
@@ -120,23 +124,43 @@ def accepted(events: DataFrame) -> DataFrame:
     return admit(events).where(F.col("outcome") == OK).drop("outcome")
 
 
-# Queries of an admitted log. Lookup values are compared as they are given, never stripped.
+# Queries of an admitted log, of any kind or of openings alone. Lookup values are compared as they are given, never
+# stripped; one that is no string is an error.
+
+
+def _having(log: DataFrame, column: str, value: str) -> DataFrame:
+    if not isinstance(value, str):
+        raise ValueError(f"{column} must be a string, got {type(value).__name__}")
+    return log.where(F.col(column) == value).orderBy("seq")
 
 
 def by_event(log: DataFrame, event_id: str) -> DataFrame:
-    return log.where(F.col("event_id") == event_id).orderBy("seq").limit(1)
+    return _having(log, "event_id", event_id).limit(1)
 
 
 def by_material(log: DataFrame, material_id: str) -> DataFrame:
-    return log.where(F.col("material_id") == material_id).orderBy("seq")
+    return _having(log, "material_id", material_id)
 
 
 def by_workflow(log: DataFrame, workflow_id: str) -> DataFrame:
-    return log.where(F.col("workflow_id") == workflow_id).orderBy("seq")
+    return _having(log, "workflow_id", workflow_id)
+
+
+def opened_by_event(log: DataFrame, event_id: str) -> DataFrame:
+    return by_event(log.where("kind = 'OPENED'"), event_id)
+
+
+def opened_by_workflow(log: DataFrame, workflow_id: str) -> DataFrame:
+    return by_workflow(log.where("kind = 'OPENED'"), workflow_id).limit(1)
+
+
+def opened_by_material(log: DataFrame, material_id: str) -> DataFrame:
+    return by_material(log.where("kind = 'OPENED'"), material_id)
 
 
 def opened(log: DataFrame) -> DataFrame:
-    return log.where("kind = 'OPENED'")
+    """All openings in recording order."""
+    return listed(log.where("kind = 'OPENED'"))
 
 
 def listed(log: DataFrame) -> DataFrame:

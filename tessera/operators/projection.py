@@ -25,10 +25,10 @@ def _folded(events: DataFrame) -> DataFrame:
 def history_violation(events: DataFrame) -> DataFrame:
     """``workflow_id``, ``violation``: the first reason why a history is no workflow, or null."""
     fault = (
-        F.when(F.col("first_kind") != "OPENED", "first event is not an opening")
+        F.when(F.col("n") != F.col("n_opened") + F.col("n_concluded"), "unknown event kind")
+        .when(F.col("first_kind") != "OPENED", "first event is not an opening")
         .when(F.col("n_opened") != 1, F.format_string("expected one opening, got %d", "n_opened"))
         .when(F.col("n_concluded") > 1, F.format_string("expected at most one conclusion, got %d", "n_concluded"))
-        .when(F.col("n") != F.col("n_opened") + F.col("n_concluded"), "unknown event kind")
         .when(F.col("end.material_id") != F.col("open.material_id"), "material mismatch")
         .when(F.col("end.decision") != F.col("open.decision"), "recommendation mismatch")
         .when(F.col("end.event_at") < F.col("open.event_at"), "reviewed before opened")

@@ -55,12 +55,11 @@ def workflow_states(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(events: DataFrame, path: str) -> None:
-    """Process what the source holds and stop; each batch's changed states are appended to ``path`` with their batch."""
+    """Process what the source holds and stop; each batch's changed states are a part ``batch`` of the table ``path``/states.
+    A batch that is run again replaces what it wrote before."""
 
     def put(batch: DataFrame, n: int) -> None:
-        from pyspark.sql import functions as F
-
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/states")
+        batch.write.mode("overwrite").parquet(f"{path}/states/batch={n}")
 
     query = workflow_states(events).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

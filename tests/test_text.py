@@ -69,6 +69,6 @@ def test_prompt_keeps_empty_values(spark):
     assert len(lines) == 14 and lines[4] == "" and lines[5] == "Material:" and "unit: PC" in lines and lines[-1] == "status: "
 
 
-@pytest.mark.parametrize(("raw", "fine"), [("2026-01-02T03:04:05Z", True), ("2026-01-02T03:04:05.123456+02:00", True), ("2026-01-02T03:04:05", False), ("yesterday", False), ("yesterdayZ", False)])
+@pytest.mark.parametrize(("raw", "fine"), [("2026-01-02T03:04:05Z", True), ("2026-01-02T03:04:05.123456+02:00", True), ("2026-01-02T03:04:05", False), ("yesterday", False), ("yesterdayZ", False), ("20260102T030405+00:00", True), ("20260102T0304Z", True), ("2026-1-2T3:4:5Z", False), ("2026-01-02 03:04+0200", True), ("2026-01-02T03:04:05,5Z", True), ("2026-13-02T03:04:05Z", False), ("20260132T030405Z", False)])
 def test_offset_time(spark, raw, fine):
     assert (one(spark, t.offset_time(F.col("a")), a=raw) is not None) == fine
