@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import domain as d
 from ..functions import text as t
 from ..operators import contracts, decisions, duplicates, evaluation, log, projection, records, reviews, rules
+from ..sources import files
+from ..storage import new_path
 from ..streaming.workflows import run_to_end
 from .bindings import labels, lifecycle, materials
 
@@ -29,6 +30,21 @@ def _micros(c: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
 
 
+# Sources
+
+
+def scan_materials(spark, sf):
+    """Materials and labels as CSV and back."""
+    path = new_path(spark, "csv")
+    rows = materials(spark, sf).join(labels(spark, sf), "ord")
+    rows.write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    return files.read_materials(spark, path, order="ord").select("ord", *d.FIELDS, d.LABEL)
+
+
+def report_lines(spark, sf):
+    return files.report_lines(decisions.assess(materials(spark, sf))).select("material_id", "line")
+
+
 # Text
 
 
@@ -132,6 +148,17 @@ def evidence_long(spark, sf):
     return rows.select("material_id", (F.col("pos") + 1).cast("long").alias("pos"), "e.source", "e.issue_type", "e.observation", "e.severity")
 
 
+def evidence_invariants(spark, sf):
+    """Evidence with a fault by the row's number: the first invariant that it breaks."""
+    n = F.col("ord") % 7
+    one = F.struct(
+        F.when(n == 1, "other").otherwise(F.col("material_id")).alias("material_id"), F.when(n == 2, "NONE").otherwise("RULE").alias("source"), F.when(n == 3, "NONE").otherwise("INVALID_UNIT").alias("issue_type"),
+        F.when(n == 4, "").otherwise("o").alias("observation"), F.when(n == 5, "NONE").otherwise("WARNING").alias("severity"),
+    )
+    rows = materials(spark, sf).withColumn("evidence", F.when(n == 6, F.array().cast("array<struct<material_id:string,source:string,issue_type:string,observation:string,severity:string>>")).otherwise(F.array(one)))
+    return rows.select("material_id", F.coalesce(decisions.evidence_violation(F.col("material_id"), F.col("evidence")), F.lit("ok")).alias("violation"))
+
+
 def recommend(spark, sf):
     return decisions.recommend(_evidence(spark, sf)).select("material_id", "decision", "rationale")
 
@@ -160,6 +187,13 @@ def eval_errors(spark, sf):
 # Model output
 
 
+def llm_schema(spark, sf):
+    """The fields of the contract that a provider is given."""
+    schema = contracts.output_schema()
+    rows = [(k, p["type"], p.get("items", p).get("type"), k in schema["required"], "|".join(p.get("items", p).get("enum", [])), schema["additionalProperties"]) for k, p in schema["properties"].items()]
+    return spark.createDataFrame(rows, "field string, type string, item_type string, required boolean, known string, more boolean")
+
+
 def llm_prompt(spark, sf):
     return materials(spark, sf).select("material_id", t.prompt().alias("prompt"))
 
@@ -269,7 +303,19 @@ def audit_by_material(spark, sf):
 
 
 def audit_by_event(spark, sf):
-    return audit_events(spark, sf).where("event_id like 'EC-1_-%'").select("event_id", "review_id", "actor_id")
+    return log.by_event(audit_events(spark, sf).withColumn("seq", F.expr("cast(substring(review_id, 3) as long)")), "EC-10-1").select("event_id", "review_id", "actor_id")
+
+
+def _audit_lines(spark, sf):
+    good = reviews.record_reviews(_reviews(spark, sf)).where("violation is null")
+    return good.select(F.expr("cast(substring(review.review_id, 3) as long)").alias("seq"), records.audit_json("audit_event").alias("raw"))
+
+
+def log_read_audit(spark, sf):
+    """Audit events appended to a JSON-lines log and read from it."""
+    path = new_path(spark, "audit")
+    files.append_audit_lines(spark, path, _audit_lines(spark, sf))
+    return files.read_audit_log(spark, path).select(F.col("seq").alias("line_no"), "event_id", "review_id", _micros("occurred_at").alias("occurred_us"))
 
 
 # Logs
@@ -295,6 +341,22 @@ def log_by_event(spark, sf):
     return log.by_event(_log(spark, sf), "EO-100").select("seq", "event_id", "workflow_id")
 
 
+def log_opened_by_event(spark, sf):
+    return log.opened_by_event(_log(spark, sf), "EO-100").union(log.opened_by_event(_log(spark, sf), "EC-10-1")).select("seq", "event_id", "workflow_id")
+
+
+def log_opened_by_workflow(spark, sf):
+    return log.opened_by_workflow(_log(spark, sf), "WF-100").select("seq", "event_id", "kind")
+
+
+def log_opened_by_material(spark, sf):
+    return log.opened_by_material(_log(spark, sf), "MAT-7").select("seq", "event_id", "kind")
+
+
+def log_all_events(spark, sf):
+    return log.listed(_log(spark, sf)).select("seq", "event_id", "kind", "workflow_id", "material_id")
+
+
 def log_opened_all(spark, sf):
     return log.opened(_log(spark, sf)).select("seq", "event_id", "workflow_id", "material_id")
 
@@ -326,8 +388,7 @@ def history_violations(spark, sf):
 
 
 def workflow_state_stream(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     events = lifecycle(spark, sf).withColumn("event_at", F.col("event_at").cast("timestamp"))
     events.write.parquet(f"{path}/in")
     run_to_end(spark.readStream.schema(events.schema).parquet(f"{path}/in"), path)
@@ -336,8 +397,8 @@ def workflow_state_stream(spark, sf):
     return _state(last.select("workflow_id", "s.*"))
 
 
-def lifecycle_roundtrip(spark, sf):
-    """Openings and conclusions as JSON lines and back, with faults by number: what the reader says of each."""
+def _lifecycle_lines(spark, sf):
+    """Openings and conclusions as JSON."""
     one = lifecycle(spark, sf)
     evidence = F.array(F.struct(F.col("material_id").alias("material_id"), F.lit("RULE").alias("source"), F.lit("INVALID_UNIT").alias("issue_type"), F.lit("o").alias("observation"), F.lit("WARNING").alias("severity")))
     at = reviews.iso(F.col("event_at").cast("timestamp"))
@@ -346,20 +407,48 @@ def lifecycle_roundtrip(spark, sf):
     fixes = F.when(F.col("human_decision") == "REQUEST_CORRECTION", F.array(F.struct(F.lit("unit").alias("field_name"), F.lit("x").alias("reason"), F.lit(None).cast("string").alias("suggested_value")))).otherwise(F.array().cast("array<struct<field_name:string,reason:string,suggested_value:string>>"))
     review = F.struct(F.concat(F.lit("R-"), F.col("seq").cast("string")).alias("review_id"), "material_id", F.col("decision").alias("system_recommendation"), "human_decision", who.alias("reviewer_identity"), F.col("event_at").cast("timestamp").alias("reviewed_at"), F.lit("j").alias("justification"), fixes.alias("corrections"))
     ended = one.where("kind = 'CONCLUDED'").withColumn("review", review).select("seq", records.concluded_json().alias("raw"))
+    return opened.union(ended)
+
+
+def _broken_lines(spark, sf):
+    """The same with faults by number."""
     n = F.col("seq") % 23
     broken = (
         F.when(n == 1, F.substring("raw", 1, 20)).when(n == 2, F.replace("raw", F.lit('"schema_version":1'), F.lit('"schema_version":true')))
         .when(n == 3, F.replace("raw", F.lit('"workflow_id"'), F.lit('"work"'))).when(n == 4, F.replace("raw", F.lit("+00:00"), F.lit("")))
         .when(n == 5, F.concat(F.lit('{"event_type":null,'), F.expr("substring(raw, 2)"))).otherwise(F.col("raw"))
     )
-    lines = opened.union(ended).select("seq", broken.alias("raw"))
-    back = records.lifecycle_records(lines)
+    return _lifecycle_lines(spark, sf).select("seq", broken.alias("raw"))
+
+
+def lifecycle_roundtrip(spark, sf):
+    """Lifecycle records with faults: what the reader says of each."""
+    back = records.lifecycle_records(_broken_lines(spark, sf))
     return back.select("seq", F.coalesce("violation", F.lit("ok")).alias("violation"), F.col("event.kind").alias("kind"), F.col("event.workflow_id").alias("workflow_id"))
 
 
+def log_read_lifecycle(spark, sf):
+    """Lifecycle events appended to a JSON-lines log, which admits them, and read from it."""
+    path = new_path(spark, "lifecycle")
+    files.append_lifecycle_lines(spark, path, _lifecycle_lines(spark, sf))
+    return files.read_lifecycle_log(spark, path).select(F.col("seq").alias("line_no"), "event_id", "kind", "workflow_id")
+
+
+def log_read_failclosed(spark, sf):
+    """A log with bad lines gives no event but the number and the fault of the first."""
+    path = new_path(spark, "broken")
+    _broken_lines(spark, sf).orderBy("seq").select("raw").write.text(f"{path}/{files.BATCH}0")
+    try:
+        n, fault = 0, str(files.read_lifecycle_log(spark, path).count())
+    except files.LogCorruption as e:
+        n, fault = e.line_number, e.reason
+    return spark.createDataFrame([(n, fault)], "line_no long, violation string")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        scan_materials, report_lines, evidence_invariants, llm_schema, log_read_audit, log_read_lifecycle, log_read_failclosed, log_opened_by_event, log_opened_by_workflow, log_opened_by_material, log_all_events,
         text_normalize, text_numeric_tokens, text_word_tokens, text_category, text_material_numbers, completeness, completeness_custom, issues_long, dup_part_branch,
         dup_lexical_branch, dup_candidates, dup_against_catalog, assess, evidence_long, recommend, recommend_long, decision_counts, eval_report, eval_errors, llm_prompt,
         llm_contract, llm_identity_guard, llm_evidence, llm_recommend, review_validate, review_agreement, audit_events, audit_by_material, audit_by_event, audit_roundtrip, review_event_consistency,

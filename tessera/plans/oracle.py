@@ -140,6 +140,12 @@ _STATE = f"""WITH {_ADMITTED}, s AS (
 SELECT workflow_id, material_id, decision, CASE WHEN end_us IS NULL THEN '{d.PENDING}' ELSE '{d.REVIEWED}' END AS status, opened_us, coalesce(end_us, -1) AS closed_us,
   coalesce(end_us - opened_us, -1) AS lead_time_us, human_decision FROM s"""
 
+#: The faults of the synthetic records, by their number: what comes back is checked, not the parser against another.
+_BROKEN = f"""l AS ({_L}), x AS (SELECT seq, kind, workflow_id, seq % 23 AS n FROM l),
+      y AS (SELECT *, CASE n WHEN 1 THEN 'malformed' WHEN 2 THEN 'schema_version is not 1' WHEN 3 THEN 'workflow_id is missing'
+        WHEN 4 THEN CASE kind WHEN 'OPENED' THEN 'opened_at is no time with an offset' ELSE 'review.reviewer_identity.verified_at is no time with an offset' END
+        WHEN 5 THEN CASE kind WHEN 'OPENED' THEN 'event_type is unknown' ELSE 'malformed' END ELSE 'ok' END AS violation FROM x)"""
+
 _RULE = "WITH {f} SELECT material_id, issue_type, field_name, message, severity FROM ({rule})"
 
 SQL: dict[str, str] = {
@@ -186,7 +192,20 @@ SQL: dict[str, str] = {
     "audit_events": f"""WITH {_REVIEWS} SELECT event_id, '{d.AUDIT_EVENT}' AS event_type, material_id, specialist_id AS actor_id, review_id, epoch_us(event_at) AS occurred_us, {_AGREES} AS agrees_with_system,
       CAST(fixed AS BIGINT) AS correction_count, human_decision, decision AS system_recommendation FROM v WHERE violation = 'ok'""",
     "audit_by_material": f"WITH {_REVIEWS} SELECT event_id, review_id FROM v WHERE violation = 'ok' AND material_id = 'MAT-7'",
-    "audit_by_event": f"WITH {_REVIEWS} SELECT event_id, review_id, specialist_id AS actor_id FROM v WHERE violation = 'ok' AND event_id LIKE 'EC-1_-%'",
+    "audit_by_event": f"WITH {_REVIEWS} SELECT event_id, review_id, specialist_id AS actor_id FROM v WHERE violation = 'ok' AND event_id = 'EC-10-1' ORDER BY seq LIMIT 1",
+    "log_read_audit": f"""WITH {_REVIEWS}, e AS (SELECT event_id, min(seq) AS seq, arg_min(review_id, seq) AS review_id, epoch_us(arg_min(event_at, seq)) AS occurred_us FROM v WHERE violation = 'ok' GROUP BY event_id)
+      SELECT row_number() OVER (ORDER BY seq) AS line_no, event_id, review_id, occurred_us FROM e""",
+    "log_read_lifecycle": f"WITH {_ADMITTED} SELECT row_number() OVER (ORDER BY seq) AS line_no, event_id, kind, workflow_id FROM ok",
+    "log_opened_by_event": f"WITH {_ADMITTED} SELECT seq, event_id, workflow_id FROM ok WHERE kind = 'OPENED' AND event_id IN ('EO-100', 'EC-10-1')",
+    "log_opened_by_workflow": f"WITH {_ADMITTED} SELECT seq, event_id, kind FROM ok WHERE kind = 'OPENED' AND workflow_id = 'WF-100'",
+    "log_opened_by_material": f"WITH {_ADMITTED} SELECT seq, event_id, kind FROM ok WHERE kind = 'OPENED' AND material_id = 'MAT-7'",
+    "log_all_events": f"WITH {_ADMITTED} SELECT seq, event_id, kind, workflow_id, material_id FROM ok",
+    "scan_materials": f"SELECT m.ord, {', '.join('m.' + c for c in d.FIELDS)}, expected_issue FROM ({_M}) m JOIN ({_LABELS}) l ON m.ord = l.ord",
+    "report_lines": f"""{_ALL} SELECT material_id, printf('%-11s | %-7s | %10.2f | %9.2f | %s', material_id, decision, completeness, {_CONFIDENCE}, CASE issues WHEN '' THEN 'VALID' ELSE replace(issues, '|', ',') END) AS line FROM a""",
+    "evidence_invariants": f"""SELECT material_id, CASE ord % 7 WHEN 1 THEN 'evidências de outro material' WHEN 2 THEN 'source inválido' WHEN 3 THEN 'issue_type inválido' WHEN 4 THEN 'observation não pode ser vazia'
+      WHEN 5 THEN 'severity inválida' ELSE 'ok' END AS violation FROM ({_M}) m""",
+    "llm_schema": f"""SELECT * FROM (VALUES ('material_id', 'string', 'string', true, '', false), ('decision', 'string', 'string', true, '{"|".join(d.DECISIONS)}', false), ('confidence', 'number', 'number', true, '', false),
+      ('issues', 'array', 'string', true, '{"|".join(d.ISSUES)}', false), ('summary', 'string', 'string', true, '', false), ('evidence', 'array', 'string', true, '', false)) x(field, type, item_type, required, known, more)""",
     "audit_roundtrip": f"WITH {_REVIEWS} SELECT review_id, 'ok' AS violation, true AS same FROM v WHERE violation = 'ok'",
     "review_event_consistency": f"WITH {_REVIEWS} SELECT review_id, event_id, 'actor_id' AS violation FROM v WHERE violation = 'ok' AND review_id LIKE '%7'",
     "log_admission": f"WITH {_ADMITTED} SELECT seq, outcome FROM adm",
@@ -210,9 +229,7 @@ SQL: dict[str, str] = {
       SELECT * FROM (SELECT workflow_id, CASE WHEN first_kind <> 'OPENED' THEN 'first event is not an opening' WHEN o <> 1 THEN printf('expected one opening, got %d', o)
         WHEN c > 1 THEN printf('expected at most one conclusion, got %d', c) WHEN m1 <> m2 THEN 'material mismatch' WHEN d1 <> d2 THEN 'recommendation mismatch' WHEN t2 < t1 THEN 'reviewed before opened' END AS violation FROM g)
       WHERE violation IS NOT NULL""",
-    "lifecycle_roundtrip": f"""WITH l AS ({_L}), x AS (SELECT seq, kind, workflow_id, seq % 23 AS n FROM l),
-      y AS (SELECT *, CASE n WHEN 1 THEN 'malformed' WHEN 2 THEN 'schema_version is not 1' WHEN 3 THEN 'workflow_id is missing'
-        WHEN 4 THEN CASE kind WHEN 'OPENED' THEN 'opened_at is no time with an offset' ELSE 'review.reviewer_identity.verified_at is no time with an offset' END
-        WHEN 5 THEN CASE kind WHEN 'OPENED' THEN 'event_type is unknown' ELSE 'malformed' END ELSE 'ok' END AS violation FROM x)
+    "log_read_failclosed": f"WITH {_BROKEN}, z AS (SELECT *, row_number() OVER (ORDER BY seq) AS line_no FROM y) SELECT line_no, violation FROM z WHERE violation <> 'ok' ORDER BY line_no LIMIT 1",
+    "lifecycle_roundtrip": f"""WITH {_BROKEN}
       SELECT seq, violation, CASE WHEN violation = 'ok' THEN kind END AS kind, CASE WHEN violation = 'ok' THEN workflow_id END AS workflow_id FROM y""",
 }
