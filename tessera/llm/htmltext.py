@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import math
 import re
-from html.parser import HTMLParser
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end where one of the same kind begins, unless a list or table lies between.
 ENDED_BY = {
     "p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
+    "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tfoot": {"tbody"}, "optgroup": {"optgroup"},
     "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "head": {"body"},
 }
 #: Words in a class, an id or a role.
@@ -37,11 +40,14 @@ BAD = frozenset(
 )
 GOOD = frozenset("article articlebody body content entry main maincontent post postbody prose story text".split())
 
-#: Linear classifier of a block: positive speaks for content. The bias is that of a short text without any sign.
-WEIGHTS = {
-    "bias": -0.4, "in article": 2.5, "in main": 1.5, "good name": 1.5, "bad name": -6.0, "chrome": -6.0, "page header": -5.0, "header in article": -1.0,
-    "heading": 0.6, "words": 0.9, "stops": 0.8, "links": -3.5, "outside": -0.5,
-}
+#: What the markup around a block says, in log odds of content. Blocks about which it speaks clearly are the examples
+#: from which the weights of the text's own features are learnt.
+STRUCTURE = {"in article": 5.0, "in main": 4.5, "good name": 4.5, "bad name": -14.0, "chrome": -14.0, "page header": -14.0, "header in article": -1.0, "heading": 0.6, "outside": -0.5}
+CONTENT, BOILERPLATE = frozenset({"in article", "in main", "good name"}), frozenset({"bad name", "chrome", "page header"})
+#: Features of a block's text: one (a short text without any sign), the logarithm of its words, whether it ends as a
+#: sentence does, the share of it in links. PRIOR is the mean of their weights before any example, with variance 1; each
+#: class of examples counts as at most EVIDENCE of them. What a text says weighs MOST_TEXT at most.
+PRIOR, EVIDENCE, MOST_TEXT = (-0.4, 0.9, 0.8, -3.5), 100.0, 2.5
 #: Smoothness: of blocks side by side (by their distance), and of neighbours under one parent.
 ADJACENT, SIBLING = 1.6, 0.5
 SPLIT = re.compile(r"[^a-z]+")
@@ -78,79 +84,202 @@ class _Element:
         self.unseen = tag in UNSEEN or hidden or bool(parent and parent.unseen)
 
 
-class _Page(HTMLParser):
-    """Blocks of text of a page: ``(element, text, characters in links)``. Any input is a page; nothing is cut off."""
+#: What ``<`` begins; anything else after it is text.
+MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?]|/(?=[^a-zA-Z]))|(/?)([a-zA-Z][^\s/>]*))")
+ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=]+)|=)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+TAG_END = re.compile(r"[\s/]*>")
+#: Elements whose content is no markup, up to their own end.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "iframe", "noframes", "noembed", "xmp", "title", "textarea")}
+#: References of more digits than a code point has; Python refuses to read very long ones.
+ZEROS, HUGE = re.compile(r"&#([xX]?)0{7,}"), re.compile(r"&#(?:[1-9]\d{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?")
+
+
+def _decoded(text: str) -> str:
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = HUGE.sub("\ufffd", ZEROS.sub(r"&#\g<1>0", text))
+    return html.unescape(text)
+
+
+class _Page:
+    """Blocks of text of a page: ``(element, text, characters in links)``. Any input is a page; nothing is cut off.
+
+    An unclosed comment, script or style reaches to the end, as in browsers; a marked section is text if it is CDATA and
+    nothing if not; a ``<`` that begins no markup is text. Time is linear in the page: quotes that never close are looked
+    for once, and open elements are found by name, not by walking the stack."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.open = [_Element("html", {}, None, 0)]
+        self.at: dict[str, list[int]] = {"html": [0]}  # where elements of a name are open
+        self.open_blocks, self.endless = [0], set()
         self.made, self.links, self.blocks, self.pieces, self.linked = 0, 0, [], [], 0
 
     def end_block(self):
         text = " ".join("".join(self.pieces).split())
         if text:
-            own = next(e for e in reversed(self.open) if e.tag in BLOCKS)
-            self.blocks.append((own, text, min(self.linked, len(text))))
+            self.blocks.append((self.open[self.open_blocks[-1]], text, min(self.linked, len(text))))
         self.pieces, self.linked = [], 0
 
     def close_to(self, n):
-        self.links -= sum(e.tag == "a" for e in self.open[n:])
-        del self.open[n:]
-
-    def handle_starttag(self, tag, attrs):
+        while len(self.open) > n:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            self.links -= tag == "a"
+            if tag in BLOCKS:
+                self.open_blocks.pop()
+
+    def begin(self, tag, attrs):
         if tag == "br":
             self.pieces.append(" ")
             return
         if tag in BLOCKS:
             self.end_block()
-            for n in range(len(self.open) - 1, 0, -1):
-                own = self.open[n].tag
-                if tag in ENDED_BY.get(own, ()):
-                    self.close_to(n)
-                elif own in BLOCKS and own not in ("thead", "tbody", "tfoot", "optgroup"):
-                    break
+            while len(self.open_blocks) > 1 and tag in ENDED_BY.get(self.open[self.open_blocks[-1]].tag, ()):
+                self.close_to(self.open_blocks[-1])
         if tag in VOID:
             return
         self.made += 1
-        self.open.append(_Element(tag, dict(attrs), self.open[-1], self.made))
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.open_blocks.append(len(self.open))
+        self.open.append(_Element(tag, attrs, self.open[-1], self.made))
         self.links += tag == "a"
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in UNSEEN:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def end(self, tag):
         if tag in BLOCKS:
             self.end_block()
-        for n in range(len(self.open) - 1, 0, -1):
-            if self.open[n].tag == tag:
-                self.close_to(n)
-                break
-            if tag not in BLOCKS and self.open[n].tag in BLOCKS:  # a stray inline end does not close blocks
-                break
+        found = self.at.get(tag)
+        # A stray inline end does not close blocks; nothing closes the page.
+        if found and found[-1] and (tag in BLOCKS or found[-1] > self.open_blocks[-1]):
+            self.close_to(found[-1])
 
-    def handle_data(self, data):
-        if not self.open[-1].unseen:
+    def text(self, data):
+        if data and not self.open[-1].unseen:
             self.pieces.append(data)
             if self.links:
                 self.linked += len("".join(data.split()))
 
-    def finish(self):
-        self.close()
+    def read(self, page: str) -> list[tuple[_Element, str, int]]:
+        at, done, size = 0, 0, len(page)
+        while m := MARKUP.search(page, at):
+            comment, cdata, bogus, closing, name = m.groups()
+            if m.start() > done:
+                self.text(_decoded(page[done : m.start()]))
+            if comment:
+                short = re.compile(r"-?>").match(page, m.end())
+                to = short.end() if short else page.find("-->", m.end()) + 3
+                at = to if to > 2 else size
+            elif cdata:
+                to = page.find("]]>", m.end())
+                self.text(page[m.end() : to if to >= 0 else size])
+                at = to + 3 if to >= 0 else size
+            elif bogus:
+                at = page.find(">", m.end()) + 1 or size
+            else:
+                at = self.tag(page, m.end(), name.lower(), bool(closing))
+            done = at
+        self.text(_decoded(page[done:]))
         self.end_block()
         return self.blocks
 
+    def tag(self, page: str, at: int, name: str, closing: bool) -> int:
+        """Reads the rest of a tag; where what follows begins."""
+        attrs = {}
+        while not (stop := TAG_END.match(page, at)):
+            a = ATTRIBUTE.match(page, at)
+            if not a or a.end() == at:  # the page ends within the tag
+                return len(page)
+            if a[1]:
+                attrs.setdefault(a[1].lower(), _decoded(next((v for v in a.groups()[1:] if v is not None), "")))
+            at = a.end()
+        at = stop.end()
+        if closing:
+            self.end(name)
+            return at
+        self.begin(name, attrs)
+        if name in VOID:
+            return at
+        if stop[0][:-1].rstrip().endswith("/") and name not in UNSEEN:  # <x/>: nothing is in it
+            self.end(name)
+            return at
+        if name == "plaintext":
+            self.text(page[at:])
+            return len(page)
+        if name in RAW:
+            to = None if name in self.endless else RAW[name].search(page, at)
+            if to:
+                if name == "xmp":
+                    self.text(page[at : to.start()])
+                return to.start()
+            if name in ("script", "style"):
+                return len(page)
+            self.endless.add(name)  # no end from here on: the tag is nothing
+            self.end(name)
+        return at
+
+
+def features(text: str, linked: int) -> tuple[float, float, float, float]:
+    words = len(text.split())
+    return 1.0, math.log1p(words / 8), float(text[-1] in ".!?…:;\"'”»)" and words > 3), linked / max(1, len(text.replace(" ", "")))
+
 
-def cost(element: _Element, text: str, linked: int) -> float:
+def cost(element: _Element, text: str, linked: int, weights=PRIOR) -> float:
     """Log odds of a block being content: what the cut pays for labelling it boilerplate, negative: content."""
-    words = len(text.split())
-    f = WEIGHTS["bias"] + sum(WEIGHTS[s] for s in element.signs) + WEIGHTS["words"] * math.log1p(words / 8)
-    f += WEIGHTS["stops"] * (text[-1] in ".!?…:;\"'”»)" and words > 3)
-    f += WEIGHTS["links"] * linked / max(1, len(text.replace(" ", "")))
-    if not element.signs & {"in article", "in main", "good name"}:
-        f += WEIGHTS["outside"]
-    return f
+    signs = element.signs
+    f = max((STRUCTURE[s] for s in signs & CONTENT), default=STRUCTURE["outside"]) + min((STRUCTURE[s] for s in signs & BOILERPLATE), default=0.0)
+    f += sum(STRUCTURE[s] for s in signs - CONTENT - BOILERPLATE)
+    said = sum(w * x for w, x in zip(weights, features(text, linked)))
+    return f + max(-MOST_TEXT, min(MOST_TEXT, said))
+
+
+def example(element: _Element) -> int | None:
+    """1 or 0 where the markup alone tells that a block is content or not."""
+    if element.signs & BOILERPLATE:
+        return 0
+    return 1 if element.signs & CONTENT else None
+
+
+def fit(cells: list[tuple[int, float, float, float, int]], rounds: int = 25) -> tuple[float, ...]:
+    """Weights of the text features: the most likely logistic regression of examples ``(label, *features without the one,
+    count)`` under the prior, by Newton's steps."""
+    w = np.array(PRIOR)
+    if not cells:
+        return PRIOR
+    y, n = np.array([c[0] for c in cells]), np.array([c[4] for c in cells], float)
+    x = np.array([(1.0, *c[1:4]) for c in cells])
+    for label in (0, 1):
+        n[y == label] *= min(1.0, EVIDENCE / max(1.0, n[y == label].sum()))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(4), x.T @ (n * (p - y)) + w - np.array(PRIOR))
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(v) for v in w)
+
+
+def train(pages: DataFrame, most_pages: int) -> tuple[float, ...]:
+    """``fit`` on the blocks of about ``most_pages`` rows ``(page_id, url, html)``, those with small hashes of id and url. Features
+    are rounded, so what comes to the driver is a table of counts of bounded size."""
+    n = pages.count()
+    some = pages
+    if n > most_pages:
+        some = pages.where(F.shiftrightunsigned(F.xxhash64("page_id", "url"), 1) < int(most_pages / n * 2**63))
+
+    def run(batches):
+        seen: Counter = Counter()
+        for b in small(batches):
+            for page in b.column(0).to_pylist():
+                for element, text, linked in _Page().read(page or ""):
+                    if (label := example(element)) is not None:
+                        _, words, stops, links = features(text, linked)
+                        seen[label, round(words * 8), int(stops), round(links * 8)] += 1
+        cols = list(zip(*[(*k, v) for k, v in seen.items()])) if seen else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["label", "words", "stops", "links", "n"])
+
+    cells = some.select("html").mapInArrow(run, "label long, words long, stops long, links long, n long").groupBy("label", "words", "stops", "links").agg(F.sum("n").alias("n"))
+    return fit(sorted((r.label, r.words / 8, float(r.stops), r.links / 8, r.n) for r in cells.collect()))
 
 
 def distance(a: _Element, b: _Element) -> int:
@@ -224,11 +353,9 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
                 break
 
 
-def main_blocks(html: str) -> list[str]:
+def main_blocks(page: str, weights=PRIOR) -> list[str]:
     """Texts of the page's content blocks in page order."""
-    page = _Page()
-    page.feed(html)
-    blocks = page.finish()
+    blocks = _Page().read(page)
     if not blocks:
         return []
     edges, last = [], {}
@@ -239,25 +366,28 @@ def main_blocks(html: str) -> list[str]:
         if parent in last:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    keep = minimum_cut([cost(*b) for b in blocks], edges)
+    keep = minimum_cut([cost(*b, weights) for b in blocks], edges)
     return [text for (_, text, _), ok in zip(blocks, keep) if ok]
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_pages: int = 2000) -> DataFrame:
     """``(page_id, url, text, blocks)`` per page: the content blocks, and them joined by one line feed.
 
     A page's blocks are the runs of text between block elements, character references decoded and white space made
     one space; scripts, styles and what is hidden are none. A linear classifier gives each block a capacity to the
-    source (content) or the sink (boilerplate); blocks side by side and neighbours under one parent are tied by
-    capacities that fall with their distance in the tree; the minimum cut labels all blocks of the page at once.
-    Null or empty html has no block. Nothing is dropped for its length. Rows stay rows; other columns are not read.
+    source (content) or the sink (boilerplate): what the markup around it says, and features of its text, whose weights
+    are learnt from blocks of about ``most_pages`` pages that the markup labels clearly. Blocks side by side and
+    neighbours under one parent are tied by capacities that fall with their distance in the tree; the minimum cut labels
+    all blocks of the page at once. Null or empty html has no block; no html is malformed. Nothing is dropped for its length. Rows stay rows; other columns are not read.
     """
 
+    given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    weights = train(given, most_pages)
+
     def run(batches):
         for b in small(batches):
-            found = [main_blocks(h or "") for h in b.column(2).to_pylist()]
+            found = [main_blocks(h or "", weights) for h in b.column(2).to_pylist()]
             texts = ["\n".join(x).encode("utf-8", "replace").decode() for x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in found], pa.int32())], ["page_id", "url", "text", "blocks"])
 
-    given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return given.mapInArrow(run, "page_id long, url string, text string, blocks int")
