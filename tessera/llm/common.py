@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise, shared_dir  # noqa: F401
+
 #: A word is a run of anything but the ASCII white space below; ``bytes.split()`` cuts at exactly these.
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark.sparkContext, "_tessera_dir", None) or tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext._tessera_dir = found
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: its lineage is cut and a lost executor costs no
-    recomputation. ``compact``, for what a cheap last step makes of few bytes: no more tasks and files than cores."""
-    if compact:
-        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing will read again."""
-    for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._tessera_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_broadcast(table: DataFrame, most_rows: int = 300_000) -> DataFrame:
     """A hint to broadcast a materialised table of fixed-width rows, only if it has at most ``most_rows``; else it is joined by a shuffle."""
     return F.broadcast(table) if table.count() <= most_rows else table
@@ -86,13 +56,3 @@ def shingle_hashes(words: list[bytes], k: int, seed: int = 42) -> np.ndarray:
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[: len(words) - k + 1].tolist()
     return np.array([h(joined[a:b], seed) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64)
-
-
-def sql_words(text: str = "text") -> str:
-    """DuckDB: the words of ``text``."""
-    return f"regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')"
-
-
-def sql_lower(text: str = "text") -> str:
-    """DuckDB: ``text`` with A-Z lower-cased and nothing else."""
-    return f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialise, partitions, shingle_hashes, small, texts
+from .common import bounded_broadcast, discard, materialise, partitions, shingle_hashes, small, texts
 from .components import connected_components, merge_labels
 
 #: Fingerprints in a tile; pairs of tiles share a task's memory of a few MB.
@@ -265,6 +265,28 @@ def _sketch(docs: DataFrame, shingle_words: int, anchors: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tid long, digest binary, fp long, anchors array<long>")
 
 
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """Rows ``(bucket, ...)`` with the size ``n`` of each bucket of two members or more, with its rows. Of buckets with the
+    same members one stays: the count and two sums of hashes stand for the set."""
+    members = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2")).where("n > 1")
+    kept = members.groupBy("n", "s", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return rows.join(kept, "bucket")
+
+
+def _buckets(rep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(bucket, id, fp)`` of classes ``(id, fp, anchors)``: a bucket for each anchor; in place of one with more rows than
+    a tile, which boilerplate makes, a bucket for each pair of its anchor with another of the class. And the table to discard."""
+    own = materialise(_distinct_buckets(rep.select("id", "fp", "anchors", F.explode("anchors").alias("bucket"))), "anchored", True)
+    single, hot = own.where(F.col("n") <= TILE), own.where(F.col("n") > TILE)
+    if hot.isEmpty():
+        return own.select("bucket", "id", "fp"), own
+    pairs = hot.select("id", "fp", F.explode("anchors").alias("other"), F.col("bucket").alias("own")).where("other <> own")
+    pairs = pairs.select("id", "fp", F.xxhash64(F.least("own", "other"), F.greatest("own", "other")).alias("bucket")).distinct()
+    out = materialise(single.select("bucket", "id", "fp").union(_distinct_buckets(pairs).select("bucket", "id", "fp")), "buckets", True)
+    discard(own)
+    return out, out
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, radius: int = 22, anchors: int = 8
 ) -> DataFrame:
@@ -274,19 +296,17 @@ def near_duplicates(
 
     Texts with the same lower-cased words are one class from the start. Two documents are compared where they share
     one of ``anchors`` minimal shingles, which a pair of the least similarity fails to do with probability
-    (1 - similarity)**anchors (0.2**8 = 3e-6); bit-sliced SimHash then leaves pairs within ``radius`` bits (a pair
-    at 0.8 differs in 10 bits, one in 10,000 in over 20), and their shingle sets decide. Null and empty texts are
-    copies of one another. Repeated rows stay rows; a null doc_id keeps its row and names no component. Other
-    columns are not read. No rows, no result.
+    (1 - similarity)**anchors (0.2**8 = 3e-6); in the bucket of a shingle that more than a tile of classes have, where
+    they share another too (8e-5 for pairs that share no other bucket). Bit-sliced SimHash then leaves pairs within
+    ``radius`` bits (a pair at 0.8 differs in 10 bits, one in 10,000 in over 20), and their shingle sets decide. Null and
+    empty texts are copies of one another. Repeated rows stay rows; a null doc_id keeps its row and names a component
+    (as null, with its tid) only where no row has an id. Other columns are not read. No rows, no result.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tid"))
     sketch = materialise(_sketch(given, shingle_words, anchors), "sketch")
-    rep = materialise(sketch.groupBy("digest").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tid"))).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")).withColumn("id", F.xxhash64("digest")), "rep", True)
-    rows = rep.select("id", "fp", F.explode(F.array_distinct("anchors")).alias("bucket"))
-    # Buckets with the same members are one bucket: the count and two sums of hashes stand for the set.
-    members = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2")).where("n > 1")
-    kept = members.groupBy("n", "s", "s2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = materialise(rows.join(kept, "bucket"), "buckets", True)
+    named = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")
+    rep = materialise(sketch.groupBy("digest").agg(F.min(named).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")).withColumn("id", F.xxhash64("digest")), "rep", True)
+    rows, bucket_table = _buckets(rep.select("id", "fp", F.array_sort(F.array_distinct("anchors")).alias("anchors")))
 
     def partners(batches):
         def of_tile(t):
@@ -304,18 +324,16 @@ def near_duplicates(
 
     # First by fingerprint alone: who has a partner at all. Only those bring their shingles.
     close = materialise(_in_tiles(rows).mapInArrow(partners, "id long, bucket long").distinct().join(rows, ["id", "bucket"]), "close", True)
-    wanted = close.select("id").distinct().join(rep.select("id", F.col("digest").alias("want"), F.col("least.doc_id").alias("rep_id")), "id")
-    wanted = bounded_broadcast(materialise(wanted, "wanted", True))
+    wanted = close.select("id").distinct().join(rep.select("id", F.col("digest").alias("want"), F.col("least.doc_id").alias("rep_id"), F.col("least.tid").alias("rep_tid")), "id")
+    wanted = materialise(wanted, "wanted", True)
 
     def shingles(batches):
         for b in small(batches):
-            words = [t.lower().split() for t in texts(b)]
-            own = [i for i, (w, want) in enumerate(zip(words, b.column(1).to_pylist())) if _digest(w) == want]
-            sets = [np.unique(shingle_hashes(words[i], shingle_words)).tobytes() for i in own]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets = [np.unique(shingle_hashes(t.lower().split(), shingle_words)).tobytes() for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    # Rows that share a doc_id may differ in text: the digest tells which one is meant.
-    sets = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("id", "want", "text")
+    # The row that stands for a class: by id and text, as ids may be null or shared.
+    sets = given.join(bounded_broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("tid") == F.col("rep_tid"))).select("id", "text")
     sets = materialise(sets.mapInArrow(shingles, "id long, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles")), "shingles")
 
     def links(batches):
@@ -329,7 +347,8 @@ def near_duplicates(
         yield from _tiles(batches, of_tile)
 
     roots = connected_components(_in_tiles(close.join(sets, "id")).mapInArrow(links, "a long, b long"))
-    named = materialise(rep.select("digest", "least", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named", True)
-    least = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least", True)
-    names = materialise(named.join(least, "root").select("digest", "component"), "names", True)
+    discard(bucket_table, close, wanted, sets)
+    rooted = materialise(rep.select("digest", "least", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named", True)
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component")), "least", True)
+    names = materialise(rooted.join(least, "root").select("digest", "component"), "names", True)
     return sketch.join(names, "digest").select("doc_id", "tid", F.col("component.doc_id").alias("component_id"), F.col("component.tid").alias("component_tid"))

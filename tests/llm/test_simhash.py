@@ -110,3 +110,33 @@ def test_near_duplicates_that_repeat_a_line_differently_often(spark):
 
 def test_empty_tables(docs):
     assert s.simhash_components(docs.limit(0)).count() == 0 == s.near_duplicates(docs.limit(0)).count()
+
+
+def test_near_duplicates_without_ids(spark):
+    rng = np.random.default_rng(6)
+    body = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(40):
+        other = list(body)
+        other[int(rng.integers(60))] = f"edit{i}"
+        rows.append((None, " ".join(other)))
+    rows += [(None, "one two"), (None, "one two"), (None, None), (7, "three four five six")]
+    got = s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == r.doc_id for r in got)
+    assert len({r.component_tid for r in got}) == 4 and {r.component_tid for r in got} <= {r.tid for r in got}
+
+
+@pytest.mark.parametrize("tile", [4096, 4])
+def test_near_duplicates_under_a_common_line(spark, tile, monkeypatch):
+    """Most documents begin with one line, and many are near copies: hot buckets are split by a second anchor."""
+    monkeypatch.setattr(s, "TILE", tile)
+    rng, line = np.random.default_rng(8), " ".join(f"l{k}" for k in range(40))
+    rows = []
+    for i in range(60):
+        body = [f"b{i // 3 if i < 30 else 99}x{k}" for k in range(60)]
+        body[int(rng.integers(60))] = f"e{i}"
+        rows.append((i, (line + " " if i % 5 else "") + " ".join(body)))
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    want = classes(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
