@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded_broadcast, materialise
 
-#: Bits of the document hash that each histogram tells apart, and bits in all.
-STEP, BITS = 12, 63
+#: Bits of the document hash that each histogram tells apart, and bits in all (15 hexadecimal digits).
+STEP, BITS = 12, 60
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
@@ -48,14 +48,14 @@ def _thresholds(sizes: DataFrame, parts: DataFrame) -> DataFrame:
         d = sizes.select(F.col("source").alias("s"), "h", "size").join(
             inside, F.col("s").eqNullSafe(F.col("source")) & (F.shiftright("h", at) == F.col("prefix"))
         )
-        hist = d.groupBy("source", "part", "before", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("size"), F.count_distinct("h").alias("n"))
+        hist = d.groupBy("source", "part", "before", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("size"), (F.min("h") == F.max("h")).alias("single"))
         line = Window.partitionBy("source").orderBy("prefix")
         hist = hist.withColumn("upto", F.col("before") + F.sum("size").over(line))
         ends = F.col("upto") >= F.col("part")
         hist = hist.where(ends & (F.col("upto") - F.col("size") < F.col("part")) & (F.col("size") > 0))
-        hist = materialise(hist.select("source", "part", "prefix", (F.col("upto") - F.col("size")).alias("before"), "size", "n"), "boundary", True)
+        hist = materialise(hist.select("source", "part", "prefix", (F.col("upto") - F.col("size")).alias("before"), "size", "single"), "boundary", True)
         nearer = F.col("part") - F.col("before") > F.col("size") / 2
-        single = (F.col("n") == 1) | F.lit(shift == 0)
+        single = F.col("single") | F.lit(shift == 0)
         done.append(hist.where(single).select("source", (F.shiftleft("prefix", shift) + F.when(nearer, (1 << shift) - 1).otherwise(-1)).alias("last")))
         open_ = hist.where(~single).select("source", "part", "prefix", "before")
         if shift == 0 or open_.isEmpty():
@@ -67,6 +67,12 @@ def _thresholds(sizes: DataFrame, parts: DataFrame) -> DataFrame:
     return out
 
 
+def _hash(id_: Column, text: Column) -> Column:
+    """BITS bits of the MD5 of id, line feed and text; null counts as empty."""
+    whole = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), limit: int = 3,
     carry: tuple[str, ...] = (),
@@ -74,16 +80,17 @@ def mix_sources(
     """``(doc_id, source, size, source_size, target, copies, taken)`` and the columns ``carry`` per row of ``docs``.
 
     A document's size is its number of words (null: 0). A target of several times its source's size takes all its
-    documents so many times over, and the rest of it those whose hash of the id is up to the source's threshold, so
-    ``taken`` is ``size`` times a whole number, ``limit`` at most, and reruns agree. A source misses its target by at
-    most half the document (rows that share an id count as one) on which its budget ends. A null source is a source;
-    a null id hashes like any other; sources of size 0 have target 0. Other columns are not read. No rows, no result.
+    documents so many times over, and the rest of it those whose hash is up to the source's threshold, so ``taken`` is
+    ``size`` times a whole number, ``limit`` at most, and reruns agree. The hash, a part of the MD5, is of id and text, so
+    rows without an id or with a shared one are told apart. A source misses its target by at most half the document
+    (rows that share id and text count as one) on which its budget ends. A null source is a source; sources of size 0
+    have target 0. Other columns are not read. No rows, no result.
     """
     given = docs.select(
             *carry, F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit("mix")), 1).alias("h"),
+            _hash(F.col(id_col).cast("long"), F.col(text_col)).alias("h"),
         )
     sizes = materialise(given.select("doc_id", "source", "size", "h"), "sizes")
     targets = materialise(
