@@ -14,8 +14,9 @@ from .common import bounded_broadcast, discard, materialise, partitions, small,
 
 #: The filter of shared minimisers has at most so many bits (32 MB): a proven bound for what is broadcast.
 FILTER_BITS = 28
-#: A minimiser of more super-k-mers than this, and than a thousandth of all, is hot (at most 1,000 are) and goes in parts.
-HOT = 2000
+#: A minimiser of more super-k-mers than this is hot and goes in parts of about so many. All tasks know which are hot, so
+#: there are MOST_HOT at most (16 MB): past HOT * MOST_HOT shared super-k-mers (a TB or so of text) parts are larger.
+HOT, MOST_HOT = 2000, 1_000_000
 
 
 class _Hashes(dict):
@@ -124,35 +125,47 @@ def _groups(batches):
         yield rest
 
 
+def _windows(packed: bytes, window: int) -> list[bytes]:
+    """The word sequences of all windows of a packed string, which are parts of it."""
+    spaces = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
+    starts, ends = np.append(0, spaces + 1), np.append(spaces, len(packed))
+    return [packed[x:y] for x, y in zip(starts[: len(starts) - window + 1].tolist(), ends[window - 1 :].tolist())]
+
+
 def _repeats(group, window: int):
     """Rows ``(doc_id, tid, start, stop, digest)``: runs of window starts whose words also start in a smaller document
-    of the group. The windows are sorted by their words and then by document, so equal ones are neighbours. A part of
-    a hot minimiser's group also gives, with its digest, each window of the least document here that has it: whether
-    another part has a smaller one is left to tell."""
-    import hashlib
-
-    docs, tids, starts = (group.column(c).to_pylist() for c in ("doc_id", "tid", "start"))
-    part = group.column("salt")[0].as_py() > 0
-    windows = []
-    for row, packed in enumerate(group.column("packed").to_pylist()):
-        words = packed.split(b" ")
-        windows += [(b" ".join(words[k : k + window]), docs[row], row, k) for k in range(len(words) - window + 1)]
-    windows.sort()
-    marks: dict[int, list[int]] = {}
-    head, least = None, None
-    for text, doc, row, k in windows:
-        if text != head:
-            head, least = text, doc
-            digest = hashlib.blake2b(text, digest_size=16).digest() if part else None
-        if doc > least:
-            marks.setdefault(row, []).append(k)
-        elif part:
-            yield doc, tids[row], starts[row] + k, starts[row] + k + 1, digest
-    for row, ks in marks.items():
-        ks = np.sort(np.array(ks)) + starts[row]
-        cut = np.flatnonzero(np.diff(ks) != 1) + 1
-        for run in np.split(ks, cut):
-            yield docs[row], tids[row], int(run[0]), int(run[-1]) + 1, None
+    of the group. The windows are sorted by a 128-bit digest of their words and then by document, so equal ones are
+    neighbours; that their words are equal is checked. A part of a hot minimiser's group also gives, with its digest,
+    each window of the least document here that has it: whether another part has a smaller one is left to tell."""
+    import xxhash
+
+    docs, tids, starts = (group.column(c).to_numpy() for c in ("doc_id", "tid", "start"))
+    part, packed = group.column("salt")[0].as_py() > 0, group.column("packed").to_pylist()
+    found = [_windows(x, window) for x in packed]
+    sizes = np.array([len(x) for x in found])
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in chain.from_iterable(found)), np.uint64).reshape(-1, 2)
+    row = np.repeat(np.arange(len(found)), sizes)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((docs[row], digest[:, 1], digest[:, 0]))
+    digest, row, at = digest[order], row[order], at[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (digest[1:] != digest[:-1]).any(1)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    later = docs[row] > docs[row[first]]
+    if part:
+        for i in np.flatnonzero(~later).tolist():
+            yield int(docs[row[i]]), int(tids[row[i]]), int(starts[row[i]] + at[i]), int(starts[row[i]] + at[i]) + 1, digest[i].tobytes()
+    later = np.flatnonzero(later)
+    for i, j in zip(later.tolist(), first[later].tolist()):
+        if found[row[i]][at[i]] != found[row[j]][at[j]]:
+            raise ArithmeticError("two word sequences have one 128-bit digest")
+    row, at = row[later], at[later]
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))) if len(row) else np.empty(0, int)
+    for x, y in zip(cut.tolist(), np.append(cut[1:], len(row)).tolist()):
+        r = row[x]
+        yield int(docs[r]), int(tids[r]), int(starts[r] + at[x]), int(starts[r] + at[y - 1]) + 1, None
 
 
 def _batch(rows: list, names: list[str], types: list):
@@ -182,7 +195,7 @@ def repeated_ranges(docs: DataFrame, window: int = 50, gram: int = 8, hot_from:
     counts = docs.mapInArrow(survey, "mini long, lo long, hi long, n long").groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     shared = materialise(counts.where("lo < hi").select("mini", "n"), "shared", True)
     total, n_shared = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    most = max(hot_from, total / 1000)
+    most = max(hot_from, total / MOST_HOT)
     hot = shared.where(F.col("n") > most).select("mini", F.ceil(F.col("n") / most).cast("long").alias("parts")).orderBy("mini").toArrow()
     bits, words = _shared_filter(shared, n_shared)
     sent = spark.sparkContext.broadcast((bits, words, hot.column("mini").to_numpy(), hot.column("parts").to_numpy()))
@@ -246,7 +259,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = found.distinct().groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     ranges = materialise(ranges.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tid", "ranges"))).alias("by_tid")), "by_doc", True)
     most = 300_000 if found.count() <= 1_000_000 else 0
-    joined = given.join(bounded_broadcast(ranges, most), "doc_id", "left").select("doc_id", "text", *carry, "by_tid")
+    own = ["doc_id", "text", *carry]
+    joined = given.where("doc_id is not null").join(bounded_broadcast(ranges, most), "doc_id", "left").select(*own, "by_tid")
+    # Rows without an id lose nothing; in the join they would all be in one task.
+    joined = joined.union(given.where("doc_id is null").select(*own, F.lit(None).cast(ranges.schema["by_tid"].dataType)))
 
     def run(batches):
         for b in small(batches):
@@ -260,7 +276,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((len(words), removed, b" ".join(words if not removed else [words[i] for i in np.flatnonzero(~gone).tolist()])))
             n, removed, kept = zip(*out) if out else ((), (), ())
             kept = pa.array(kept, pa.binary()).cast(pa.string())
-            own = ["doc_id", "text", *carry]
             yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), kept], [*own, "n_words", "n_removed", "kept"])
 
     schema = T.StructType([*given.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept string").fields])
