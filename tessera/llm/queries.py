@@ -85,6 +85,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op5_substrings": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents),
+k AS (SELECT r, doc_id, unnest(range(len(w) - 49)) AS pos, unnest([array_to_string(w[i:i + 49], ' ') FOR i IN range(1, len(w) - 48)]) AS seq FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL),
+m AS (SELECT r, pos FROM (SELECT r, pos, doc_id, min(doc_id) OVER (PARTITION BY seq) AS least FROM k) WHERE least < doc_id),
+g AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(pos, pos + 50)) AS p FROM m) GROUP BY r),
+v AS (SELECT r, list(x ORDER BY p) AS kept FROM (
+    SELECT d.r, unnest(w) AS x, unnest(range(len(w))) AS p FROM d JOIN g USING (r)) u
+  LEFT JOIN (SELECT r, unnest(gone) AS p, true AS cut FROM g) c USING (r, p) WHERE cut IS NULL GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE coalesce(kept, []) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN v USING (r)
+""",
+    "op7_mixing": """
+WITH d AS (
+  SELECT doc_id, source, CAST(len([x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> '']) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+f AS (SELECT *, source_size * 3 / CAST(w AS DOUBLE) AS full_at FROM s),
+c AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(coalesce(sum(source_size * 3) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS capped,
+    CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS open FROM f WINDOW o AS (ORDER BY full_at, encode(source) NULLS LAST)),
+l AS (SELECT arg_min((total - capped) / open, full_at) FILTER ((total - capped) / open <= full_at) AS level FROM c),
+t AS (SELECT source, source_size, coalesce(least(CAST(w AS DOUBLE) * level, CAST(source_size * 3 AS DOUBLE)), CAST(0 AS DOUBLE)) AS target FROM c, l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM t),
+b AS (SELECT source, h, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
+e AS (SELECT b.source, min(CASE WHEN target - times * source_size - (upto - size) > size / CAST(2 AS DOUBLE) THEN b.h ELSE b.h - 1 END) AS last_h
+  FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source WHERE target - times * source_size > 0 AND upto >= target - times * source_size AND upto - size < target - times * source_size AND size > 0 GROUP BY b.source)
+SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN h <= coalesce(last_h, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken, d.source
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+""",
     "op9_decontam": """
 WITH dw AS (
   SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),

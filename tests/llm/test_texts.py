@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -184,6 +185,53 @@ def test_targets(spark, sizes, wanted):
     assert got == pytest.approx(wanted)
 
 
+def brute_mix(rows, limit=3):
+    """What is taken of each row: targets by sharing excess again and again, then documents in the order of their hashes."""
+    sources = sorted({x for *_, x in rows}, key=lambda x: (x is None, x or ""))
+    size = {x: sum(len((t or "").split()) for _, t, y in rows if y == x) for x in sources}
+    weight, target, left, open_ = {x: i % 3 + 1 for i, x in enumerate(sources)}, {}, float(sum(size.values())), list(sources)
+    while True:
+        share = {x: left * weight[x] / sum(weight[y] for y in open_) for x in open_}
+        full = [x for x in open_ if share[x] > limit * size[x]]
+        for x in full:
+            target[x] = float(limit * size[x])
+            left -= target[x]
+            open_.remove(x)
+        if not full:
+            break
+    target |= share if open_ else {}
+    out = []
+    for x in sources:
+        docs = Counter()
+        for d, t, y in rows:
+            if y == x:
+                docs[int(hashlib.md5(f"{'' if d is None else d}\n{t or ''}".encode()).hexdigest()[:15], 16), d, t] += len((t or "").split())
+        times = int(target[x] // size[x]) if size[x] else 0
+        part, upto, last = target[x] - times * size[x], 0, -1
+        for h, n in sorted((k[0], n) for k, n in docs.items()):
+            if part > 0 and n and upto < part <= upto + n:
+                last = h if part - upto > n / 2 else h - 1
+            upto += n
+        out += [(d, x, len((t or "").split()) * (times + (k <= last))) for k, d, t in docs for y in [x] for _ in range(sum(1 for r in rows if r == (d, t, x)))]
+    return target, out
+
+
+def test_mixing_equals_brute_force(spark, docs, corpus):
+    rng = random.Random(3)
+    many = [(i if i % 5 else None, prose(rng, rng.randrange(0, 30)), rng.choice(["a", "b", "ç", "Z", None])) for i in range(800)]
+    for rows in ([(d, t, x) for d, t, _, x, _ in corpus], many, many[:1], [(None, None, None)]):
+        target, want = brute_mix(rows)
+        got = mixing.mix_sources(spark.createDataFrame([(d, t, None, x, None) for d, t, x in rows], DOCS).repartition(3)).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(target)
+        assert sorted(((r.doc_id, r.source, r.taken) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_mixing_tells_rows_without_ids_apart(spark):
+    rows = [(None, f"x{i} " * 10, None, "a", None) for i in range(1000)] + [(i, "y " * 10, None, "b", None) for i in range(2000)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect()
+    assert all(abs(r.t - r.w) <= 5 for r in got)
+
+
 def test_mixing_comes_near_its_targets(spark):
     rng = random.Random(1)
     rows = [(i, prose(rng, rng.randrange(1, 40)), None, rng.choice("abcde"), None) for i in range(4000)]
