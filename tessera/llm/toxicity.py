@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, materialise
 from .common import small, texts
-from .learning import labelled, sample, with_fold
+from .learning import labelled, sample, sampled, with_fold
 
 #: Hashed columns: a word and its beginnings of these lengths, in code points.
 BITS, BEGINNINGS = 20, (4, 5, 6)
+WORDS = re.compile(r"[^\W_]+")
+#: Words that a task remembers.
+CACHE = 400_000
 
 
 def _columns(word: str) -> list[int]:
@@ -25,24 +30,64 @@ def _columns(word: str) -> list[int]:
 
 
 def _words(text: bytes) -> set[str]:
-    import regex
+    return set(WORDS.findall(text.decode("utf-8", "replace").lower()))
 
-    return set(regex.findall(r"[\p{L}\p{M}\p{N}]+", text.decode("utf-8", "replace").lower()))
+
+class _Remembered(dict):
+    """What ``of`` makes of a word, computed once while it is remembered."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE:
+            self.clear()
+        x = self[word] = self.of(word)
+        return x
 
 
 def _features(rows: DataFrame) -> list[np.ndarray]:
     """Columns of every row's distinct words, one array a row; ``rows`` is a bounded sample."""
 
     def run(batches):
-        columns = lru_cache(50_000)(_columns)
+        columns = _Remembered(_columns)
         for b in small(batches):
-            found = [np.array([c for w in _words(t) for c in columns(w)], np.uint32).tobytes() for t in texts(b)]
+            found = [np.array([c for w in _words(t) for c in columns[w]], np.uint32).tobytes() for t in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["columns"])
 
     got = rows.select("text").mapInArrow(run, "columns binary").toArrow()
     return [np.frombuffer(x, np.uint32) for x in got.column(0).to_pylist()]
 
 
+def _unlabelled(rows: DataFrame, known: np.ndarray, most: int) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """Of all ``rows``: how many they are, in how many each of the ``known`` columns occurs, and those columns of about
+    ``most`` rows. One pass over the texts; what comes to the driver is as long as ``known`` and the sample."""
+    n = rows.count()
+
+    def run(batches):
+        wanted, count = set(known.tolist()), np.zeros(1 << BITS, np.int64)
+        columns = _Remembered(lambda w: [c for c in _columns(w) if c in wanted])
+        for b in small(batches):
+            chosen = []
+            for text, take in zip(texts(b), b.column(1).to_pylist()):
+                found = [c for w in _words(text) for c in columns[w]]
+                count[list(set(found))] += 1
+                if take:
+                    chosen.append(np.array(found, np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(chosen), pa.int32()), pa.nulls(len(chosen), pa.int64()), pa.array(chosen, pa.binary())], ["slot", "n", "columns"])
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at]), pa.nulls(len(at), pa.binary())], ["slot", "n", "columns"])
+
+    found = materialise(rows.select("text", sampled(n, most, "unlabelled").alias("take")).mapInArrow(run, "slot int, n long, columns binary"), "unlabelled")
+    got = found.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BITS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    docs = [np.frombuffer(x, np.int64) for x in found.where("slot is null").select("columns").toArrow().column(0).to_pylist()]
+    discard(found)
+    return n, counts, docs
+
+
 def _flat(docs: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kept columns of all documents end to end, renumbered by ``at`` (-1: dropped), and the document of each."""
     kept = [x[x >= 0] for x in (at[d] for d in docs)]
@@ -57,65 +102,76 @@ def _frequencies(docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 3e-3):
-    """Weights and bias of a linear classifier that minimise the non-negative PU risk with the logistic loss:
-    prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]), by full-batch Adam. Where the corrected negative
-    risk is below zero, its gradient is followed backwards, so the model unlearns what it has learnt by heart."""
-    w = np.zeros(width + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def risk(w: np.ndarray, p: tuple, u: tuple, n_p: int, n_u: int, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The parts of the PU risk with the logistic loss for weights and, last, bias: prior * E_p[l(f)], the corrected
+    negative risk E_u[l(-f)] - prior * E_p[l(-f)], and their gradients."""
 
     def scores(x, n):
         return np.bincount(x[1], weights=w[x[0]], minlength=n) + w[-1]
 
     def slope(x, g):
-        return np.append(np.bincount(x[0], weights=g[x[1]], minlength=width), g.sum())
+        return np.append(np.bincount(x[0], weights=g[x[1]], minlength=len(w) - 1), g.sum())
+
+    fp, fu = scores(p, n_p), scores(u, n_u)
+    sp, su = 1 / (1 + np.exp(-np.clip(fp, -40, 40))), 1 / (1 + np.exp(-np.clip(fu, -40, 40)))
+    positive, negative = prior * np.logaddexp(0, -fp).mean(), np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return positive, negative, slope(p, prior * (sp - 1) / n_p), slope(u, su / n_u) - slope(p, prior * sp / n_p)
 
+
+def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4):
+    """Weights and bias of a linear classifier that minimise the non-negative PU risk, positive + max(0, negative), by
+    full-batch Adam until it stands still. Where the corrected negative risk is below zero, its gradient is followed
+    backwards, so the model unlearns what it has learnt by heart; as that makes the last steps swing about the risk's
+    edge, the result is the mean of the second half of them."""
+    w, mean = np.zeros(width + 1), np.zeros(width + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        fp, fu = scores(p, n_p), scores(u, n_u)
-        sp, su = 1 / (1 + np.exp(-np.clip(fp, -40, 40))), 1 / (1 + np.exp(-np.clip(fu, -40, 40)))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        down = slope(u, su / n_u) - slope(p, prior * sp / n_p)
-        g = slope(p, prior * (sp - 1) / n_p) + down if negative >= 0 else -down
+        _, negative, up, down = risk(w, p, u, n_p, n_u, prior)
+        g = up + down if negative >= 0 else -down
         g[:-1] += decay * w[:-1]
+        if np.abs(g).max() < 1e-7:
+            return w[:-1], w[-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], w[-1]
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if 2 * t > rounds:
+            mean += w
+    mean /= rounds - rounds // 2
+    return mean[:-1], mean[-1]
 
 
-def train(rows: DataFrame, labels: DataFrame, label_col: str, most_positive: int, most_unlabelled: int) -> tuple[np.ndarray, float]:
-    """Weights of the 2**BITS columns and the bias, from confirmed positives and unlabelled texts of ``with_fold`` rows."""
+def train(rows: DataFrame, labels: DataFrame, label_col: str, most_positive: int, most_unlabelled: int) -> tuple[dict[int, float], float]:
+    """Weights of the columns that have one and the bias, from confirmed positives and unlabelled texts of ``with_fold`` rows."""
     known = labelled(rows, labels, label_col)
     n = {r.y: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, prior = n.get(1, 0), 0.0
-    weights = np.zeros(1 << BITS, np.float32)
     if not n_pos:
-        return weights, -40.0
+        return {}, -40.0
     prior = min(0.95, n_pos / sum(n.values()))
     pos = _features(sample(known.where("y = 1"), n_pos, most_positive, "positive"))
-    free = rows.where(~F.col("held_out"))
-    unl = _features(sample(free, free.count(), most_unlabelled, "unlabelled"))
-    if not pos or not unl:
-        return weights, float(np.log(prior / (1 - prior)))
-    p_df, u_df = _frequencies(pos), _frequencies(unl)
+    if not pos:
+        return {}, float(np.log(prior / (1 - prior)))
+    p_df = _frequencies(pos)
+    n_all, u_df, unl = _unlabelled(rows.where(~F.col("held_out")), np.flatnonzero(p_df >= 3), most_unlabelled)
+    if not unl:
+        return {}, float(np.log(prior / (1 - prior)))
     # Columns more frequent in positives than chance lets them be; the rest carries no sign of toxicity.
-    chance = len(pos) * (u_df + 0.5) / len(unl)
+    chance = len(pos) * (u_df + 0.5) / n_all
     keep = np.flatnonzero((p_df >= 3) & (p_df > 2 * chance) & (p_df - chance >= 5 * np.sqrt(chance + 0.5)))
     at = np.full(1 << BITS, -1, np.int32)
     at[keep] = np.arange(len(keep))
     w, bias = nnpu(_flat(pos, at), _flat(unl, at), len(pos), len(unl), len(keep), prior)
-    weights[keep] = w
-    return weights, float(bias)
+    return dict(zip(keep.tolist(), w.tolist())), float(bias)
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000, most_unlabelled: int = 8000, carry: tuple[str, ...] = ()
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 4000, most_unlabelled: int = 16_000, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(doc_id, held_out, score)`` and the columns ``carry`` per row of ``docs``: the probability that the whole text is toxic.
 
-    Learns from a bounded sample outside the held-out fold: about ``most_positive`` texts whose label is 1 and
-    ``most_unlabelled`` of all texts, whose labels are not looked at; the class prior is the share of 1 among all
-    labels there. Null and empty texts get the score of a text without words. Without any positive label all scores
+    Learns outside the held-out fold: which words mark toxicity from about ``most_positive`` texts whose label is 1,
+    held against all texts there, whose labels are not looked at; their weights from the same positives and about
+    ``most_unlabelled`` of all texts. The class prior is the share of 1 among all labels there. Null and empty texts get the score of a text without words. Without any positive label all scores
     are near 0. Repeated rows stay rows, a null id is scored like any other; other columns are not read.
     """
     rows = with_fold(docs, id_col, text_col)
@@ -123,9 +179,9 @@ def score_toxicity(
 
     def run(batches):
         weights, bias = sent.value
-        weight = lru_cache(150_000)(lambda word: float(weights[_columns(word)].sum()))
+        weight = _Remembered(lambda word: sum(weights.get(c, 0.0) for c in _columns(word)))
         for b in small(batches):
-            f = np.array([sum(map(weight, _words(t))) for t in texts(b)], np.float64) + bias
+            f = np.array([math.fsum(map(weight.__getitem__, _words(t))) for t in texts(b)], np.float64) + bias
             own = ["doc_id", "held_out", *carry]
             yield pa.RecordBatch.from_arrays([*map(b.column, own), pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))))], [*own, "score"])
 

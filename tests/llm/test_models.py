@@ -103,6 +103,36 @@ def test_nnpu_follows_a_negative_risk_backwards():
     assert np.abs(wild).max() < 40
 
 
+def test_nnpu_risk_has_its_numeric_gradient():
+    rng = np.random.default_rng(5)
+    p, u = (rng.integers(0, 6, 20), np.sort(rng.integers(0, 8, 20))), (rng.integers(0, 6, 50), np.sort(rng.integers(0, 30, 50)))
+    w = rng.normal(size=7)
+    positive, negative, up, down = toxicity.risk(w, p, u, 8, 30, 0.3)
+    fp, fu = (np.array([w[-1] + sum(w[c] for c, d in zip(*x) if d == i) for i in range(n)]) for x, n in ((p, 8), (u, 30)))
+    assert positive == pytest.approx(0.3 * np.log1p(np.exp(-fp)).mean()) and negative == pytest.approx(np.log1p(np.exp(fu)).mean() - 0.3 * np.log1p(np.exp(fp)).mean())
+    for i in range(7):
+        e = 1e-6 * np.eye(7)[i]
+        more, less = toxicity.risk(w + e, p, u, 8, 30, 0.3), toxicity.risk(w - e, p, u, 8, 30, 0.3)
+        assert (more[0] - less[0]) / 2e-6 == pytest.approx(up[i], abs=1e-6) and (more[1] - less[1]) / 2e-6 == pytest.approx(down[i], abs=1e-6)
+
+
+def test_toxicity_scores_equal_brute_force(world):
+    """Frequencies over all texts of the fold, and the scores, computed document by document."""
+    rows, labels, docs, known = world
+    from tessera.llm.learning import with_fold
+
+    weights, bias = toxicity.train(with_fold(docs, "doc_id", "text"), known, "toxic", 4000, 8000)
+    own = {c for t in ("filth", "vermin", "vermins", "scoundrel") for c in toxicity._columns(t)}
+    assert weights and set(weights) <= own  # nothing else marks toxicity here
+    n, counts, chosen = toxicity._unlabelled(with_fold(docs, "doc_id", "text").where("not held_out"), np.array(sorted(own)), 10)
+    free = [(i, t) for i, t, *_ in docs.collect() if not held(i)]
+    columns = [{c for w in (t or "").lower().replace(".", " ").replace("*", " ").split() for c in toxicity._columns(w)} for _, t in free]
+    assert n == len(free) and 0 < len(chosen) < 60 and {c: int(counts[c]) for c in own} == {c: sum(c in x for x in columns) for c in own}
+    for r in toxicity.score_toxicity(docs, known).where("doc_id < 100").join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        f = bias + sum(weights.get(c, 0) for w in set(r.text.lower().replace(".", " ").replace("*", " ").split()) for c in toxicity._columns(w))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-f)))
+
+
 def test_toxicity_without_positives_or_rows(world, spark):
     _, _, docs, known = world
     none = toxicity.score_toxicity(docs, known.limit(0)).collect()
