@@ -54,10 +54,10 @@ def block_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def multi_index(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+def multi_index(windows: DataFrame, items: DataFrame, radius: int, of: str | None = None) -> DataFrame:
     """Rows of ``windows(fp, size)`` with the ``item_id`` of each of ``items(item_id, item_fp, size)`` of the same size whose
     fingerprint is within the radius: all of them, each once. They meet where a block's bits are equal, and a pair is
-    kept in the first such block only."""
+    kept in the first such block only. ``of`` names a column of ``windows`` with the one item that a window may meet."""
     masks = block_masks(radius)
 
     def blocks(fp):
@@ -65,7 +65,8 @@ def multi_index(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
 
     left = windows.withColumn("block", blocks("fp"))
     right = items.select("item_id", "item_fp", F.col("size").alias("item_size"), blocks("item_fp").alias("item_block"))
-    met = left.join(right, (F.col("size") == F.col("item_size")) & (F.col("block") == F.col("item_block")))
+    same = (F.col("size") == F.col("item_size")) & (F.col("block") == F.col("item_block"))
+    met = left.join(right, same if of is None else same & (F.col(of) == F.col("item_id")))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(masks)])
     return met.where((F.bit_count(differ) <= radius) & (first == F.col("block.no"))).withColumn("distance", F.bit_count(differ)).drop("block", "item_block", "item_size", "item_fp")
@@ -107,32 +108,37 @@ def find_leaks(
     anchors = anchors.withColumn("span", F.least("size", "n_doc")).withColumn("need", _least_overlap(F.col("size"), F.col("span"), similarity))
     starts = F.expr("transform(filter(sequence(1, size(at) - need + 1), i -> at[i + need - 2] - at[i - 1] < span), i -> least(at[i - 1], n_doc - span))")
     windows = anchors.where("size(at) >= need").select(*key, "item_no", "size", "span", F.explode(F.array_distinct(starts)).alias("start"))
-    windows = materialise(windows.select(*key, "size", "span", "start").distinct(), "windows", True)
+    windows = materialise(windows, "windows", True)
 
     # Their shingles, once more from the text: only of documents that have such windows.
     texts = given.select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), "words").join(
         bounded_broadcast(materialise(windows.select(*key).distinct(), "suspects", True)), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left_semi"
     )
     hashes = texts.groupBy("d", "t").agg(F.first("words").alias("words")).select("d", "t", F.transform(_shingles("words", k), lambda s: F.xxhash64(*[s[str(i)] for i in range(k)])).alias("hs"))
-    inside = windows.join(hashes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")))
     own = [*key, "size", "span", "start"]
+    inside = windows.select(*own).distinct().join(hashes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")))
     inside = inside.select(*own, F.explode(F.slice("hs", F.col("start") + 1, F.col("span"))).alias("h"))
     inside = materialise(inside.groupBy(*own, "h").agg(F.count("*").alias("n_window")), "inside", True)
     repeated = inside.withColumn("h", F.explode(F.array_repeat("h", F.col("n_window").cast("int"))))
     prints = materialise(fingerprint(repeated, own), "prints", True)
 
-    found = multi_index(prints, bounded_broadcast(size.select(F.col("item_no").alias("item_id"), "item_fp", "size")), radius).withColumnRenamed("item_id", "item_no")
+    # A window meets the items whose shingles it begins with and no others of its size.
+    same = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) if c == "doc_id" else F.col(f"{x}.{c}") == F.col(f"{y}.{c}") for c in own]
+    meeting = prints.alias("p").join(windows.alias("w"), same("p", "w")).select("p.*", "w.item_no")
+    found = multi_index(meeting, bounded_broadcast(size.select(F.col("item_no").alias("item_id"), "item_fp", "size")), radius, of="item_no").drop("item_id")
     found = materialise(found.drop("fp"), "pairs", True)
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"i.{c}")) if c == "doc_id" else F.col(f"f.{c}") == F.col(f"i.{c}") for c in own]
-    shared = found.alias("f").join(inside.alias("i"), same).select("f.*", "i.h", "i.n_window").join(bounded_broadcast(item_counts), ["item_no", "h"])
+    shared = found.alias("f").join(inside.alias("i"), same("f", "i")).select("f.*", "i.h", "i.n_window").join(bounded_broadcast(item_counts), ["item_no", "h"])
     shared = shared.groupBy(*own, "item_no", "distance").agg(F.sum(F.least("n_window", "n_item")).alias("o"))
     alike = F.col("o") / (F.col("size") + F.col("span") - F.col("o"))
     alike = shared.withColumn("similarity", alike).where(F.col("similarity") >= similarity).join(bounded_broadcast(size.select("item_no", "item_id")), "item_no")
     best = F.row_number().over(Window.partitionBy(*key, "item_id").orderBy(F.desc("similarity"), "start", "span"))
     out = alike.withColumn("best", best).where("best = 1").select(*key, "item_id", "start", (F.col("span") + (k - 1)).alias("n_words"), "similarity", "distance")
 
-    for n in [r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < k).distinct().collect()]:
-        short = _exploded(items.where(F.size("item_words") == n).select("item_id", F.col("item_words").alias("words")), ["item_id"], n).select("item_id", "h")
-        runs = _exploded(given, key, n).join(bounded_broadcast(materialise(short, "short", True)), "h").groupBy(*key, "item_id").agg(F.min("pos").alias("start"))
-        out = out.union(runs.select(*key, "item_id", "start", F.lit(n).alias("n_words"), F.lit(1.0).alias("similarity"), F.lit(0).alias("distance")))
+    lengths = [r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < k).distinct().orderBy("n").collect()]
+    if lengths:
+        short = items.where(F.size("item_words") < k).select("item_id", F.size("item_words").alias("n"), F.xxhash64("item_words").alias("h"))
+        runs = lambda n: F.transform(_shingles("words", n), lambda s, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(F.array(*[s[str(j)] for j in range(n)])).alias("h")))
+        places = given.select(*key, F.explode(F.concat(*map(runs, lengths))).alias("x")).select(*key, "x.*")
+        runs = places.join(bounded_broadcast(materialise(short, "short", True)), ["n", "h"]).groupBy(*key, "item_id", "n").agg(F.min("pos").alias("start"))
+        out = out.union(runs.select(*key, "item_id", "start", F.col("n").alias("n_words"), F.lit(1.0).alias("similarity"), F.lit(0).alias("distance")))
     return out
