@@ -28,11 +28,17 @@ def fold_of(doc_id: str, of: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of
 
 
-def small(batches, rows: int = 500):
-    """Arrow batches cut to few rows: what Python makes of a batch's texts is many times their size."""
+def small(batches, rows: int = 500, size: int = 8 << 20):
+    """Arrow batches cut to few rows and bytes (or one row): what Python makes of a batch's texts is many times their size."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        rest = [b.slice(at, rows) for at in range(0, b.num_rows, rows)][::-1]
+        while rest:
+            part = rest.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                rest += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def texts(batch, column: str = "text") -> list[bytes]:

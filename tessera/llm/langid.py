@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,15 +20,19 @@ PIECE = 1 << 20
 
 
 def _letters(text: bytes) -> np.ndarray:
-    """Code points of the lower-cased text between two spaces; anything but letters and marks is a space, runs of it one."""
+    """Code points of the lower-cased text between two spaces; anything but letters and marks is a space, runs of it one.
+    A text without a letter has none."""
     import regex
 
-    plain = regex.sub(r"[^\p{L}\p{M}]+", " ", text.decode("utf-8", "replace").lower()).strip()
-    return np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32) if plain else np.empty(0, np.uint32)
+    low = text.decode("utf-8", "replace").lower()
+    plain = (re.sub(r"[^a-z]+", " ", low) if low.isascii() else regex.sub(r"[^\p{L}\p{M}]+", " ", low)).strip()
+    if not any(map(str.isalpha, plain)):
+        return np.empty(0, np.uint32)
+    return np.frombuffer(f" {plain} ".encode("utf-32-le", "replace"), np.uint32)
 
 
 def _columns(points: np.ndarray):
-    """Hashed columns of all n-grams, in pieces."""
+    """Hashed columns of all n-grams, in pieces: their length, the columns, and where each begins."""
     for at in range(0, len(points), PIECE):
         x = points[at : at + PIECE + max(NGRAMS) - 1].astype(np.uint32)
         for n in NGRAMS:
@@ -34,7 +41,22 @@ def _columns(points: np.ndarray):
                 h = x[:size] * np.uint32(0x9E3779B1) + np.uint32(n)
                 for k in range(1, n):
                     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) + x[k : size + k] * np.uint32(0x9E3779B1)
-                yield (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BITS)
+                yield n, ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - BITS)).astype(np.int64), np.arange(at, at + size)
+
+
+def _counts(texts: list[bytes]):
+    """``(text, column, count)`` arrays, in pieces: how often each column's n-grams stand in each text."""
+    points = [_letters(t) for t in texts]
+    size = sum(map(len, points))
+    if not size:
+        return
+    ends = np.cumsum([len(x) for x in points])
+    whole = np.concatenate(points)
+    for n, cols, place in _columns(whole):
+        own = np.searchsorted(ends, place, "right")
+        inside = place + n <= ends[own]  # all of it in one text
+        keys, count = np.unique(own[inside] << BITS | cols[inside], return_counts=True)
+        yield keys >> BITS, keys & ((1 << BITS) - 1), count
 
 
 def _ngram_counts(rows: DataFrame) -> DataFrame:
@@ -42,17 +64,21 @@ def _ngram_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
+        docs: Counter = Counter()
         for b in small(batches):
-            for lang, text in zip(b.column(0).to_pylist(), texts(b)):
-                docs[lang] = docs.get(lang, 0) + 1
-                into = seen.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                for cols in _columns(_letters(text)):
-                    into += np.bincount(cols, minlength=1 << BITS)
-        for lang, counts in seen.items():
+            langs = b.column(0).to_pylist()
+            docs.update(langs)
+            row = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
+            of = np.array([row[x] for x in langs], np.int64)
+            for text, cols, count in _counts(texts(b)):
+                into = np.bincount(of[text] << BITS | cols, weights=count, minlength=len(row) << BITS).reshape(len(row), -1)
+                for lang, i in row.items():
+                    seen[lang] = seen.get(lang, 0) + into[i]
+        for lang, n in docs.items():
+            counts = seen.get(lang, np.zeros(1 << BITS)).astype(np.int64)
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([docs[lang], *counts[at].tolist()], pa.int64())], ["lang", "slot", "n"]
+                [pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *counts[at].tolist()], pa.int64())], ["lang", "slot", "n"]
             )
 
     return rows.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
@@ -70,7 +96,7 @@ def train(rows: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarra
     docs[row[slot < 0]] = n[slot < 0]
     counts[slot[slot >= 0], row[slot >= 0]] = n[slot >= 0]
     matrix = np.log((counts + smoothing) / (counts.sum(0) + smoothing * (1 << BITS)))
-    return langs, np.log(docs / docs.sum()), matrix.astype(np.float32)
+    return langs, np.log(docs / docs.sum()), matrix
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -87,21 +113,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches):
         langs, prior, matrix = sent.value
         for b in small(batches):
-            names, scores = [], []
-            for text in texts(b):
-                points = _letters(text)
-                if not len(points) or not langs or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                log = prior.copy()
-                for cols in _columns(points):
-                    at = np.bincount(cols, minlength=1 << BITS)
-                    hit = np.flatnonzero(at)
-                    log += at[hit] @ matrix[hit].astype(np.float64) if len(cols) > 1 << (BITS - 2) else matrix[cols].sum(0, dtype=np.float64)
-                best = int(np.argmax(log))
-                names.append(langs[best])
-                scores.append(float(1 / np.exp(log - log[best]).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            own = texts(b)
+            log, known = np.tile(prior.astype(np.float64), (len(own), 1)), np.zeros(len(own), bool)
+            for text, cols, count in _counts(own) if langs else ():
+                start = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+                log[text[start]] += np.add.reduceat(matrix[cols] * count[:, None], start)  # sparse rows times the matrix
+                known[text[start]] = True
+            best = log.argmax(1) if langs else np.zeros(len(own), int)
+            names = [langs[i] if k else "und" for i, k in zip(best.tolist(), known.tolist())]
+            scores = np.where(known, 1 / np.exp(log - log.max(1, keepdims=True)).sum(1), 0.0) if langs else np.zeros(len(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,21 +52,69 @@ def test_language(world):
 
 
 def test_language_equals_plain_bayes(world):
+    """Counts, matrix and posteriors, n-gram by n-gram of each text."""
     _, _, docs, _ = world
-    langs, prior, matrix = langid.train(docs.where("lang is not null").select("lang", "text"))
-    text = b"Ka lo, sch ung!"
-    cols = [int(c) for part in langid._columns(langid._letters(text)) for c in part]
-    log = [prior[k] + sum(float(matrix[c, k]) for c in cols) for k in range(len(langs))]
-    got = langid.identify(docs.limit(0).union(docs.sparkSession.createDataFrame([(0, text.decode(), None, None, 0)], DOCS)).union(docs.where("doc_id <> 0"))).where("doc_id = 0").first()
-    assert got.lang_pred in langs and 0.5 <= got.score <= 1 and len(log) == 2
-    assert np.exp(matrix.astype(float)).sum(0) == pytest.approx(1, rel=1e-3)
+    found = [(r.doc_id, r.text, r.lang) for r in docs.where("doc_id < 60 or doc_id > 900 or doc_id is null").collect()]
+
+    def grams(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        plain = f" {' '.join(low)} " if low else ""
+        return [plain[i : i + n] for n in (2, 3) for i in range(len(plain) - n + 1)]
+
+    def column(gram):
+        points = np.array([ord(c) for c in gram], np.uint32)
+        return next(int(cols[0]) for n, cols, _ in langid._columns(points) if n == len(gram))
+
+    learn = [(t, x) for d, t, x in found if x and not held(d)]
+    langs = sorted({x for _, x in learn})
+    count = {x: Counter(column(g) for t, y in learn if y == x for g in grams(t)) for x in langs}
+    total = {x: sum(count[x].values()) + 0.5 * 2**langid.BITS for x in langs}
+    share = Counter(x for _, x in learn)
+    got = langid.identify(docs.sparkSession.createDataFrame([(d, t, x, None, None) for d, t, x in found], DOCS)).collect()
+    assert len(got) == len(found)
+    of = {(d, t): x for d, t, x in found}
+    want = {}
+    for d, t in of:
+        g = Counter(column(x) for x in grams(t))
+        log = {x: math.log(share[x] / len(learn)) + sum(n * math.log((count[x][c] + 0.5) / total[x]) for c, n in g.items()) for x in langs}
+        best = max(langs, key=log.get)
+        want[d, t] = (best, 1 / sum(math.exp(v - log[best]) for v in log.values())) if g else ("und", 0.0)
+    for d in {r.doc_id for r in got}:
+        mine, theirs = sorted((r.lang_pred, r.score) for r in got if r.doc_id == d), sorted(want[k] for k in want if k[0] == d)
+        assert {x for x, _ in mine} == {x for x, _ in theirs} and [z for _, z in mine[: len(theirs)]] == pytest.approx([z for _, z in theirs], abs=1e-9)
+
+
+def test_equally_likely_languages(spark):
+    ids = [i for i in range(40) if not held(i)][:2]
+    docs = spark.createDataFrame([(ids[0], "ka lo", "zz", None, 5), (ids[1], "ka lo", "aa", None, 5), (1000, "ka", None, None, 2), (1001, "\u0301\u0301", None, None, 2)], DOCS)
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert {r.lang_pred for i, r in got.items() if i != 1001} == {"aa"} and got[1000].score == pytest.approx(0.5) and got[1001].lang_pred == "und"
 
 
 def test_pieces_of_a_long_text_are_the_whole(monkeypatch):
-    text = langid._letters(("ka lo mi ru te " * 40).encode())
-    whole = sorted(int(c) for part in langid._columns(text) for c in part)
+    texts = [("ka lo mi ru te " * 40).encode(), b"", b"12", "é lo".encode(), b"x"]
+
+    def counted():
+        out = Counter()
+        for text, cols, count in langid._counts(texts):
+            out.update({k: n for *k, n in zip(text.tolist(), cols.tolist(), count.tolist()) for k in [tuple(k)]})
+        return out
+
+    whole = counted()
+    assert {i for i, _ in whole} == {0, 3, 4}
     monkeypatch.setattr(langid, "PIECE", 7)
-    assert sorted(int(c) for part in langid._columns(text) for c in part) == whole
+    assert counted() == whole
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from tessera.llm.common import small
+
+    b = pa.RecordBatch.from_arrays([pa.array([str(i) * (20_000 if i % 90 == 0 else 1) for i in range(1200)])], ["text"])
+    parts = list(small([b, b.slice(0, 0)], rows=500, size=100_000))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == b.column(0).to_pylist()
+    assert all(p.num_rows <= 500 and (p.nbytes <= 100_000 or p.num_rows == 1) for p in parts)
 
 
 def test_language_without_labels_or_rows(spark):
