@@ -14,9 +14,13 @@ from .common import bounded_broadcast, materialise, partitions
 
 #: Rows of a bucket that meet queries at once; larger buckets are cut into chunks, each with all queries of the bucket.
 CHUNK = 8192
+#: Rows of a bucket, at most, if rows are evenly spread.
+BUCKET = 8192
+#: So few rows are compared at less cost than hashed.
+FEW = 1000
 #: Queries, at most, that tune the probes, and the recall they must reach.
 TUNING, AIM = 64, 0.97
-#: Probes a table, at most; where these don't reach the recall, all rows are compared.
+#: Probes a table, at most.
 PROBES = 1024
 
 
@@ -57,12 +61,16 @@ class Rotations:
         return code
 
     def probes(self, vectors: np.ndarray, table: int, most: int) -> np.ndarray:
-        """(n, most) buckets of each vector, the likeliest first."""
-        cost = None
+        """(n, most) buckets of each vector, the likeliest first. The likeliest of several hashes begin with the likeliest
+        of the first ones, so only ``most`` are kept from hash to hash."""
+        cost, code = np.zeros((len(vectors), 1)), np.zeros((len(vectors), 1), np.int64)
         for s in self.scores(vectors, table):
             c = (s.max(1, keepdims=True) - s) ** 2
-            cost = c if cost is None else (cost[:, :, None] + c[:, None, :]).reshape(len(c), -1)
-        return np.argsort(cost, axis=1, kind="stable")[:, :most]
+            cost = (cost[:, :, None] + c[:, None, :]).reshape(len(c), -1)
+            code = (code[:, :, None] * self.axes + np.arange(self.axes)).reshape(len(c), -1)
+            order = np.argsort(cost, axis=1, kind="stable")[:, :most]
+            cost, code = np.take_along_axis(cost, order, 1), np.take_along_axis(code, order, 1)
+        return code
 
 
 def _vectors(column) -> np.ndarray:
@@ -97,12 +105,12 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _tune(rows: DataFrame, queries: DataFrame, dim: int, rot: Rotations, k: int, of: int) -> int | None:
-    """Probes a table, ``of`` at most, that find AIM of the true ``k`` nearest of up to TUNING queries, by brute force over
-    all rows; none if ``of`` don't."""
+def _truth(rows: DataFrame, queries: DataFrame, k: int):
+    """Vectors of up to TUNING queries; for each of their true ``k`` nearest, by brute force over all rows, which query's
+    it is and its vector."""
     some = queries.orderBy(F.xxhash64("id"), "id").limit(TUNING).toArrow()
     if not some.num_rows:
-        return of
+        return None
     q_ids, q = some.column("id").to_numpy(), _vectors(some.column("v"))
 
     def brute(batches):
@@ -115,9 +123,14 @@ def _tune(rows: DataFrame, queries: DataFrame, dim: int, rot: Rotations, k: int,
     line = Window.partitionBy("query_id").orderBy("score", "vec_id")
     true = found.withColumn("r", F.row_number().over(line)).where(F.col("r") <= k).select("query_id", "v").toArrow()
     if not true.num_rows:
-        return of
+        return None
     pos = {x: i for i, x in enumerate(q_ids.tolist())}
-    who, v = np.array([pos[x] for x in true.column("query_id").to_pylist()]), _vectors(true.column("v"))
+    return q, np.array([pos[x] for x in true.column("query_id").to_pylist()]), _vectors(true.column("v"))
+
+
+def _tune(truth: tuple, rot: Rotations, of: int) -> int | None:
+    """Probes a table, ``of`` at most, that find AIM of the true neighbours; none if ``of`` don't."""
+    q, who, v = truth
     first = np.full(len(who), of)
     for t in range(rot.tables):
         order, code = rot.probes(q, t, of), rot.bucket(v, t)
@@ -127,14 +140,22 @@ def _tune(rows: DataFrame, queries: DataFrame, dim: int, rot: Rotations, k: int,
     return last + 1 if last < of else None
 
 
-def search(rows: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 6) -> DataFrame:
+def hashes_for(n: int, axes: int) -> int:
+    """Rotations a bucket: so many that a bucket of ``n`` evenly spread rows has BUCKET or less."""
+    hashes = 1
+    while n / axes**hashes > BUCKET:
+        hashes += 1
+    return hashes
+
+
+def search(rows: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, tables: int = 6, wider: int = 2) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: of each query (default: rows whose id is divisible by 100) the ``k`` nearest
     rows found, by Euclidean distance of the original vectors, ties to the smaller id.
 
-    Every row is hashed into one bucket a table: the signed axis nearest to its rotated unit vector (two rotations
-    from two million rows on). Queries look into so many buckets a table as find nearly all true neighbours of a
-    bounded sample of them, or at all rows where a bounded number of buckets doesn't; only the buckets' rows are compared, exactly, in chunks that no bucket size outgrows.
-    Few rows (1,000) are all compared. Null ids, null vectors and those that are zero or hold nulls or non-finite
+    Every row is hashed into one bucket a table: the signed axis nearest to its rotated unit vector, of as many rotations
+    as keep evenly spread buckets small. Queries look into so many buckets a table as find nearly all true neighbours of
+    a bounded sample of them; where PROBES don't do, tables are doubled, ``wider`` times, and at last all rows are compared.
+    Only the buckets' rows are compared, exactly, in chunks that no bucket size outgrows. Few rows are all compared. Null ids, null vectors and those that are zero or hold nulls or non-finite
     numbers take no part; vectors meet only those of the same length. Rows that share an id count once, as the
     nearest of them, and never as their own neighbour. Other columns are not read.
     """
@@ -151,18 +172,23 @@ def search(rows: DataFrame, queries: DataFrame | None = None, id_col: str = "vec
     sizes = {r.d: r.n for r in given.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = None
     for dim, n in sorted(sizes.items()):
-        one = _search(given.where(F.size("v") == dim), asked.where(F.size("v") == dim), dim, n, k, tables)
+        one = _search(given.where(F.size("v") == dim), asked.where(F.size("v") == dim), dim, n, k, tables, wider)
         found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return _ranked(found, k)
 
 
-def _search(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int, tables: int) -> DataFrame:
+def _search(rows: DataFrame, queries: DataFrame, dim: int, n: int, k: int, tables: int, wider: int) -> DataFrame:
     spark = rows.sparkSession
-    rot = Rotations(dim, tables, 1 if n < 1 << 21 else 2)
-    buckets = rot.axes**rot.hashes
-    probes = None if n <= 1000 else _tune(rows, queries, dim, rot, k, min(buckets, PROBES))
+    rot = Rotations(dim, tables, 1)
+    hashes, truth, probes = hashes_for(n, rot.axes), _truth(rows, queries, k) if n > FEW else None, None
+    for step in range(wider + 1 if truth else 0):
+        rot = Rotations(dim, tables << step, hashes)
+        buckets = rot.axes**rot.hashes
+        probes = _tune(truth, rot, min(buckets, PROBES))
+        if probes is not None:
+            break
     every = probes is None or probes >= buckets
     if every:  # all rows are one bucket of one table
         rot.tables = 1

@@ -241,6 +241,30 @@ def test_neighbours(spark, n, least):
     assert hit >= least * total and set(got) <= {*queries_, *(i for i in range(n, n + 7) if i % 100 == 0)}
 
 
+@pytest.mark.parametrize(("dim", "hashes"), [(16, 1), (24, 2), (128, 1), (128, 2)])
+def test_recall_of_queries_that_did_not_tune(spark, monkeypatch, dim, hashes):
+    """Probes are tuned on few queries and hold for the others, with one rotation a bucket and with two."""
+    monkeypatch.setattr(ann, "TUNING", 20)
+    monkeypatch.setattr(ann, "hashes_for", lambda n, axes: hashes)
+    n, rng = 6000, np.random.default_rng(dim + hashes)
+    x = unit(rng, n, dim) + 2.0 * unit(rng, 40, dim)[rng.integers(0, 40, n)]
+    got = {}
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    true = {q: {int(i) for i in np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[:11]} - {q} for q in range(0, n, 100)}
+    assert sum(len(got[q] & true[q]) for q in true) >= 0.9 * sum(map(len, true.values()))
+
+
+def test_hashes_follow_from_the_rows():
+    assert [ann.hashes_for(n, 128) for n in (0, 10, 1 << 20, (1 << 20) + 1, 1 << 27, 1 << 28)] == [1, 1, 1, 2, 2, 3]
+    rot = ann.Rotations(8, 1, 3)
+    x = unit(np.random.default_rng(4), 5, 8)
+    s = rot.scores(x, 0)
+    cost = sum(((h.max(1, keepdims=True) - h) ** 2)[:, i] for h, i in zip(s, np.unravel_index(np.arange(16**3), (16, 16, 16))))
+    want = np.sort(cost, axis=1)[:, :50]
+    assert np.take_along_axis(cost, rot.probes(x, 0, 50), 1) == pytest.approx(want) and (rot.probes(x, 0, 1)[:, 0] == rot.bucket(x, 0)).all()
+
+
 @pytest.mark.parametrize("n", [600, 1500])
 def test_neighbours_where_rows_repeat(spark, n):
     rng = np.random.default_rng(n)
@@ -267,7 +291,7 @@ def test_neighbours_where_rows_repeat(spark, n):
 def test_neighbours_are_exact_where_the_most_probes_miss_the_recall(spark):
     x = unit(np.random.default_rng(3), 1100, 520)  # 2,048 buckets
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r.query_id, r.rank, r.vec_id) for r in ann.search(df, tables=1).collect()}
+    got = {(r.query_id, r.rank, r.vec_id) for r in ann.search(df, tables=1, wider=0).collect()}
     assert got == {(q, r + 1, int(i)) for q in range(0, 1100, 100) for r, i in enumerate(np.argsort(((x - x[q]) ** 2).sum(1))[1:11])}
 
 
