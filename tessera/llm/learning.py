@@ -25,12 +25,8 @@ def labelled(rows: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
     return rows.where(~F.col("held_out")).join(bounded_broadcast(known), "doc_id")
 
 
-def sampled(n: int, most: int, salt: str):
-    """Is a row one of about ``most`` of ``n`` (all, if fewer)? Those with small hashes of their id, on every run."""
-    if n <= most:
-        return F.lit(True)
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 1) < int(most / n * 2**63)
-
-
 def sample(rows: DataFrame, n: int, most: int, salt: str) -> DataFrame:
-    return rows.where(sampled(n, most, salt))
+    """About ``most`` of the ``n`` rows (all, if fewer), the same on every run: those with small hashes of their id."""
+    if n <= most:
+        return rows
+    return rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 1) < int(most / n * 2**63))

@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import discard, materialise
 from .common import small, texts
-from .learning import labelled, sample, sampled, with_fold
+from .learning import labelled, sample, with_fold
 
 #: Hashed columns: a word and its beginnings of these lengths, in code points.
 BITS, BEGINNINGS = 20, (4, 5, 6)
 WORDS = re.compile(r"[^\W_]+")
 #: Words that a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def _columns(word: str) -> list[int]:
@@ -60,32 +59,26 @@ def _features(rows: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint32) for x in got.column(0).to_pylist()]
 
 
-def _unlabelled(rows: DataFrame, known: np.ndarray, most: int) -> tuple[int, np.ndarray, list[np.ndarray]]:
-    """Of all ``rows``: how many they are, in how many each of the ``known`` columns occurs, and those columns of about
-    ``most`` rows. One pass over the texts; what comes to the driver is as long as ``known`` and the sample."""
-    n = rows.count()
+def _occurrences(rows: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
+    """Of all ``rows``: how many they are, and in how many each of the ``known`` columns occurs."""
 
     def run(batches):
-        wanted, count = set(known.tolist()), np.zeros(1 << BITS, np.int64)
-        columns = _Remembered(lambda w: [c for c in _columns(w) if c in wanted])
+        own, count, n = {c: c for c in known.tolist()}, np.zeros(1 << BITS, np.int64), 0
+        columns = _Remembered(lambda w: tuple(own[c] for c in _columns(w) if c in own))
         for b in small(batches):
-            chosen = []
-            for text, take in zip(texts(b), b.column(1).to_pylist()):
-                found = [c for w in _words(text) for c in columns[w]]
-                count[list(set(found))] += 1
-                if take:
-                    chosen.append(np.array(found, np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(chosen), pa.int32()), pa.nulls(len(chosen), pa.int64()), pa.array(chosen, pa.binary())], ["slot", "n", "columns"])
+            found: list[int] = []
+            for text in texts(b):
+                found += {c for some in map(columns.__getitem__, _words(text)) if some for c in some}
+            count += np.bincount(np.array(found, np.int64), minlength=1 << BITS)
+            n += b.num_rows
         at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at]), pa.nulls(len(at), pa.binary())], ["slot", "n", "columns"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *count[at].tolist()], pa.int64())], ["slot", "n"])
 
-    found = materialise(rows.select("text", sampled(n, most, "unlabelled").alias("take")).mapInArrow(run, "slot int, n long, columns binary"), "unlabelled")
-    got = found.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, n = got.column("slot").to_numpy(), got.column("n").to_numpy()
     counts = np.zeros(1 << BITS, np.int64)
-    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    docs = [np.frombuffer(x, np.int64) for x in found.where("slot is null").select("columns").toArrow().column(0).to_pylist()]
-    discard(found)
-    return n, counts, docs
+    counts[slot[slot >= 0]] = n[slot >= 0]
+    return int(n[slot < 0].sum()), counts
 
 
 def _flat(docs: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +133,12 @@ def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, round
     return mean[:-1], mean[-1]
 
 
+def _telling(p_df: np.ndarray, n_p: int, u_df: np.ndarray, n_u: int, measure: float) -> np.ndarray:
+    """Which columns occur in positives over 2 * measure times as often as in all, and 5 * measure deviations more."""
+    chance = n_p * (u_df + 0.5) / max(1, n_u)
+    return (p_df >= 3) & (p_df > 2 * measure * chance) & (p_df - chance >= 5 * measure * np.sqrt(chance + 0.5))
+
+
 def train(rows: DataFrame, labels: DataFrame, label_col: str, most_positive: int, most_unlabelled: int) -> tuple[dict[int, float], float]:
     """Weights of the columns that have one and the bias, from confirmed positives and unlabelled texts of ``with_fold`` rows."""
     known = labelled(rows, labels, label_col)
@@ -151,13 +150,16 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str, most_positive: int
     pos = _features(sample(known.where("y = 1"), n_pos, most_positive, "positive"))
     if not pos:
         return {}, float(np.log(prior / (1 - prior)))
-    p_df = _frequencies(pos)
-    n_all, u_df, unl = _unlabelled(rows.where(~F.col("held_out")), np.flatnonzero(p_df >= 3), most_unlabelled)
+    free = rows.where(~F.col("held_out"))
+    unl = _features(sample(free, free.count(), most_unlabelled, "unlabelled"))
     if not unl:
         return {}, float(np.log(prior / (1 - prior)))
-    # Columns more frequent in positives than chance lets them be; the rest carries no sign of toxicity.
-    chance = len(pos) * (u_df + 0.5) / n_all
-    keep = np.flatnonzero((p_df >= 3) & (p_df > 2 * chance) & (p_df - chance >= 5 * np.sqrt(chance + 0.5)))
+    # Columns more frequent in positives than chance lets them be; the rest carries no sign of toxicity. Those that are
+    # by half the measure against the sample are counted in all texts.
+    p_df = _frequencies(pos)
+    some = np.flatnonzero(_telling(p_df, len(pos), _frequencies(unl), len(unl), 0.5))
+    n_all, u_df = _occurrences(free, some)
+    keep = some[_telling(p_df, len(pos), u_df, n_all, 1.0)[some]]
     at = np.full(1 << BITS, -1, np.int32)
     at[keep] = np.arange(len(keep))
     w, bias = nnpu(_flat(pos, at), _flat(unl, at), len(pos), len(unl), len(keep), prior)
