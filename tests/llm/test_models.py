@@ -173,10 +173,10 @@ def test_toxicity_scores_equal_brute_force(world):
     weights, bias = toxicity.train(with_fold(docs, "doc_id", "text"), known, "toxic", 4000, 8000)
     own = {c for t in ("filth", "vermin", "vermins", "scoundrel") for c in toxicity._columns(t)}
     assert weights and set(weights) <= own  # nothing else marks toxicity here
-    n, counts, chosen = toxicity._unlabelled(with_fold(docs, "doc_id", "text").where("not held_out"), np.array(sorted(own)), 10)
+    n, counts = toxicity._occurrences(with_fold(docs, "doc_id", "text").where("not held_out"), np.array(sorted(own)))
     free = [(i, t) for i, t, *_ in docs.collect() if not held(i)]
     columns = [{c for w in (t or "").lower().replace(".", " ").replace("*", " ").split() for c in toxicity._columns(w)} for _, t in free]
-    assert n == len(free) and 0 < len(chosen) < 60 and {c: int(counts[c]) for c in own} == {c: sum(c in x for x in columns) for c in own}
+    assert n == len(free) and {c: int(counts[c]) for c in own} == {c: sum(c in x for x in columns) for c in own}
     for r in toxicity.score_toxicity(docs, known).where("doc_id < 100").join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         f = bias + sum(weights.get(c, 0) for w in set(r.text.lower().replace(".", " ").replace("*", " ").split()) for c in toxicity._columns(w))
         assert r.score == pytest.approx(1 / (1 + math.exp(-f)))
@@ -213,6 +213,31 @@ def test_quality_scores_are_density_differences(world):
         assert base == pytest.approx(math.log(n / len(y)) - 0.5 * np.linalg.slogdet(sigma)[1])
 
 
+def test_quality_scores_equal_brute_force(world):
+    """The difference of two Gaussian log densities of each text, by determinants and inverses."""
+    _, _, docs, known = world
+    from tessera.llm.learning import labelled, with_fold
+
+    model = quality.fit(labelled(with_fold(docs, "doc_id", "text"), known, "quality"))
+    for r in quality.score_quality(docs, known).join(docs.select("doc_id", "text").distinct(), "doc_id").where("doc_id < 80 or doc_id >= 1000").collect():
+        x, log = np.array(quality.statistics((r.text or "").encode())), []
+        for base, mean, inv in model:
+            sigma = np.linalg.inv(inv.T @ inv)
+            log.append(base - 0.5 * (x - mean) @ np.linalg.solve(sigma, x - mean))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-np.clip(log[1] - log[0], -40, 40))), rel=1e-6, abs=1e-12)
+
+
+def test_scores_of_long_texts_and_repeated_rows(world, spark):
+    rows, labels, _, known = world
+    long_ = "ka lo mi ru te filth. " * 60_000
+    docs = spark.createDataFrame(rows + [(2000, long_, "aa", "s", None), (2001, long_ + "vermin", "aa", "s", None), (3, rows[3][1], "aa", "x", 1), (3, rows[3][1], "aa", "x", 1)], DOCS)
+    for scored in (toxicity.score_toxicity(docs, known).collect(), quality.score_quality(docs, known).collect()):
+        of = {}
+        for r in scored:
+            of.setdefault(r.doc_id, []).append(r.score)
+        assert len(scored) == len(rows) + 4 and len(of[3]) == 3 and len(set(of[3])) == 1 and all(0 <= z <= 1 for x in of.values() for z in x)
+
+
 def unit(rng, n, d):
     x = rng.normal(size=(n, d))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
