@@ -3,7 +3,8 @@
 Unigram and bigram counts cover every training token; unseen words share what the discounts set aside, so the model is a
 distribution over an open vocabulary. Every task knows the commonest words by short ids; all others go by 62 bits of a
 hash, and their unigram counts are joined to where they follow a history. Counts are tables in the shared folder, dealt
-out by history; documents are scored where the counts of their histories are, and only sums travel back.
+out by history, a history of very many tokens by its followers too; documents are scored where the counts of their
+histories and words are, and only sums travel back.
 
 With a ``vocabulary`` given, bigrams are counted between so many of the commonest words only: all other words, seen or
 not, are one class there, whose share is divided among its members by their discounted unigram counts.
@@ -12,14 +13,13 @@ not, are one class there, whose share is divided among its members by their disc
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, fold_of, materialise, partitions, small, texts
+from .common import fold_of, materialise, partitions, small, texts
 
 #: Class of words outside a given vocabulary, and the history of a text's first token; word ids start after these, codes
 #: of words without an id at HASHED.
@@ -54,16 +54,16 @@ def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class _Codes(dict):
-    """Codes of words: their ids; of others, RARE in a model with that class, else by hash."""
+    """Codes of words: their ids; of others by hash."""
 
-    def __init__(self, words: list[bytes], classed: bool):
+    def __init__(self, words: list[bytes]):
         import xxhash
 
         super().__init__((w, i + FIRST) for i, w in enumerate(words))
-        self.classed, self.hash = classed, xxhash.xxh64_intdigest
+        self.hash = xxhash.xxh64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        return RARE if self.classed else self.hash(word, 42) >> 2 | HASHED
+        return self.hash(word, 42) >> 2 | HASHED
 
 
 def _code(token):
@@ -84,13 +84,25 @@ class Unigrams:
         self.p[FIRST:] = _discounted(counts, self.d) / self.whole
         self.p[BEGIN] = 0.0
         self.p[RARE] = max(self.unseen, 1 - self.p[FIRST:].sum())
-        self.log_base = np.log10(counts + 1)
-
-    def ids(self) -> dict[bytes, int]:
-        return {w: i + FIRST for i, w in enumerate(self.words)}
+        self.counts = counts
 
     def codes(self) -> _Codes:
-        return _Codes(self.words, self.classed)
+        return _Codes(self.words)
+
+    def of_count(self, c: np.ndarray) -> np.ndarray:
+        """Probabilities of words that occur so often."""
+        return np.where(c == 0, self.unseen, _discounted(c, self.d) / self.whole)
+
+    def log_base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / (self.n + self.v + 1))
+
+    def hot(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Histories of over half the tokens that a bucket has on average, sorted, and into how many parts their followers
+        go; twice as many as there are buckets at most."""
+        texts = self.counts[self.words.index(END)] if END in self.words else 0  # the texts' first tokens follow BEGIN
+        counts = np.concatenate([[self.n - self.counts.sum() if self.classed else 0, texts], self.counts])
+        parts = np.minimum(buckets, np.ceil(counts * 2 * buckets / max(1, self.n)).astype(np.int64))
+        return np.flatnonzero(parts > 1), parts[parts > 1]
 
     def of(self, word: np.ndarray, rare: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Probabilities of codes. ``rare``, ``count``: sorted codes by hash, with all that are in ``word``, and their counts."""
@@ -101,21 +113,44 @@ class Unigrams:
         return out
 
 
-def backoff(history: np.ndarray, p: np.ndarray, count: np.ndarray, d: np.ndarray):
-    """Per bigram, sorted by history, ``p`` its word's unigram probability: log10 of its discounted probability; per history: the history, log10 of its
-    backoff weight. What the followers of a history leave is shared by the unigram probabilities of all others, so
-    the two parts sum to one. A history whose counts leave nothing counts one event more; one that every word has
-    followed keeps its counts whole."""
+def _sums(history: np.ndarray, p: np.ndarray, count: np.ndarray, d: np.ndarray):
+    """Of bigrams sorted by history: where each history starts, the number of each bigram's, and by history the sums of
+    counts, of discounted counts and of the unigram probabilities ``p`` of its followers."""
     start = np.flatnonzero(np.append(True, history[1:] != history[:-1])) if len(history) else np.empty(0, int)
     own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(history))))
-    total = np.bincount(own, weights=count, minlength=len(start)).astype(float)
-    others = 1 - np.bincount(own, weights=p, minlength=len(start))
-    every = others < 1e-9
-    kept = np.where(every[own], count, _discounted(count, d))
-    left = np.where(every, 0.0, total - np.bincount(own, weights=kept, minlength=len(start)))
+    return start, own, *(np.bincount(own, weights=x, minlength=len(start)) for x in (count, _discounted(count, d), p))
+
+
+def _weights(total: np.ndarray, kept: np.ndarray, p: np.ndarray):
+    """From sums by history: the total to divide by, log10 of the backoff weight, and whether every word has followed it.
+    What the followers leave is shared by the unigram probabilities of all others, so the two parts sum to one. A history
+    whose counts leave nothing counts one event more; one that every word has followed keeps its counts whole."""
+    every = 1 - p < 1e-9
+    left = np.where(every, 0.0, total - kept)
     none = ~every & (left < 1e-9 * np.maximum(total, 1))
-    total, left, others = np.where(none, total + 1, total), np.where(none | every, 1.0, left), np.where(every, 1.0, others)
-    return np.log10(kept / total[own]), history[start], np.log10(left / total / others)
+    total, left, others = np.where(none, total + 1, total), np.where(none | every, 1.0, left), np.where(every, 1.0, 1 - p)
+    return total, np.log10(left / total / others), every
+
+
+def backoff(history: np.ndarray, p: np.ndarray, count: np.ndarray, d: np.ndarray, hot: np.ndarray | None = None):
+    """Per bigram, sorted by history, ``p`` its word's unigram probability: log10 of its discounted probability; sorted
+    histories, log10 of their backoff weights. ``hot``: sorted rows (history, total, kept, p) of the sums of histories
+    whose followers are not all here."""
+    start, own, *sums = _sums(history, p, count, d)
+    histories, sums = history[start], np.array(sums)
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot["history"], histories), len(hot) - 1)
+        known = hot["history"][at] == histories
+        for x, name in zip(sums, ("total", "kept", "p")):
+            x[known] = hot[name][at[known]]
+    total, log_alpha, every = _weights(*sums)
+    log_p = np.log10(np.where(every[own], count, _discounted(count, d)) / total[own])
+    if hot is not None and len(hot):  # those without any follower here
+        more = np.setdiff1d(hot["history"], histories)
+        rows = hot[np.searchsorted(hot["history"], more)]
+        at = np.searchsorted(histories, more)
+        histories, log_alpha = np.insert(histories, at, more), np.insert(log_alpha, at, _weights(rows["total"], rows["kept"], rows["p"])[1])
+    return log_p, histories, log_alpha
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -142,11 +177,22 @@ def _unpack_pairs(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return history, word - np.repeat(before, np.diff(np.append(start, n)))
 
 
-def _by_bucket(history: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order by bucket of histories that leaves rows of a bucket in theirs, and where each bucket's begin and end."""
-    bucket = (history % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+class _Deal:
+    """Where bigrams are: the bucket of their history, of hot ones a bucket for each part of their followers."""
+
+    def __init__(self, buckets: int, hot: np.ndarray, parts: np.ndarray):
+        self.buckets, self.hot, self.parts = buckets, hot, parts
+
+    def split(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order by bucket that leaves rows of a bucket in theirs, and where each bucket's begin and end."""
+        bucket = history % self.buckets
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, history), len(self.hot) - 1)
+            part = ((word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % self.parts[at]
+            bucket = np.where(self.hot[at] == history, (bucket + part) % self.buckets, bucket)
+        bucket = bucket.astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange(self.buckets + 1))
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -183,39 +229,46 @@ def unigrams(counts: DataFrame, vocabulary: int | None) -> tuple[Unigrams, int]:
     return Unigrams([t.encode() for t in hot.column("token").to_pylist()], hot.column("c").to_numpy(), n, v, dict(by), vocabulary is not None), least
 
 
-def _pairs(batches, codes: _Codes):
-    """Chunks ``(codes, bigrams, document of each, doc_ids, tids)`` of the texts of batches: sorted distinct codes, and
-    bigrams of numbers of these."""
-    import zlib
-
-    get, docs, tids, parts, size = codes.__getitem__, [], [], [], 0
+def _chunks(batches, codes: _Codes):
+    """Chunks ``(codes, numbers, lengths, doc_ids, held_out)`` of the texts of batches ``(doc_id, text, held_out)``: sorted
+    distinct codes; BEGIN, the words and the end of each text, end to end, as numbers of these; how many each text has."""
+    get, docs, held, parts, size = codes.__getitem__, [], [], [], 0
     end = get(END)
 
     def chunk():
         known, number = np.unique(np.concatenate(parts), return_inverse=True)
-        ends = np.cumsum([len(x) for x in parts])
-        first, last = np.ones(len(number), bool), np.ones(len(number), bool)
-        first[ends - 1] = False
-        last[np.append(0, ends[:-1])] = False
-        return known, number[first] << SHIFT | number[last], np.repeat(np.arange(len(parts)), [len(x) - 1 for x in parts]), docs, tids
+        return known, number, np.array([len(x) for x in parts]), docs, held
 
     for b in small(batches):
-        for doc, text in zip(b.column(0).to_pylist(), texts(b)):
+        for doc, text, out in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist()):
             words = text.lower().split()
             seq = np.empty(len(words) + 2, np.int64)
             seq[0], seq[-1] = BEGIN, end
             seq[1:-1] = np.fromiter(map(get, words), np.int64, len(words))
             parts.append(seq)
             docs.append(doc)
-            tids.append(zlib.crc32(text) - (1 << 31))
+            held.append(out)
             size += len(words)
             if size > CHUNK:
                 yield chunk()
-                docs, tids, parts, size = [], [], [], 0
+                docs, held, parts, size = [], [], [], 0
     if parts:
         yield chunk()
 
 
+def _pairs(known: np.ndarray, number: np.ndarray, lengths: np.ndarray, classed: bool):
+    """Sorted distinct codes, where words without an id are one class if ``classed``; the bigrams of numbers of these, and
+    the document of each."""
+    if classed:
+        known, again = np.unique(np.where(known >= HASHED, RARE, known), return_inverse=True)
+        number = again[number]
+    ends = np.cumsum(lengths)
+    first, last = np.ones(len(number), bool), np.ones(len(number), bool)
+    first[ends - 1] = False
+    last[np.append(0, ends[:-1])] = False
+    return known, number[first] << SHIFT | number[last], np.repeat(np.arange(len(lengths), dtype=np.int32), lengths - 1)
+
+
 def _sum_pairs(history: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((word, history))
     history, word, counts = history[order], word[order], counts[order]
@@ -223,16 +276,17 @@ def _sum_pairs(history: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tup
     return history[at], word[at], np.add.reduceat(counts, at)
 
 
-def count_bigrams(train: DataFrame, model, buckets: int) -> DataFrame:
+def count_bigrams(train: DataFrame, model, deal: _Deal) -> DataFrame:
     """``(bucket, n, keys, counts, of_counts)``: sorted distinct bigrams of a bucket of histories and their counts, one
     row a bucket; ``of_counts[r]`` bigrams of it occur r times."""
 
     def run(batches):
         own = model.value.codes()
-        for codes, pairs, *_ in _pairs(batches, own):
+        for known, number, lengths, *_ in _chunks(batches, own):
+            codes, pairs, _ = _pairs(known, number, lengths, model.value.classed)
             pairs, n = np.unique(pairs, return_counts=True)
             history, word = codes[pairs >> SHIFT], codes[pairs & LOW]
-            order, cut = _by_bucket(history, buckets)
+            order, cut = deal.split(history, word)
             history, word, n = history[order], word[order], n[order].astype(np.int32)
             rows = [(i, int(y - x), _pack_pairs(history[x:y], word[x:y]), _pack(n[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "counts"])
@@ -264,10 +318,24 @@ def count_bigrams(train: DataFrame, model, buckets: int) -> DataFrame:
             yield row()
 
     sent = train.mapInArrow(run, "bucket int, n long, keys binary, counts binary")
-    dealt = sent.repartition(min(buckets, partitions(train.sparkSession)), "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartition(min(deal.buckets, partitions(train.sparkSession)), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(merge, "bucket int, n long, keys binary, counts binary, of_counts array<long>")
 
 
+def _packed_counts(rows: DataFrame) -> DataFrame:
+    """``(bucket, n, keys, counts)`` from rows ``(bucket, code, c)``: packed, in rows of bounded size."""
+
+    def pack(batches):
+        for b in batches:
+            bucket, words, c = (b.column(i).to_numpy() for i in range(3))
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            out = [(int(bucket[x]), y - x, _pack(words[x:y]), _pack(c[x:y])) for x, y in zip(edges[:-1], edges[1:]) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "counts"])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(pack, "bucket int, n long, keys binary, counts binary")
+
+
 def _rare_followers(bigrams: DataFrame, rare: DataFrame) -> DataFrame:
     """``(bucket, n, keys, counts)``: the words by hash that follow a history of a bucket, and their unigram counts."""
 
@@ -279,136 +347,173 @@ def _rare_followers(bigrams: DataFrame, rare: DataFrame) -> DataFrame:
                     part = words[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), pa.array(part)], ["bucket", "code"])
 
-    def pack(batches):
+    there = bigrams.select("bucket", "n", "keys").mapInArrow(followers, "bucket int, code long")
+    return _packed_counts(there.join(rare, "code").select("bucket", "code", "c"))
+
+
+#: What comes to a bucket, in this order: counts of words that follow its histories, its bigrams, questions about bigrams,
+#: counts of its own words, questions about words, and who the documents of a chunk are.
+FOLLOWERS, BIGRAMS, ASK_BIGRAMS, WORDS, ASK_WORDS, WHO = range(6)
+
+
+class _Counts:
+    """Counts of words by hash, gathered in parts."""
+
+    def __init__(self):
+        self.parts, self.sorted = [], None
+
+    def add(self, n: int, keys: bytes, counts: bytes):
+        self.parts.append((_unpack(keys, n, np.int64), _unpack(counts, n, np.int64)))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.sorted is None:
+            codes, counts = map(np.concatenate, zip(*self.parts)) if self.parts else (np.empty(0, np.int64),) * 2
+            order = np.argsort(codes)
+            self.sorted = codes[order], counts[order]
+        return self.sorted
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        codes, counts = self.table()
+        if not len(codes):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
+        return np.where(codes[at] == words, counts[at], 0)
+
+
+def _hot_sums(stored: DataFrame, model, d2: np.ndarray, deal: _Deal) -> np.ndarray:
+    """Rows ``(history, total, kept, p)``, sorted: the sums of hot histories over the buckets that have their followers."""
+    kind = np.dtype([("history", np.int64), ("total", float), ("kept", float), ("p", float)])
+    if not len(deal.hot):
+        return np.empty(0, kind)
+
+    def run(batches):
+        now, found = None, _Counts()
         for b in batches:
-            bucket, words, c = (b.column(i).to_numpy() for i in range(3))
-            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            rows = [(int(bucket[x]), y - x, _pack(words[x:y]), _pack(c[x:y])) for x, y in zip(edges[:-1], edges[1:]) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "counts"])
+            for bucket, side, n, keys, other in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if bucket != now:
+                    now, found = bucket, _Counts()
+                if side == FOLLOWERS:
+                    found.add(n, keys, other)
+                    continue
+                history, word = _unpack_pairs(keys, n)
+                mine = np.isin(history, deal.hot)
+                history, word, count = history[mine], word[mine], _unpack(other, n, np.int64)[mine]
+                start, _, total, kept, p = _sums(history, model.value.of(word, *found.table()), count, d2)
+                yield pa.RecordBatch.from_arrays([pa.array(history[start]), *(pa.array(x, pa.float64()) for x in (total, kept, p))], list(kind.names))
 
-    there = bigrams.select("bucket", "n", "keys").mapInArrow(followers, "bucket int, code long")
-    met = there.join(rare.select(_code("word").alias("code"), "c"), "code").select("bucket", "code", "c")
-    return met.repartition(partitions(bigrams.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(pack, "bucket int, n long, keys binary, counts binary")
+    dealt = stored.repartition(partitions(stored.sparkSession), "bucket").sortWithinPartitions("bucket", "side")
+    sums = dealt.select("bucket", "side", "n", "keys", "other").mapInArrow(run, "history long, total double, kept double, p double")
+    got = sums.groupBy("history").agg(*[F.sum(c).alias(c) for c in ("total", "kept", "p")]).orderBy("history").collect()
+    return np.array([tuple(r) for r in got], kind)
 
 
-def _backed_off(docs: DataFrame, bigrams: DataFrame, rare: DataFrame | None, model, d2: np.ndarray, buckets: int) -> DataFrame:
-    """``(doc_id, tid, lp)``: sums of what the history adds to a token's unigram log probability: the ratio of bigram
-    to unigram where the bigram was seen, the backoff weight of the history where not. A chunk of documents asks each
-    bucket of histories once for all its tokens, and gets one packed list of sums by document."""
+def _scored(docs: DataFrame, stored: DataFrame, model, d2: np.ndarray, deal: _Deal, hot) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, base, lp)`` per row of ``docs``. A chunk of documents sums what all tasks know of its words, and asks
+    each bucket once for all its tokens: of histories for what the history adds to a token's unigram log probability (the
+    ratio of bigram to unigram where the bigram was seen, the backoff weight where not), of words for the unigrams of
+    those without an id. It gets packed lists of sums by document."""
 
     def ask(batches):
         from pyspark import TaskContext
 
-        own, chunk = model.value.codes(), (TaskContext.get().partitionId() + 1) << 24
-        for codes, pairs, doc, ids, tids in _pairs(batches, own):
+        m, chunk = model.value, (TaskContext.get().partitionId() + 1) << 24
+        own, log_p, base_of = m.codes(), np.log10(np.maximum(m.p, 1e-300)), m.log_base(m.counts)
+        for known, number, lengths, docs, held in _chunks(batches, own):
             chunk += 1
+            codes, pairs, doc = _pairs(known, number, lengths, m.classed)
             order = np.argsort(pairs)
-            history, word, doc = codes[pairs[order] >> SHIFT], codes[pairs[order] & LOW], doc[order].astype(np.int32)
-            order, cut = _by_bucket(history, buckets)
+            history, word, doc = codes[pairs[order] >> SHIFT], codes[pairs[order] & LOW], doc[order]
+            order, cut = deal.split(history, word)
             history, word, doc = history[order], word[order], doc[order]
-            rows = [(i, 2, int(y - x), _pack_pairs(history[x:y], word[x:y]), _pack(doc[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-            named = np.array([[i is not None, i or 0] for i in ids], np.int64)
-            rows.append((chunk % buckets, 3, len(ids), _pack(named), _pack(np.array(tids, np.int32))))
+            rows = [(i, ASK_BIGRAMS, int(y - x), _pack_pairs(history[x:y], word[x:y]), _pack(doc[x:y])) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            rare, hot_word = known[number] >= HASHED, (known[number] >= FIRST) & (known[number] < HASHED)
+            at, of = known[number[hot_word]], doc[hot_word]
+            sums = [np.bincount(of, weights=w, minlength=len(lengths)) for w in (np.ones(len(of)), base_of[at - FIRST], log_p[at])]
+            asked, times = np.unique(number[rare] * len(lengths) + doc[rare], return_counts=True)
+            word, doc = known[asked // len(lengths)], asked % len(lengths)
+            bucket = word % deal.buckets
+            order = np.argsort(bucket, kind="stable")
+            word, doc, times, cut = word[order], doc[order].astype(np.int32), times[order].astype(np.int32), np.searchsorted(bucket[order], np.arange(deal.buckets + 1))
+            rows += [(i, ASK_WORDS, int(y - x), _pack(word[x:y]), _pack(np.concatenate([doc[x:y], times[x:y]]))) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+
+            named = np.array([[i is not None, i or 0] for i in docs], np.int64)
+            rows.append((chunk % deal.buckets, WHO, len(docs), _pack(named), _pack(np.concatenate([np.array(held, float), lengths - 1.0, *sums]))))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(rows), chunk))], ["bucket", "side", "n", "keys", "other", "chunk"])
 
     def answer(batches):
-        now, of, rare = None, None, []
+        m, now = model.value, None
         for b in batches:
             rows = []
             for bucket, side, n, keys, other, chunk in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if side == 3:  # who the documents of a chunk are, on its way to where its sums meet
+                if bucket != now:
+                    now, followers, own, table = bucket, _Counts(), _Counts(), np.empty(0, np.int64)
+                    _, histories, log_alpha = backoff(*(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)), d2, hot)
+                if side == FOLLOWERS:
+                    followers.add(n, keys, other)
+                elif side == WORDS:
+                    own.add(n, keys, other)
+                elif side == WHO:  # on its way to where the sums of the chunk meet
                     rows.append((chunk, 0, n, keys, other))
-                    continue
-                if side == 0:
-                    rare, of = rare if of == bucket else [], bucket
-                    rare.append((_unpack(keys, n, np.int64), _unpack(other, n, np.int64)))
-                    continue
-                h, w = _unpack_pairs(keys, n)
-                if side == 1:
-                    now = bucket
-                    known, times = map(np.concatenate, zip(*rare)) if of == bucket else (np.empty(0, np.int64),) * 2
-                    order, rare = np.argsort(known), []
-                    p = model.value.of(w, known[order], times[order])
-                    log_p, histories, log_alpha = backoff(h, p, _unpack(other, n, np.int64), d2)
+                elif side == BIGRAMS:
+                    h, w = _unpack_pairs(keys, n)
+                    p = m.of(w, *followers.table())
+                    log_p, histories, log_alpha = backoff(h, p, _unpack(other, n, np.int64), d2, hot)
                     gain = log_p - np.log10(p)
                     words, number = np.unique(w, return_inverse=True)
                     table = np.searchsorted(histories, h) << SHIFT | number
-                    continue
-                value = np.zeros(n)
-                if now == bucket and len(table):
-                    at = np.minimum(np.searchsorted(histories, h), len(histories) - 1)
-                    there = histories[at] == h
-                    value = np.where(there, log_alpha[at], 0.0)  # a history never seen: the unigram alone
-                    number = np.minimum(np.searchsorted(words, w), len(words) - 1)
-                    there &= words[number] == w
-                    pairs = at << SHIFT | number
-                    at = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
-                    value = np.where(there & (table[at] == pairs), gain[at], value)
-                doc = _unpack(other, n, np.int32)
-                there = np.flatnonzero(np.bincount(doc)).astype(np.int32)
-                rows.append((chunk, 1, len(there), _pack(there), _pack(np.bincount(doc, weights=value)[there])))
+                elif side == ASK_BIGRAMS:
+                    h, w = _unpack_pairs(keys, n)
+                    value = np.zeros(n)
+                    if len(histories):
+                        at = np.minimum(np.searchsorted(histories, h), len(histories) - 1)
+                        there = histories[at] == h
+                        value = np.where(there, log_alpha[at], 0.0)  # a history never seen: the unigram alone
+                    if len(table):
+                        number = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                        there &= words[number] == w
+                        pairs = at << SHIFT | number
+                        at = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
+                        value = np.where(there & (table[at] == pairs), gain[at], value)
+                    doc = _unpack(other, n, np.int32)
+                    there = np.flatnonzero(np.bincount(doc)).astype(np.int32)
+                    rows.append((chunk, 1, len(there), _pack(there), _pack(np.bincount(doc, weights=value)[there])))
+                else:
+                    c, both = own.of(_unpack(keys, n, np.int64)), _unpack(other, 2 * n, np.int32)
+                    doc, times = both[:n], both[n:]
+                    there = np.flatnonzero(np.bincount(doc)).astype(np.int32)
+                    sums = [np.bincount(doc, weights=times * x)[there] for x in (c > 0, m.log_base(c), np.log10(m.of_count(c)))]
+                    rows.append((chunk, 2, len(there), _pack(there), _pack(np.concatenate(sums))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["chunk", "kind", "n", "a", "b"])
 
     def gather(batches):
         ids = None
 
         def known():
-            return pa.RecordBatch.from_arrays([pa.array(ids[:, 1], mask=ids[:, 0] == 0), pa.array(tids), pa.array(sums)], ["doc_id", "tid", "lp"])
+            held, tokens, seen, base, lp = sums
+            cols = [pa.array(ids[:, 1], mask=ids[:, 0] == 0), pa.array(held > 0), *(pa.array(np.rint(x).astype(np.int64)) for x in (tokens, seen)), pa.array(base), pa.array(lp)]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "base", "lp"])
 
         for b in batches:
             for kind, n, x, y in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
                 if kind == 0:
                     if ids is not None:
                         yield known()
-                    ids, tids, sums = _unpack(x, 2 * n, np.int64).reshape(n, 2), _unpack(y, n, np.int32), np.zeros(n)
+                    ids, sums = _unpack(x, 2 * n, np.int64).reshape(n, 2), _unpack(y, 5 * n, np.float64).reshape(5, n).copy()
+                elif kind == 1:
+                    sums[4, _unpack(x, n, np.int32)] += _unpack(y, n, np.float64)
                 else:
-                    sums[_unpack(x, n, np.int32)] += _unpack(y, n, np.float64)
+                    sums[2:, _unpack(x, n, np.int32)] += _unpack(y, 3 * n, np.float64).reshape(3, n)
         if ids is not None:
             yield known()
 
     some = partitions(docs.sparkSession)
     asked = docs.mapInArrow(ask, "bucket int, side int, n long, keys binary, other binary, chunk long")
-    stored = bigrams.select("bucket", F.lit(1).alias("side"), "n", "keys", F.col("counts").alias("other"), F.lit(0).cast("long").alias("chunk"))
-    if rare is not None:
-        stored = stored.union(_rare_followers(bigrams, rare).select("bucket", F.lit(0), "n", "keys", "counts", F.lit(0).cast("long")))
-    met = stored.union(asked).repartition(min(buckets, some), "bucket").sortWithinPartitions("bucket", "side")
+    met = stored.union(asked).repartition(min(deal.buckets, some), "bucket").sortWithinPartitions("bucket", "side")
     sums = met.mapInArrow(answer, "chunk long, kind int, n long, a binary, b binary")
-    return sums.repartition(some, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, "doc_id long, tid int, lp double")
-
-
-def _alone(docs: DataFrame, model) -> DataFrame:
-    """A row per document with the sums over its vocabulary tokens, and one for each other word of it with its count."""
-    import zlib
-
-    names = ["doc_id", "tid", "held_out", "n_tokens", "n_known", "base", "lp", "token", "n"]
-    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()]
-
-    def run(batches):
-        m = model.value
-        ids, get = m.ids(), None
-        get, log_p, log_base, end = ids.get, np.log10(m.p[FIRST:]), m.log_base - np.log10(m.n + m.v + 1), ids.get(END)
-        for b in small(batches):
-            rows = []
-            for doc, text, held in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist()):
-                words = text.lower().split()
-                own = np.fromiter(map(get, words, repeat(RARE)), np.int64, len(words))
-                hot = own[own >= FIRST] - FIRST
-                if end is not None:
-                    hot = np.append(hot, end - FIRST)
-                tid = zlib.crc32(text) - (1 << 31)
-                rows.append((doc, tid, held, len(words) + 1, len(hot), float(log_base[hot].sum()), float(log_p[hot].sum()), f"\n{doc}", 1))
-                others = Counter(words[i] for i in np.flatnonzero(own == RARE).tolist())
-                if end is None:
-                    others[END] += 1
-                rows += [(doc, tid, held, 0, 0, 0.0, 0.0, w.decode(), k) for w, k in others.items()]
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-
-    return docs.mapInArrow(run, "doc_id long, tid int, held_out boolean, n_tokens long, n_known long, base double, lp double, token string, n long")
+    return sums.repartition(some, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, vocabulary: int | None = None) -> DataFrame:
@@ -425,32 +530,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train, buckets = rows.where(~F.col("held_out")), partitions(spark)
     counts = materialise(count_tokens(train), "tokens", True)
     uni, least = unigrams(counts, vocabulary)
-    model = spark.sparkContext.broadcast(uni)
-    bigrams = materialise(count_bigrams(train, model, buckets), "bigrams")
+    model, deal = spark.sparkContext.broadcast(uni), _Deal(buckets, *uni.hot(buckets))
+    bigrams = materialise(count_bigrams(train, model, deal), "bigrams")
     of = bigrams.select(F.posexplode("of_counts").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
-    rare = counts.where(F.col("c") < least).withColumnRenamed("token", "word")
-    context = _backed_off(rows, bigrams, rare if vocabulary is None else None, model, discounts({x.r: x.k for x in of}), buckets)
-
-    c = F.coalesce("c", F.lit(0))
-    p = F.when(c == 0, float(uni.unseen))
-    for r in range(1, MOST_DISCOUNTED + 1):
-        p = p.when(c == r, float(r * uni.d[r] / uni.whole))
-    p, other = p.otherwise(c / float(uni.whole)), ~F.startswith("token", F.lit("\n"))
-    alone = _alone(rows, model).join(rare, F.col("token") == F.col("word"), "left")
-    alone = alone.select(
-        "doc_id", "tid", "held_out", "n_tokens",
-        F.when(other & (c > 0), F.col("n")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(other, F.col("n") * F.log10((c + 1) / float(uni.n + uni.v + 1))).otherwise(F.col("base")).alias("base"),
-        F.when(other, F.col("n") * F.log10(p)).otherwise(F.col("lp")).alias("lp"),
-        F.when(other, 0).otherwise(1).alias("times"),
-    )
-    none = {"held_out": F.lit(None).cast("boolean"), **{x: F.lit(0).cast("long") for x in ("n_tokens", "n_known")}, "base": F.lit(0.0), "times": F.lit(0)}
-    both = alone.unionByName(context.withColumns(none))
-    sums = both.groupBy("doc_id", "tid").agg(F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lp", "times")])
-    # Rows with the same id and text were summed together; each gets its part and is a row again.
-    sums = sums.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    per = {x: (F.col(x) / F.col("times")).cast("long").alias(x) for x in ("n_tokens", "n_known")}
-    return sums.select(
-        "doc_id", "held_out", per["n_tokens"], per["n_known"], F.lit(uni.n).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("times")).alias("base_score"), (F.col("lp") / F.col("times")).alias("score"),
-    )
+    d2 = discounts({x.r: x.k for x in of})
+    rare = counts.where(F.col("c") < least).select(_code("token").alias("code"), "c")
+
+    def side(table, no):
+        return table.select("bucket", F.lit(no).alias("side"), "n", "keys", F.col("counts").alias("other"), F.lit(0).cast("long").alias("chunk"))
+
+    stored = side(bigrams, BIGRAMS)
+    if vocabulary is None:
+        stored = stored.union(side(materialise(_rare_followers(bigrams, rare), "followers"), FOLLOWERS))
+    hot = _hot_sums(stored, model, d2, deal)
+    words = side(_packed_counts(rare.select(F.pmod("code", F.lit(buckets)).cast("int").alias("bucket"), "code", "c")), WORDS)
+    out = _scored(rows, stored.union(words), model, d2, deal, hot)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(uni.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"))

@@ -145,6 +145,17 @@ def test_katz_counts_bigrams_of_all_of_many_words(spark):
     katz_like_brute_force(rows, katz.score_texts(docs).collect())
 
 
+def test_katz_splits_the_followers_of_common_words(spark):
+    """A third of all tokens is one word, another begins most texts: their followers are in several buckets."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(0, 90))) for _ in range(250)] + [None, "the", "the " * 3000]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
+    uni, _ = katz.unigrams(katz.count_tokens(docs.selectExpr("doc_id", "text")), None)
+    hot, parts = uni.hot(4)
+    assert len(hot) >= 2 and parts.max() == 4
+    katz_like_brute_force(list(enumerate(texts)), katz.score_texts(docs).collect())
+
+
 def test_katz_without_training_rows(spark):
     none = katz.score_texts(spark.createDataFrame([], DOCS))
     assert none.count() == 0
