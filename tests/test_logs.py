@@ -97,7 +97,7 @@ def test_projection(spark):
 
 
 @pytest.mark.parametrize(("rows", "wanted"), [
-    ([event(1, "c", "w", "CONCLUDED")], "first event is not an opening"), ([event(1, "o", "w", "OPENED"), event(2, "p", "w", "OPENED")], "expected one opening, got 2"),
+    ([event(1, "c", "w", "CONCLUDED"), event(2, "x", "w", "OTHER")], "unknown event kind"), ([event(1, "c", "w", "CONCLUDED")], "first event is not an opening"), ([event(1, "o", "w", "OPENED"), event(2, "p", "w", "OPENED")], "expected one opening, got 2"),
     ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED"), event(3, "d", "w", "CONCLUDED")], "expected at most one conclusion, got 2"),
     ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED", material="N")], "material mismatch"), ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED", decision="REJECT")], "recommendation mismatch"),
     ([event(1, "o", "w", "OPENED", day=2), event(2, "c", "w", "CONCLUDED")], "reviewed before opened"), ([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED")], None),
