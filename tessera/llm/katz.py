@@ -113,6 +113,19 @@ class Unigrams:
         return out
 
 
+class _Sent:
+    """A unigram model that all tasks have. What is broadcast is plain data, as a class is found only by its path there."""
+
+    def __init__(self, broadcast):
+        self.broadcast = broadcast
+
+    @property
+    def value(self) -> Unigrams:
+        model = Unigrams.__new__(Unigrams)
+        model.__dict__.update(self.broadcast.value)
+        return model
+
+
 def _sums(history: np.ndarray, p: np.ndarray, count: np.ndarray, d: np.ndarray):
     """Of bigrams sorted by history: where each history starts, the number of each bigram's, and by history the sums of
     counts, of discounted counts and of the unigram probabilities ``p`` of its followers."""
@@ -530,7 +543,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train, buckets = rows.where(~F.col("held_out")), partitions(spark)
     counts = materialise(count_tokens(train), "tokens", True)
     uni, least = unigrams(counts, vocabulary)
-    model, deal = spark.sparkContext.broadcast(uni), _Deal(buckets, *uni.hot(buckets))
+    model, deal = _Sent(spark.sparkContext.broadcast(vars(uni))), _Deal(buckets, *uni.hot(buckets))
     bigrams = materialise(count_bigrams(train, model, deal), "bigrams")
     of = bigrams.select(F.posexplode("of_counts").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
     d2 = discounts({x.r: x.k for x in of})

@@ -111,11 +111,13 @@ def risk(w: np.ndarray, p: tuple, u: tuple, n_p: int, n_u: int, prior: float) ->
     return positive, negative, slope(p, prior * (sp - 1) / n_p), slope(u, su / n_u) - slope(p, prior * sp / n_p)
 
 
-def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 3e-4):
+def nnpu(p: tuple, u: tuple, n_p: int, n_u: int, width: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float | None = None):
     """Weights and bias of a linear classifier that minimise the non-negative PU risk, positive + max(0, negative), by
     full-batch Adam until it stands still. Where the corrected negative risk is below zero, its gradient is followed
     backwards, so the model unlearns what it has learnt by heart; as that makes the last steps swing about the risk's
-    edge, the result is the mean of the second half of them."""
+    edge, the result is the mean of the second half of them. Weights decay as under a prior of variance one (``decay``: one
+    by the number of positives)."""
+    decay = 1 / max(1, n_p) if decay is None else decay
     w, mean = np.zeros(width + 1), np.zeros(width + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
