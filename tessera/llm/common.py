@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise, shared_dir  # noqa: F401
+from ..storage import discard, materialise, new_path, shared_dir  # noqa: F401
 
 #: A word is a run of anything but the ASCII white space below; ``bytes.split()`` cuts at exactly these.
 WORD = "[^\\x20\\x09-\\x0D]+"

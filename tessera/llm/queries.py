@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .common import new_path
 from .decontam import find_leaks
 from .htmltext import extract
 from .katz import score_texts
 from .langid import identify
+from .lloyd import lloyd
 from .mixing import mix_sources
 from .quality import score_quality
 from .simhash import simhash_components
+from .spelling import count_words, spelling_variants
 from .substrings import remove_repeats
+from .tokenfiles import read_tokens, write_tokens
 from .toxicity import score_toxicity
 
 
@@ -70,6 +74,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64, scale=1024)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1, by_word=True)
+    return read_tokens(spark, path).select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(count_words(table(spark, sf_dir, "documents"), shortest=7, least=2, damage=31), ratio=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_katz": op2_katz,
@@ -81,8 +103,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
+    "op11_lloyd": op11_lloyd,
+    "op12_tokens": op12_tokens,
+    "op13_spelling": op13_spelling,
 }
 
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd's rounds one after another, every vector against every centroid."""
+    vectors = """k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(CAST(1024 AS DOUBLE) * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF isfinite(x)]) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM (
+    SELECT * FROM k ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v LIMIT 8))"""
+    parts = [vectors]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(d * 8 + c) AS m FROM (
+    SELECT r, c, CAST(list_sum([(k.v[j] - c{i}.v[j]) * (k.v[j] - c{i}.v[j]) FOR j IN range(1, 65)]) AS BIGINT) AS d FROM k, c{i}) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.v, o.v) AS v FROM c{i} o LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+      SELECT m % 8 AS c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT r, unnest(v) AS x, unnest(range(64)) AS j FROM k) JOIN a{i} USING (r) GROUP BY ALL) GROUP BY c) n ON o.c = n.c)""")
+    return f"""WITH {", ".join(parts)},
+e AS (SELECT vec_id, CAST(m % 8 AS INTEGER) AS cluster, m // 8 AS distance FROM k JOIN a{rounds} USING (r))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(v, ',')) AS centroid_sha256 FROM e JOIN c{rounds} ON cluster = c"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op5_substrings": """
@@ -147,5 +197,33 @@ FROM (SELECT item_id, len(w) AS n, array_to_string(w, ' ') AS sh FROM iw WHERE l
 JOIN (SELECT doc_id, n, unnest(range(len(w) - n + 1)) AS pos, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS sh
       FROM dw, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n) r USING (n, sh)
 GROUP BY doc_id, item_id, n
+""",
+    "op11_lloyd": _lloyd_sql(10),
+    "op13_spelling": """
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) g(i)),
+d AS (SELECT row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') AS id, regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+') AS runs FROM documents),
+u AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT id, translate(unnest(runs), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM d) WHERE length(run) >= 7 GROUP BY id, run),
+h AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], [CAST('0x' || substr(hex(id || ':' || run), 2 * i + 1, 2) AS BIGINT) FOR i IN range(strlen(id || ':' || run))]),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM u, t),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+near AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT a.word, b.word AS other, b.n AS m FROM v a JOIN v b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT v.word, w.word, w.n FROM v JOIN w ON v.cut = w.word
+    UNION ALL SELECT w.word, v.word, v.n FROM v JOIN w ON v.cut = w.word)),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS form, max(m) AS form_n FROM near GROUP BY word),
+f AS MATERIALIZED (
+  SELECT w.word, CASE WHEN form_n >= 10 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM w LEFT JOIN b USING (word)),
+p AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT p.word, f.form FROM p JOIN f ON p.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT p.word, p.root FROM p JOIN f ON p.root = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN e USING (word)
 """,
 }
