@@ -160,7 +160,7 @@ def lloyd(rows: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, dims: in
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
     blocks = save(_pack(vectors, dims, scale).repartition(buckets, "block"), False)
-    state, sums, counts = None, np.zeros((k, dims), object), [0] * k
+    state, sums = None, np.zeros((k, dims + 1), object)  # the last of a cluster's sums is how many vectors it has
     changed = np.ones(k, bool)
     for at in range(rounds + 1):
         if state is None:
@@ -172,11 +172,10 @@ def lloyd(rows: DataFrame, k: int = 8, rounds: int = 10, seed: int = 3, dims: in
             forget([made.pop(1)])
         if at == rounds:
             break
-        moved = state.where("kind = 1").groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.get("delta", F.lit(i)).cast("decimal(38,0)")).alias(f"d{i}") for i in range(dims)])
-        for r in moved.collect():
-            counts[r.cluster] += r.n
-            sums[r.cluster] += np.array([int(r[f"d{i}"]) for i in range(dims)], object)
-        new = np.array([[int(v // counts[c]) for v in sums[c]] if counts[c] else centroids[c].tolist() for c in range(k)], np.int64)
+        moved = state.where("kind = 1").select("cluster", F.posexplode(F.concat("delta", F.array("n"))).alias("i", "x"))
+        for r in moved.groupBy("cluster", "i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect():
+            sums[r.cluster][r.i] += int(r.x)
+        new = np.array([[int(x // own[-1]) for x in own[:-1]] if own[-1] else centroids[c].tolist() for c, own in enumerate(sums)], np.int64)
         changed, centroids = (new != centroids).any(1), new
         if not changed.any():
             break
