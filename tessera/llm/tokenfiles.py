@@ -9,6 +9,7 @@ crc32, the number of documents, MAGIC. All numbers are little-endian. The dictio
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -26,8 +27,8 @@ HEAD_SIZE, TAIL_SIZE = struct.calcsize(HEAD), struct.calcsize(TAIL)
 MANIFEST = "file string, part int, place int, docs long, tokens long, before long, first_id long, last_id long, has_null boolean, bytes long"
 #: Bytes of frames, and documents, after which a task begins another shard.
 SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 18
-#: Words whose ids a task remembers at most.
-REMEMBER = 200_000
+#: Words, and pieces of words, whose ids a Python worker remembers at most (or those of one batch).
+REMEMBER = 400_000
 
 
 def open_store(uri: str):
@@ -41,37 +42,69 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+#: Letters whose runs a word is cut into, and what may not follow such a run: a mark or letter that would belong to it.
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+PIECE = f"{LETTERS}++(?![^\\x00-\\x7f])|.+"
+
+
 class Encoder:
     """Texts to packed ids by a tokenizer file; ``end`` is appended to each text.
 
-    ``by_word``: the tokenizer drops white space, so a text's ids are those of its words one after another, and the ids of
-    words seen before are remembered (at most REMEMBER of them; that changes the time only)."""
+    ``by_word``: the tokenizer drops white space and puts runs of letters and of other characters apart, so the ids of a
+    text are those of its words one after another, and a word's those of the letters it begins with and of its rest. Ids
+    of words and pieces seen before are remembered (REMEMBER words at most; that changes the time only). Runs of letters
+    go to the library's merges right away, as the library itself normalises each of the letters."""
 
     def __init__(self, tokenizer: str, end: int, by_word: bool):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(tokenizer)
         self.width = 2 if max(self.of.get_vocab_size(), end + 1) <= 1 << 16 else 4
-        self.end, self.by_word, self.known = self._packed([end]), by_word, {}
+        self.by_word, self.known, self.pieces, self.cut = by_word, {}, {}, re.compile(PIECE, re.DOTALL).findall
+        self.end, self.run, self.merge = self._packed([end]), re.compile(f"{LETTERS}+").fullmatch, self.of.model.tokenize
+        if by_word:
+            letters = [chr(i) for i in range(256) if self.run(chr(i))]
+            self.form = str.maketrans({c: "".join(x for x, _ in self.of.pre_tokenizer.pre_tokenize_str(self.of.normalizer.normalize_str(c))) for c in letters})
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _ids(self, data: list[str]) -> list[bytes]:
+        return [self._packed(x.ids) for x in self.of.encode_batch_fast(data, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """A call of the library costs more than a word, so all new pieces that aren't letters go to it at once."""
+        pieces, cuts = self.pieces, [self.cut(w.decode()) for w in words]
+        new = set().union(*cuts).difference(pieces) if cuts else set()
+        if len(pieces) + len(new) > REMEMBER:
+            pieces.clear()
+            new = set().union(*cuts)
+        plain = [x for x in new if self.run(x)]
+        other = [x for x in new if not self.run(x)]
+        pieces.update((x, self._packed([t.id for t in self.merge(x.translate(self.form))])) for x in plain)
+        pieces.update(zip(other, self._ids(other)))
+        self.known.update((w, b"".join([pieces[x] for x in cut])) for w, cut in zip(words, cuts))
 
     def encode(self, data: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return [self._packed(x.ids) + self.end for x in self.of.encode_batch_fast([t.decode() for t in data], add_special_tokens=False)]
-        out, known = [], self.known
-        for t in data:
-            words = t.split()  # at ASCII white space only
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), REMEMBER):
-                some = new[at : at + REMEMBER]
-                known.update(zip(some, (self._packed(x.ids) for x in self.of.encode_batch_fast([w.decode() for w in some], add_special_tokens=False))))
-            out.append(b"".join([*map(known.__getitem__, words), self.end]))
-        return out
+            return [ids + self.end for ids in self._ids([t.decode() for t in data])]
+        split = [t.split() for t in data]  # at ASCII white space only
+        have = set().union(*split)
+        if len(self.known) + len(have) > REMEMBER:
+            self.known.clear()
+        self._learn(list(have.difference(self.known)))
+        get = self.known.__getitem__
+        return [b"".join([*map(get, words), self.end]) for words in split]
+
+
+def encoder_of(tokenizer: str, end: int, by_word: bool) -> Encoder:
+    """One encoder for all tasks of a Python worker. This module comes to a worker anew with each task, the library's stays."""
+    import tokenizers
+
+    kept, key = tokenizers.__dict__.setdefault("_kept", {}), (tokenizer, end, by_word)
+    if key not in kept:
+        kept[key] = Encoder(*key)
+    return kept[key]
 
 
 def _quiet() -> None:
@@ -95,7 +128,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, by_word: bool, s
         import pyarrow as pa
 
         _quiet()
-        encoder = Encoder(tokenizer, end, by_word)
+        encoder = encoder_of(tokenizer, end, by_word)
         for b in small(batches, 200):
             parts = []
             for ids, at in zip(encoder.encode(texts(b)), b.column(b.schema.get_field_index("h")).to_pylist()):
@@ -208,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, by_wo
         import pyarrow as pa
 
         _quiet()
-        encoder, part = Encoder(tokenizer, end, by_word), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer, end, by_word), TaskContext.get().partitionId()
         writer, place, before = None, 0, 0
 
         def finish():
@@ -219,10 +252,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, by_wo
 
         schema = pa.schema([("file", pa.string()), ("part", pa.int32()), ("place", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("before", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("has_null", pa.bool_()), ("bytes", pa.int64())])
         for b in small(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), texts(b)):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(texts(b))):
                 if writer is None:
                     writer = ShardWriter(shards, f"{part:06d}-{place:06d}-{uuid.uuid4().hex}.ids", encoder.width, dictionary)
-                writer.add(doc_id, encoder.encode([text])[0])
+                writer.add(doc_id, ids)
                 if writer.full():
                     yield finish()
         if writer:
