@@ -1,0 +1,100 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessera.llm import lloyd as L
+
+from .conftest import clash
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, k, rounds, dims):
+    """Lloyd's rounds over all vectors and all centroids in Python's integers; rows in the operator's order of vectors."""
+    kept = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v, _ in rows if v is not None and len(v) == dims and all(x is not None and np.isfinite(x) for x in v)]
+    order = sorted(range(len(kept)), key=lambda j: (hashlib.sha256(f"3:{'' if kept[j][0] is None else kept[j][0]}".encode()).hexdigest(), kept[j][1]))
+    centroids = [kept[j][1] for j in order[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        own = [nearest(v)[1] for _, v in kept]
+        for c in range(len(centroids)):
+            of = [v for (_, v), o in zip(kept, own) if o == c]
+            if of:
+                centroids[c] = [sum(x) // len(of) for x in zip(*of)]
+    said = [(i, *nearest(v)) for i, v in kept]
+    total = sum(d for _, d, _ in said)
+    return sorted(((i, c, d, sum(e for _, e, o in said if o == c), total, tuple(centroids[c])) for i, d, c in said), key=str)
+
+
+def found(out):
+    return sorted(((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, tuple(r.centroid)) for r in out.collect()), key=str)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 10])
+def test_equals_plain_rounds(spark, monkeypatch, rounds):
+    monkeypatch.setattr(L, "BLOCK", 16)
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(i % 5, 0.7) for _ in range(4)], i) for i in range(150)]
+    rows += [rows[3], rows[3], (500, rows[4][1], 0), (501, [0.5] * 4, 0), (502, [0.5] * 4, 0), (None, [0.25] * 4, 0)]
+    odd = [(600, None, 0), (601, [], 0), (602, [1.0] * 5, 0), (603, [1.0, None, 1.0, 1.0], 0), (604, [1.0, float("nan"), 1.0, 1.0], 0), (605, [1.0, float("-inf"), 1.0, 1.0], 0)]
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], n) for i, v, n in rows + odd]
+    out = L.lloyd(clash(spark.createDataFrame(rows, SCHEMA).repartition(3)), k=6, rounds=rounds, dims=4)
+    assert found(out) == brute(rows, 6, rounds, 4)
+
+
+def test_few_and_no_vectors(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)]
+    assert found(L.lloyd(spark.createDataFrame(rows, SCHEMA), k=8, dims=2)) == brute(rows, 8, 10, 2)
+    none = L.lloyd(spark.createDataFrame([(1, None, 0)], SCHEMA), k=8, dims=2)
+    assert none.collect() == [] and none.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid"]
+
+
+def test_large_components_are_exact_up_to_the_stated_bound(spark):
+    rows = [(i, [float(np.float32(x)) for x in (1e5 * i, -1e5, 3.0)], 0) for i in range(-1, 2)]
+    assert found(L.lloyd(spark.createDataFrame(rows, SCHEMA), k=2, dims=3)) == brute(rows, 2, 10, 3)
+    far = L.lloyd(spark.createDataFrame([(1, [3e38, -3e38], 0)], SCHEMA), k=1, dims=2).first()
+    assert far.centroid == [L.LARGEST, -L.LARGEST] and far.distance == 0
+
+
+vectors = st.lists(st.lists(st.integers(-4, 4), min_size=2, max_size=2), min_size=1, max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(vectors, vectors, st.data())
+def test_changed_centroids_and_moved_owners_suffice(points, before, data):
+    x, old = np.array(points, np.int32), np.array(before, np.int64)
+    owner = L.distances(x, old).argmin(1)
+    distance = L.distances(x, old).min(1)
+    changed = np.array(data.draw(st.lists(st.booleans(), min_size=len(old), max_size=len(old))))
+    new = old + changed[:, None] * np.array(data.draw(st.lists(st.lists(st.integers(-3, 3), min_size=2, max_size=2), min_size=len(old), max_size=len(old))))
+    got, near = L.reassign(x, new, changed, owner, distance)
+    every = L.distances(x, new)
+    assert got.tolist() == every.argmin(1).tolist() and near.tolist() == every.min(1).tolist()
+
+
+def test_vectors_of_unmoved_owners_meet_changed_centroids_only(monkeypatch):
+    made, real = [], L.distances
+    monkeypatch.setattr(L, "distances", lambda x, c: made.append(len(x) * len(c)) or real(x, c))
+    x = np.arange(200, dtype=np.int32).reshape(100, 2)
+    centroids = x[::10].astype(np.int64)
+    owner = real(x, centroids).argmin(1)
+    L.reassign(x, centroids, np.arange(10) == 3, owner, real(x, centroids).min(1))
+    assert sum(made) == 100 + int((owner == 3).sum()) * 9
+
+
+def test_rounds_join_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 8)
+    plans, real = [], L._round
+    monkeypatch.setattr(L, "_round", lambda have, *a: plans.append(have._jdf.queryExecution().executedPlan().toString()) or real(have, *a))
+    rng = random.Random(4)
+    rows = [(i, [rng.random() for _ in range(3)], 0) for i in range(64)]
+    assert found(L.lloyd(spark.createDataFrame(rows, SCHEMA), k=3, dims=3, rounds=3)) is not None
+    assert len(plans) > 2 and not any("Exchange" in p for p in plans) and "Join" in plans[1]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_")]

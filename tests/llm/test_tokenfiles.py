@@ -1,0 +1,120 @@
+import struct
+import zlib
+from pathlib import Path
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tessera.llm import tokenfiles as T
+from tessera.storage import new_path
+
+from .conftest import DOCS, clash
+
+public = pytest.importorskip("public_tokenizers")
+FILE = public.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(FILE)
+
+
+@pytest.fixture(scope="module")
+def by_word():
+    return T.Encoder(FILE, 1, True)
+
+
+def ids_of(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids + [1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aAsS' \t\n  ́ͅΣσ\x1c<|>éÉİıß1²½㎏🙂", max_size=40)))
+def test_words_one_by_one_give_the_ids_of_the_whole(library, by_word, text):
+    data = text.encode()
+    assert struct.unpack(f"<{len(ids_of(library, text))}H", by_word.encode([data])[0]) == tuple(ids_of(library, text))
+
+
+def test_forgetting_words_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(T, "REMEMBER", 3)
+    encoder, text = T.Encoder(FILE, 1, True), "one two three four one five six two seven <|endoftext|> x<|startoftext|>y"
+    for _ in range(2):
+        assert list(struct.unpack(f"<{len(ids_of(library, text))}H", encoder.encode([text.encode()])[0])) == ids_of(library, text)
+
+
+@pytest.mark.parametrize("words, docs_a_shard", [(True, 4), (False, 1 << 18)])
+def test_files_give_back_every_document(spark, docs, corpus, library, monkeypatch, words, docs_a_shard):
+    monkeypatch.setattr(T, "SHARD_DOCS", docs_a_shard)
+    path = new_path(spark, "tokens")
+    manifest = T.write_tokens(clash(docs), path, FILE, by_word=words)
+    got = sorted(T.read_tokens(spark, path).collect(), key=lambda r: r.start)
+    assert len(got) == len(corpus) and all(r.docs <= docs_a_shard for r in manifest.collect())
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += len(r.ids) // 4
+    order = [(-1 if r.doc_id is None else r.doc_id) for r in got]
+    assert order == sorted(order)
+    want = sorted((-1 if i is None else i, struct.pack(f"<{len(x)}I", *x)) for i, x in ((d[0], ids_of(library, d[1])) for d in corpus))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in got) == want
+    crc = T.read_tokens(spark, path).where("doc_id = 20").select(F.crc32("ids")).first()[0]
+    assert crc == zlib.crc32(dict(want)[20])
+    assert sorted(T.read_document(spark, path, 7)) == sorted(ids_of(library, d[1]) for d in corpus if d[0] == 7)
+    assert T.read_document(spark, path, 10**9) == []
+
+
+def test_runs_give_the_same_bytes(spark, docs):
+    said = []
+    for _ in range(2):
+        path = new_path(spark, "tokens")
+        rows = T.write_tokens(docs, path, FILE, by_word=True).orderBy("part", "place").collect()
+        said.append((T.dictionary_of(path), [Path(T.open_store(path)[1], "shards", r.file).read_bytes() for r in rows]))
+    assert said[0] == said[1]
+
+
+def test_other_dictionary_or_damage_is_an_error(spark, docs):
+    path = new_path(spark, "tokens")
+    row = T.write_tokens(docs, path, FILE, by_word=True).first()
+    with pytest.raises(ValueError, match="another dictionary"):
+        T.ShardReader(f"{path}/shards", row.file, b"x")
+    file = Path(T.open_store(path)[1], "shards", row.file)
+    data = bytearray(file.read_bytes())
+    data[-T.TAIL_SIZE - 3] ^= 1
+    broken = file.with_name("broken.ids")
+    broken.write_bytes(data)
+    with pytest.raises(ValueError, match="damaged"):
+        T.ShardReader(f"{path}/shards", broken.name, T.dictionary_of(path))
+    broken.write_bytes(b"x" * 200)
+    with pytest.raises(ValueError, match="no shard"):
+        T.ShardReader(f"{path}/shards", broken.name, T.dictionary_of(path))
+    with pytest.raises(FileExistsError):
+        T.write_tokens(docs, path, FILE, by_word=True)
+
+
+def test_the_shared_dictionary_makes_short_documents_smaller(spark):
+    import random
+
+    rng = random.Random(3)
+    stock = [" ".join(rng.choice(["river", "stone", "market", "council", "bridge", "winter"]) for _ in range(8)) for _ in range(50)]
+    rows = [(i, ". ".join(rng.choice(stock) for _ in range(4)), "en", "s", 0) for i in range(3000)]
+    path = new_path(spark, "tokens")
+    size = T.write_tokens(spark.createDataFrame(rows, DOCS), path, FILE, by_word=True).agg(F.sum("bytes")).first()[0]
+    import zstandard
+
+    encoder = T.Encoder(FILE, 1, True)
+    alone = sum(len(zstandard.ZstdCompressor(level=3).compress(x)) for x in encoder.encode([r[1].encode() for r in rows]))
+    assert size - 25 * len(rows) < 0.7 * alone  # without the index
+
+
+def test_no_documents_and_long_ones(spark, library):
+    path = new_path(spark, "tokens")
+    assert T.write_tokens(spark.createDataFrame([], DOCS), path, FILE, by_word=True).collect() == []
+    assert T.read_tokens(spark, path).collect() == [] and T.dictionary_of(path) == b""
+    path, long_ = new_path(spark, "tokens"), "lorem ipsum " * 100_000
+    T.write_tokens(spark.createDataFrame([(1, long_, None, None, None), (0, None, None, None, None)], DOCS), path, FILE, by_word=True)
+    got = {r.doc_id: (r.start, len(r.ids) // 4) for r in T.read_tokens(spark, path).collect()}
+    assert got == {0: (0, 1), 1: (1, len(ids_of(library, long_)))}
