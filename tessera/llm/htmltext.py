@@ -30,55 +30,52 @@ ENDED_BY = {
     "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tfoot": {"tbody"}, "optgroup": {"optgroup"},
     "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "head": {"body"},
 }
-#: Words in a class, an id or a role.
+#: Words in a class, an id or a role: those that name boilerplate, those that often do, those that name content.
 BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promoted promotion cookie cookies consent gdpr "
-    "notice notices alert alerts popup modal overlay newsletter subscribe subscription signup share sharing social follow comment comments commentlist "
-    "respond reply replies discussion disqus sidebar side widget widgets related recommended recommendations popular trending menu nav navbar navigation breadcrumb "
-    "breadcrumbs footer header masthead topbar toolbar copyright legal disclaimer login search searchform tags tagcloud pagination pager paging skip print hidden "
-    "complementary contentinfo navigation dialog outbrain taboola byline-share form".split()
+    "popup newsletter subscribe subscription signup share sharing social comment comments commentlist respond disqus sidebar widget widgets related recommended "
+    "recommendations menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar copyright searchform tagcloud pagination pager paging "
+    "complementary contentinfo outbrain taboola".split()
 )
+DOUBTFUL = frozenset("notice notices alert alerts modal overlay follow reply replies discussion side popular trending header legal disclaimer login search tags skip print hidden dialog form".split())
 GOOD = frozenset("article articlebody body content entry main maincontent post postbody prose story text".split())
-
-#: What the markup around a block says, in log odds of content. Blocks about which it speaks clearly are the examples
-#: from which the weights of the text's own features are learnt.
-STRUCTURE = {"in article": 5.0, "in main": 4.5, "good name": 4.5, "bad name": -14.0, "chrome": -14.0, "page header": -14.0, "header in article": -1.0, "heading": 0.6, "outside": -0.5}
-CONTENT, BOILERPLATE = frozenset({"in article", "in main", "good name"}), frozenset({"bad name", "chrome", "page header"})
+#: What follows one of these in a name says what the page has or lacks, not what the element is.
+HAS = frozenset("has no with without layout is".split())
+
+#: Log odds of content. Names and tags count against a block; what it says and where it stands can outvote them, but for
+#: the clearest. A block of the page's main article or main element, of another one, outside of them; in the part of the
+#: page that most of the likely text is in, or not.
+STRUCTURE = {
+    "primary": 2.5, "article": 0.5, "outside": -2.0, "good name": 1.0, "bad name": -8.0, "doubtful name": -3.5, "chrome": -8.0, "header": -0.5, "heading": 0.6, "in root": 1.0, "beside root": -2.5,
+}
+#: An element with so much of the words around it is what the page is about, whatever it is called.
+WHOLE, MOST = 0.9, 0.6
 #: Features of a block's text: one (a short text without any sign), the logarithm of its words, whether it ends as a
 #: sentence does, the share of it in links. PRIOR is the mean of their weights before any example, with variance 1; each
 #: class of examples counts as at most EVIDENCE of them. What a text says weighs MOST_TEXT at most.
 PRIOR, EVIDENCE, MOST_TEXT = (-0.4, 0.9, 0.8, -3.5), 100.0, 2.5
-#: Smoothness: of blocks side by side (by their distance), and of neighbours under one parent.
-ADJACENT, SIBLING = 1.6, 0.5
+#: Smoothness: of blocks side by side (by the square of their distance in the tree), and of neighbours under one parent.
+ADJACENT, SIBLING = 3.2, 0.5
 SPLIT = re.compile(r"[^a-z]+")
 
 
+def _words_of_names(attrs) -> set[str]:
+    out = set()
+    for key in ("class", "id", "role"):
+        for name in (attrs.get(key) or "").split():
+            words = [w for w in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            has = next((i for i, w in enumerate(words) if w in HAS), None)
+            out.update(words[:has])
+    return out
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "signs", "unseen", "serial")
+    __slots__ = ("tag", "parent", "depth", "names", "unseen", "serial", "words", "signs")
 
     def __init__(self, tag, attrs, parent, serial):
-        self.tag, self.parent, self.serial = tag, parent, serial
+        self.tag, self.parent, self.serial, self.names = tag, parent, serial, _words_of_names(attrs)
         self.depth = parent.depth + 1 if parent else 0
-        signs = set(parent.signs) if parent else set()
-        names = {w for key in ("class", "id", "role") if attrs.get(key) for w in SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs[key]).lower())}
-        if tag not in ("body", "html"):
-            if names & BAD == {"header"} and (names & GOOD or signs & {"in article", "in main", "good name"}):
-                signs.add("header in article")  # the head of the article, with its title
-            elif names & BAD:
-                signs.add("bad name")
-            elif names & GOOD:
-                signs.add("good name")
-        if tag in CHROME:
-            signs.add("chrome")
-        if tag == "article":
-            signs.add("in article")
-        if tag == "main" or "main" in names:
-            signs.add("in main")
-        if tag == "header":
-            signs.add("header in article" if "in article" in signs else "page header")
-        if tag in HEADINGS:
-            signs.add("heading")
-        self.signs = frozenset(signs)
+        self.words, self.signs = 0.0, frozenset()
         style = re.sub(r"\s", "", attrs.get("style") or "").lower()
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         self.unseen = tag in UNSEEN or hidden or bool(parent and parent.unseen)
@@ -111,6 +108,7 @@ class _Page:
 
     def __init__(self):
         self.open = [_Element("html", {}, None, 0)]
+        self.all = [self.open[0]]
         self.at: dict[str, list[int]] = {"html": [0]}  # where elements of a name are open
         self.open_blocks, self.endless = [0], set()
         self.made, self.links, self.blocks, self.pieces, self.linked = 0, 0, [], [], 0
@@ -144,6 +142,7 @@ class _Page:
         if tag in BLOCKS:
             self.open_blocks.append(len(self.open))
         self.open.append(_Element(tag, attrs, self.open[-1], self.made))
+        self.all.append(self.open[-1])
         self.links += tag == "a"
 
     def end(self, tag):
@@ -181,8 +180,47 @@ class _Page:
             done = at
         self.text(_decoded(page[done:]))
         self.end_block()
+        self.judge()
         return self.blocks
 
+    def judge(self):
+        """The ``signs`` of every element, from its tags and names and those around it, each looked at once."""
+        for element, text, linked in self.blocks:
+            element.words += len(text.split()) * (1 - linked / max(1, len(text.replace(" ", ""))))
+        for e in reversed(self.all[1:]):  # made after their parents
+            e.parent.words += e.words
+        total = self.all[0].words
+        bodies = [e for e in self.all if e.tag in ("article", "main") and not e.names & {"comment", "comments"}]
+        most = max((e.words for e in bodies), default=0.0)
+        primary = max((e for e in bodies if e.words >= MOST * most), key=lambda e: e.depth, default=None)
+        above, e = set(), primary
+        while e is not None:
+            above.add(e.serial)
+            e = e.parent
+        for e in self.all:
+            up = e.parent.signs if e.parent else frozenset()
+            signs = set(up - {"good name"} if e.tag in ("article", "main") else up)
+            if e is primary:
+                signs = {"primary"}
+            elif e.tag in ("article", "main") and "primary" not in signs:
+                signs.add("article")
+            # What holds the article, or nearly all there is, is no boilerplate for its name or tag.
+            whole = e.serial in above or e.tag in ("html", "body") or (e.words >= WHOLE * primary.words if "primary" in up else primary is None and e.words >= WHOLE * total)
+            if e.names & GOOD and e.tag != "body":
+                signs.add("good name")
+            if not whole:
+                if e.names & BAD:
+                    signs.add("bad name")
+                elif e.names & DOUBTFUL:
+                    signs.add("header" if e.names & DOUBTFUL == {"header"} and up & {"primary", "good name"} else "doubtful name")
+                if e.tag in CHROME:
+                    signs.add("chrome")
+                if e.tag == "header":
+                    signs.add("header" if up & {"primary", "good name"} else "chrome")
+            if e.tag in HEADINGS:
+                signs.add("heading")
+            e.signs = frozenset(signs)
+
     def tag(self, page: str, at: int, name: str, closing: bool) -> int:
         """Reads the rest of a tag; where what follows begins."""
         attrs = {}
@@ -224,20 +262,63 @@ def features(text: str, linked: int) -> tuple[float, float, float, float]:
     return 1.0, math.log1p(words / 8), float(text[-1] in ".!?…:;\"'”»)" and words > 3), linked / max(1, len(text.replace(" ", "")))
 
 
-def cost(element: _Element, text: str, linked: int, weights=PRIOR) -> float:
-    """Log odds of a block being content: what the cut pays for labelling it boilerplate, negative: content."""
+def by_itself(element: _Element, text: str, linked: int, weights, bodies: bool) -> float:
+    """Log odds of a block being content from its tags, names and text; ``bodies``: the page has an article or main."""
     signs = element.signs
-    f = max((STRUCTURE[s] for s in signs & CONTENT), default=STRUCTURE["outside"]) + min((STRUCTURE[s] for s in signs & BOILERPLATE), default=0.0)
-    f += sum(STRUCTURE[s] for s in signs - CONTENT - BOILERPLATE)
+    where = "primary" if "primary" in signs else "article" if "article" in signs else "outside" if bodies else None
+    against = min((STRUCTURE[x] for x in ("bad name", "doubtful name", "chrome") if x in signs), default=0.0)
+    f = (STRUCTURE[where] if where else 0.0) + against + sum(STRUCTURE[x] for x in ("good name", "header", "heading") if x in signs)
     said = sum(w * x for w, x in zip(weights, features(text, linked)))
     return f + max(-MOST_TEXT, min(MOST_TEXT, said))
 
 
+def costs(page: _Page, weights=PRIOR) -> list[float]:
+    """What the cut pays for labelling each block boilerplate (negative: content): its log odds by itself, and whether it is
+    in the part of the page with most of the text that is likely content by itself: going down from the page as long as
+    one child has MOST of it and several blocks."""
+    bodies = any("primary" in e.signs for e, _, _ in page.blocks)
+    own = [by_itself(*b, weights, bodies) for b in page.blocks]
+    mass, held = [0.0] * len(page.all), [0] * len(page.all)
+    place = {e.serial: i for i, e in enumerate(page.all)}
+    for (e, text, _), f in zip(page.blocks, own):
+        mass[place[e.serial]] += len(text.split()) / (1 + math.exp(-f))
+        held[place[e.serial]] += 1
+    for i in range(len(page.all) - 1, 0, -1):
+        up = place[page.all[i].parent.serial]
+        mass[up] += mass[i]
+        held[up] += held[i]
+    heaviest: dict[int, int] = {}
+    for i, e in enumerate(page.all[1:], 1):
+        up = e.parent.serial
+        if up not in heaviest or mass[i] > mass[heaviest[up]]:
+            heaviest[up] = i
+    root = 0
+    while (down := heaviest.get(page.all[root].serial)) is not None and mass[down] >= MOST * mass[root] > 0 and held[down] > 1:
+        root = down
+    inside = [root == 0]
+    for i, e in enumerate(page.all[1:], 1):
+        inside.append(i == root or inside[place[e.parent.serial]])
+    return [f + STRUCTURE["in root" if inside[place[e.serial]] else "beside root"] for (e, _, _), f in zip(page.blocks, own)]
+
+
+def ties(page: _Page) -> list[tuple[int, int, float]]:
+    """Smoothness edges between blocks; none where a tag sets one of the two apart."""
+    edges, last = [], {}
+    for i, (element, _, _) in enumerate(page.blocks):
+        if i and ("chrome" in element.signs) == ("chrome" in page.blocks[i - 1][0].signs):
+            edges.append((i - 1, i, ADJACENT / max(1, distance(page.blocks[i - 1][0], element)) ** 2))
+        parent = (element.parent or element).serial, "chrome" in element.signs
+        if parent in last:
+            edges.append((last[parent], i, SIBLING))
+        last[parent] = i
+    return edges
+
+
 def example(element: _Element) -> int | None:
-    """1 or 0 where the markup alone tells that a block is content or not."""
-    if element.signs & BOILERPLATE:
+    """1 or 0 where the tags alone tell that a block is content or not; names don't."""
+    if "chrome" in element.signs:
         return 0
-    return 1 if element.signs & CONTENT else None
+    return 1 if "primary" in element.signs and not element.signs & {"bad name", "doubtful name"} else None
 
 
 def fit(cells: list[tuple[int, float, float, float, int]], rounds: int = 25) -> tuple[float, ...]:
@@ -355,19 +436,11 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
 
 def main_blocks(page: str, weights=PRIOR) -> list[str]:
     """Texts of the page's content blocks in page order."""
-    blocks = _Page().read(page)
-    if not blocks:
+    read = _Page()
+    if not read.read(page):
         return []
-    edges, last = [], {}
-    for i, (element, _, _) in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, ADJACENT / max(1, distance(blocks[i - 1][0], element))))
-        parent = (element.parent or element).serial
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    keep = minimum_cut([cost(*b, weights) for b in blocks], edges)
-    return [text for (_, text, _), ok in zip(blocks, keep) if ok]
+    keep = minimum_cut(costs(read, weights), ties(read))
+    return [text for (_, text, _), ok in zip(read.blocks, keep) if ok]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_pages: int = 2000) -> DataFrame:
@@ -375,8 +448,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A page's blocks are the runs of text between block elements, character references decoded and white space made
     one space; scripts, styles and what is hidden are none. A linear classifier gives each block a capacity to the
-    source (content) or the sink (boilerplate): what the markup around it says, and features of its text, whose weights
-    are learnt from blocks of about ``most_pages`` pages that the markup labels clearly. Blocks side by side and
+    source (content) or the sink (boilerplate): what the markup around it says, whether it is in the part of the page that
+    most of the text is in, and features of its text, whose weights are learnt from blocks of about ``most_pages`` pages
+    that the tags label clearly. Blocks side by side and
     neighbours under one parent are tied by capacities that fall with their distance in the tree; the minimum cut labels
     all blocks of the page at once. Null or empty html has no block; no html is malformed. Nothing is dropped for its length. Rows stay rows; other columns are not read.
     """

@@ -19,11 +19,10 @@ SCHEMA = "page_id long, url string, html string"
     ("<article><p>A <title>b</p><p>Words follow here.</p></article>", "A\nb\nWords follow here."), ("<article><p>Words stay here.</p><script>var a = '<p>no</p>';", "Words stay here."), ("<article><p>One<br>two<br/>three.</p><?php x ?></article>", "One two three."),
     ("<article><p>Café &amp; b&eacute;b&eacute; &nosuch; &#x41;&#66;.</p></article>", "Café & bébé &nosuch; AB."), ("<ARTICLE><P CLASS=lead>Upper case tags.<P>And two.</ARTICLE>", "Upper case tags.\nAnd two."),
     ("<article><table><tr><td>One cell<td>Another cell<tr><td>Third cell</table></article>", "One cell\nAnother cell\nThird cell"), ("<article><xmp><b>shown</b> as it is</xmp></article>", "<b>shown</b> as it is"), ("<article><p>Ends in a tag <b", "Ends in a tag"),
-    ("", ""), ("no markup", ""), ("<", ""), ("\0", ""),
+    ("", ""), ("no markup", "no markup"), ("<", "<"), ("<nav><a href=x>one</a></nav>", ""),
 ])
 def test_pages_of_any_kind(page, wanted):
-    got = "\n".join(h.main_blocks(page))
-    assert got == wanted or (wanted == "" and len(page) < 10)
+    assert "\n".join(h.main_blocks(page)) == wanted
 
 
 @pytest.mark.parametrize("page", ["<b>{n}</i>{n}", "<b>{n}<hr>{n}", "<div>x {n}", "<div>x{n}</div>{n}", "<p a=\"{n}", "<p a='x {n}", "<title>{n}", "<textarea>x{n}", "<!--{n}", "<a{n}", "<table><tbody>{n}<hr>{n}", "<p>word and word. {n}", "<p>Some words here.</p><a href=x>link</a>{n}", "<article><p>Some words here.</p></article><nav>x</nav>{n}"])
@@ -68,22 +67,73 @@ def test_articles_of_made_pages(spark):
         assert r.text == pages[1 if r.page_id is None else r.page_id][1]
 
 
+TWO = ["The council met on Monday evening and agreed the budget for the year.", "No one spoke against it, and the meeting ended before eight o'clock."]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in TWO)
+
+
+@pytest.mark.parametrize("page", [
+    "<nav><a href=/>x</a></nav><div class='content has-sidebar'><article>{}</article></div>", "<div class='content has-sidebar'>{}</div>", "<main class='layout sidebar-right'>{}</main>",
+    "<div id=page class=no-menu><article>{}</article></div>", "<article class='post print-article'>{}</article>", "<section class=legal-news>{}</section>", "<section class=legal-news><article>{}</article></section>",
+    "<div class=popular-science>{}</div>", "<div class=popular-science><main>{}</main></div>", "<form id=aspnetForm>{}</form>", "<form id=aspnetForm><nav><a href=/>Home</a></nav><main>{}</main><footer>Us</footer></form>",
+    "<article><div class=print-hidden-not>{}</div></article>", "<main><article>{}</article><div class=related><article><a href=/a>More of it</a></article></div></main>",
+    "<article>{}</article><div class=kommentare><p>I do not agree with any of this at all, it was a bad idea.</p><p>Me neither.</p></div><div class=werbung><p>Buy our new shoes now and save.</p></div>",
+    "<article>{}</article><section class=comments><article class=comment><p>I do not agree with any of this at all, it was a bad idea and I said so.</p></article></section>",
+])
+def test_names_of_wrappers_do_not_decide(page):
+    assert h.main_blocks(page.format(PARAGRAPHS)) == TWO
+
+
+def test_short_paragraphs_and_inline_labels():
+    assert h.main_blocks("<div><p>Yes.</p><p>No one came to the meeting that night.</p></div>") == ["Yes.", "No one came to the meeting that night."]
+    assert h.main_blocks("<article><p>The council <label>approved</label> the budget on Monday.</p></article>") == ["The council approved the budget on Monday."]
+
+
+def unnamed_page(rng):
+    """A page whose classes are random letters, and the text of its article."""
+    name = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 8)))
+    wanted, body = [], []
+    many = rng.randrange(4, 10)
+    for k in range(many):
+        wanted.append(sentence(rng, rng.choice([4, 15, 30, 50])) if rng.random() < 0.85 else sentence(rng, 3)[:-1])
+        body.append(rng.choice([f"<p class={name()}>{{}}</p>", "<p>{}</p>", f"<div class={name()}>{{}}</div>"]).format(wanted[-1]))
+        if rng.random() < 0.15 and k < many - 1:  # a link between paragraphs is the article's
+            wanted.append(sentence(rng, 5))
+            body.append(f"<p class={name()}><a href=/y>{wanted[-1][:-1]}</a>.</p>")
+        if rng.random() < 0.2:
+            body.append(rng.choice(["<aside><p>{}</p></aside>", "<form><button>{}</button></form>", "<nav><a href=/x>{}</a></nav>"]).format(sentence(rng, 6)))
+    links = lambda: f"<ul class={name()}>" + "".join(f"<li class={name()}><a href=/x>{sentence(rng, rng.randrange(1, 5))}</a>" for _ in range(rng.randrange(3, 9))) + "</ul>"
+    around = [links(), f"<div class={name()}><a href=/x>{sentence(rng, 4)}</a></div>", f"<div class={name()}><p>{sentence(rng, 9)}</p></div>", f"<div class={name()}><p>{sentence(rng, 12)}</p><p>{sentence(rng, 5)}</p></div>"]
+    rng.shuffle(around)
+    at = rng.randrange(1, 4)
+    article = rng.choice(["<article class={}>{}</article>", "<main><div class={}>{}</div></main>", "<div class={}><div>{}</div></div>", "<section class={}>{}</section>"]).format(name(), "".join(body))
+    return f"<body><div class={name()}>{''.join(around[:at])}{article}{''.join(around[at:])}</div><footer>{sentence(rng, 5)}</footer></body>", wanted
+
+
+def test_unnamed_pages_need_classifier_and_cut():
+    """Over 300 pages with random class names: 95 % of the texts are exact, and fewer are without the weights of the text's
+    features or without the smoothness."""
+    rng, exact, weightless, cutless, moved = random.Random(21), 0, 0, 0, [0, 0]
+    for _ in range(320):
+        page, wanted = unnamed_page(rng)
+        read = h._Page()
+        read.read(page)
+        kept, without, apart = h.main_blocks(page), h.main_blocks(page, (0.0, 0.0, 0.0, 0.0)), [b[1] for b, c in zip(read.blocks, h.costs(read)) if c > 0]
+        exact, weightless, cutless = exact + (kept == wanted), weightless + (without == wanted), cutless + (apart == wanted)
+        moved = [moved[0] + (without != kept), moved[1] + (apart != kept)]
+    print(exact, weightless, cutless, moved)
+    assert exact >= 304 and weightless < exact and cutless < exact - 32 and min(moved) >= 16
+
+
 def test_labels_are_of_least_cost_among_all():
     rng = random.Random(12)
     for _ in range(80):
         page = made_page(rng)[0] if rng.random() < 0.5 else "".join(rng.choice(["<p>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "<a href=x>", "</a>"]) + sentence(rng, rng.randrange(1, 9)) for _ in range(8))
-        blocks = h._Page().read(page)
+        read = h._Page()
+        blocks = read.read(page)
         if not 1 <= len(blocks) <= 12:
             continue
         weights = tuple(rng.uniform(-2, 2) for _ in range(4))
-        costs, edges, last = [h.cost(*b, weights) for b in blocks], [], {}
-        for i, (element, _, _) in enumerate(blocks):
-            if i:
-                edges.append((i - 1, i, h.ADJACENT / max(1, h.distance(blocks[i - 1][0], element))))
-            parent = id(element.parent or element)
-            if parent in last:
-                edges.append((last[parent], i, h.SIBLING))
-            last[parent] = i
+        costs, edges = h.costs(read, weights), h.ties(read)
 
         def price(keep):
             return sum(-c for c, k in zip(costs, keep) if k) + sum(w for a, b, w in edges if keep[a] != keep[b])
