@@ -28,7 +28,7 @@ MANIFEST = "file string, part int, place int, docs long, tokens long, before lon
 #: Bytes of frames, and documents, after which a task begins another shard.
 SHARD_BYTES, SHARD_DOCS = 64 << 20, 1 << 18
 #: Words, and pieces of words, whose ids a Python worker remembers at most (or those of one batch).
-REMEMBER = 400_000
+REMEMBER = 700_000
 
 
 def open_store(uri: str):
