@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 DECISIONS = ("APPROVE", "REVIEW", "REJECT")
 SEVERITIES = ("INFO", "WARNING", "BLOCKING")
 ISSUES = (
-    "MISSING_CRITICAL_FIELD", "INVALID_UNIT", "SUSPICIOUS_UNIT", "INVALID_STATUS", "AMBIGUOUS_DESCRIPTION", "MISSING_TECHNICAL_ATTRIBUTE",
-    "POSSIBLE_DUPLICATE", "CLASSIFICATION_CONFLICT",
+    "MISSING_CRITICAL_FIELD", "MISSING_TECHNICAL_ATTRIBUTE", "INVALID_UNIT", "INVALID_STATUS", "SUSPICIOUS_UNIT", "POSSIBLE_DUPLICATE",
+    "AMBIGUOUS_DESCRIPTION", "CLASSIFICATION_CONFLICT",
 )
 SOURCES = ("RULE", "VALIDATION", "DUPLICATE", "LLM")
 HUMAN_DECISIONS = ("APPROVE", "REJECT", "REQUEST_CORRECTION")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import domain as d
 from ..functions import text as t
-from ..operators import contracts, decisions, duplicates, evaluation, log, projection, records, reviews, rules
+from ..operators import contracts, decisions, duplicates, evaluation, log, measures, projection, records, reviews, rules
 from ..sources import files
+from ..sources.logstore import AuditStore, LifecycleStore
 from ..storage import new_path
+from ..streaming.admission import admit_stream
+from ..streaming.states import StateTable, follow
 from ..streaming.workflows import run_to_end
 from .bindings import labels, lifecycle, materials
 
@@ -34,10 +38,16 @@ def _micros(c: str) -> Column:
 
 
 def scan_materials(spark, sf):
-    """Materials and labels as CSV and back."""
+    """Materials and labels as CSV and back: names that differ in case only, and every fifth row with a value too many."""
     path = new_path(spark, "csv")
     rows = materials(spark, sf).join(labels(spark, sf), "ord")
-    rows.write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    names = ("ord", *d.FIELDS, d.LABEL)
+    line = F.concat_ws(",", *map(quoted, names), F.lit("other"), F.when(F.col("ord") % 5 == 0, "surplus"))
+    head = ",".join((*names, "Material_ID"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("ord")) == 1
+    rows = rows.withColumns({"line": line, "file": F.col("ord") % 7})
+    rows.select("file", F.when(first, F.concat(F.lit(head + "\n"), F.col("line"))).otherwise(F.col("line"))).write.partitionBy("file").text(path)
     return files.read_materials(spark, path, order="ord").select("ord", *d.FIELDS, d.LABEL)
 
 
@@ -149,16 +159,28 @@ def evidence_long(spark, sf):
 
 
 def evidence_invariants(spark, sf):
-    """Evidence with a fault by the row's number: the first invariant that it breaks."""
-    n = F.col("ord") % 7
-    one = F.struct(
-        F.when(n == 1, "other").otherwise(F.col("material_id")).alias("material_id"), F.when(n == 2, "NONE").otherwise("RULE").alias("source"), F.when(n == 3, "NONE").otherwise("INVALID_UNIT").alias("issue_type"),
-        F.when(n == 4, "").otherwise("o").alias("observation"), F.when(n == 5, "NONE").otherwise("WARNING").alias("severity"),
-    )
-    rows = materials(spark, sf).withColumn("evidence", F.when(n == 6, F.array().cast("array<struct<material_id:string,source:string,issue_type:string,observation:string,severity:string>>")).otherwise(F.array(one)))
+    """Collections of two items with faults by the row's number: the first invariant that is broken, item by item."""
+    n = F.col("ord") % 13
+    at = lambda k, bad, good: F.when(n.isin(*k), bad).otherwise(good)
+    fields = lambda m, source, issue, said, severity: F.struct(m.alias("material_id"), source.alias("source"), issue.alias("issue_type"), said.alias("observation"), severity.alias("severity"))
+    one = fields(at((1, 8), "other", F.col("material_id")), at((2,), "NONE", "RULE"), at((3, 9), "NONE", "INVALID_UNIT"), at((4, 9), "", "o"), at((5, 10), "NONE", "WARNING"))
+    two = fields(at((11,), "", F.col("material_id")), at((8, 10), "NONE", "LLM"), F.lit("INVALID_STATUS"), at((7,), "", "p"), at((12,), None, "BLOCKING"))
+    none = F.array().cast("array<struct<material_id:string,source:string,issue_type:string,observation:string,severity:string>>")
+    rows = materials(spark, sf).withColumn("evidence", F.when(n == 6, none).otherwise(F.array(one, two)))
     return rows.select("material_id", F.coalesce(decisions.evidence_violation(F.col("material_id"), F.col("evidence")), F.lit("ok")).alias("violation"))
 
 
+def recommendation_invariants(spark, sf):
+    """Recommendations with faults by the row's number: the first invariant that is broken."""
+    n = F.col("ord") % 9
+    rows = decisions.recommend(_evidence(spark, sf).withColumn("ord", F.expr("cast(substring(material_id, 5) as long)")))
+    broken = decisions.recommendation_violation(
+        F.when(n.isin(1, 5), "").otherwise(F.col("material_id")), F.when(n.isin(2, 5), "MAYBE").otherwise(F.col("decision")), F.when(n.isin(3, 6), "").otherwise(F.col("rationale")),
+        F.when(n.isin(4, 6), False).when(n == 7, None).otherwise(F.col("requires_human_decision")),
+    )
+    return rows.select("material_id", F.coalesce(broken, F.lit("ok")).alias("violation"))
+
+
 def recommend(spark, sf):
     return decisions.recommend(_evidence(spark, sf)).select("material_id", "decision", "rationale")
 
@@ -187,13 +209,6 @@ def eval_errors(spark, sf):
 # Model output
 
 
-def llm_schema(spark, sf):
-    """The fields of the contract that a provider is given."""
-    schema = contracts.output_schema()
-    rows = [(k, p["type"], p.get("items", p).get("type"), k in schema["required"], "|".join(p.get("items", p).get("enum", [])), schema["additionalProperties"]) for k, p in schema["properties"].items()]
-    return spark.createDataFrame(rows, "field string, type string, item_type string, required boolean, known string, more boolean")
-
-
 def llm_prompt(spark, sf):
     return materials(spark, sf).select("material_id", t.prompt().alias("prompt"))
 
@@ -303,7 +318,12 @@ def audit_by_material(spark, sf):
 
 
 def audit_by_event(spark, sf):
-    return log.by_event(audit_events(spark, sf).withColumn("seq", F.expr("cast(substring(review_id, 3) as long)")), "EC-10-1").select("event_id", "review_id", "actor_id")
+    """Audit events appended to a store, and the one whose id comes first."""
+    store = AuditStore(spark, new_path(spark, "audit"))
+    rows = audit_events(spark, sf).select("event_id", "event_type", "material_id", "actor_id", "review_id", F.timestamp_micros("occurred_us").alias("occurred_at"))
+    store.append(rows.withColumn("seq", F.expr("cast(substring(review_id, 3) as long)")))
+    first = store.events().agg(F.min("event_id")).first()[0]
+    return store.by_event(first).select("event_id", "review_id", "actor_id")
 
 
 def _audit_lines(spark, sf):
@@ -329,6 +349,66 @@ def _log(spark, sf):
     return log.accepted(lifecycle(spark, sf))
 
 
+def _store(spark, sf):
+    """The lifecycle events in a store, appended in three batches that each go on with the same workflows."""
+    events, store = lifecycle(spark, sf), LifecycleStore(spark, new_path(spark, "store"))
+    place = F.col("seq") % 1000
+    for part in (place <= 1, (place > 1) & (place <= 3), place > 3):
+        store.append(events.where(part))
+    return store
+
+
+def log_store_append(spark, sf):
+    return _store(spark, sf).outcomes().select("seq", "outcome")
+
+
+def log_store_lookups(spark, sf):
+    """Lookups of a store after its batches were compacted, and before."""
+    store = _store(spark, sf)
+
+    def found(turn):
+        parts = {
+            "by_event": store.by_event("EO-100"), "by_workflow": store.by_workflow("WF-100"), "by_material": store.by_material("MAT-7"), "opened_by_event": store.opened_by_event("EO-100"),
+            "opened_by_workflow": store.opened_by_workflow("WF-100"), "opened_by_material": store.opened_by_material("MAT-7"), "opened": store.opened(), "listed": store.listed(),
+        }
+        for name, rows in parts.items():
+            yield rows.select(F.lit(turn).alias("turn"), F.lit(name).alias("lookup"), "event_id", "kind", "workflow_id", "material_id")
+
+    before = list(found("batches"))
+    store.compact()
+    return reduce(DataFrame.unionAll, [*before, *found("compacted")])
+
+
+def log_admission_stream(spark, sf):
+    """The events as a stream of batches, stopped after the first and started again."""
+    path, events = new_path(spark, "stream"), lifecycle(spark, sf).withColumn("event_at", F.col("event_at").cast("timestamp"))
+    store, place = LifecycleStore(spark, f"{path}/store"), F.col("seq") % 1000
+    for n, part in enumerate((place <= 1, (place > 1) & (place <= 3), place > 3)):
+        events.where(part).write.mode("append").parquet(f"{path}/in")
+        if n != 1:
+            admit_stream(spark.readStream.schema(events.schema).parquet(f"{path}/in"), store, "events", f"{path}/checkpoint").awaitTermination()
+    return store.outcomes().select("seq", "outcome")
+
+
+def workflow_state_table(spark, sf):
+    """The states after the same stream, as a table that followed it: with its snapshot and the changes after that."""
+    path, events = new_path(spark, "stream"), lifecycle(spark, sf).withColumn("event_at", F.col("event_at").cast("timestamp"))
+    store, states, place = LifecycleStore(spark, f"{path}/store"), StateTable(spark, f"{path}/states", compact_every=2), F.col("seq") % 1000
+    for part in (place <= 1, (place > 1) & (place <= 3), place > 3):
+        events.where(part).write.mode("append").parquet(f"{path}/in")
+        follow(spark.readStream.schema(events.schema).parquet(f"{path}/in"), store, states, "events", f"{path}/checkpoint").awaitTermination()
+    return _state(states.snapshot())
+
+
+def specialist_measures(spark, sf):
+    """Each conclusion's review against the last assessment of its material by then."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    decided = F.when(F.col("o_orderstatus") == "O", "REVIEW").when(F.col("o_orderstatus") == "F", "REJECT").otherwise("APPROVE")
+    assessed = orders.select(F.concat(F.lit("MAT-"), F.col("o_custkey").cast("string")).alias("material_id"), F.col("o_orderdate").alias("assessed_at"), decided.alias("decision"), F.col("o_orderpriority").alias("group"))
+    ends = lifecycle(spark, sf).where("kind = 'CONCLUDED'").select("material_id", F.col("event_at").alias("reviewed_at"), "human_decision")
+    return measures.specialist_measures(measures.as_of(assessed, ends))
+
+
 def log_by_material(spark, sf):
     return log.by_material(_log(spark, sf), "MAT-7").select("seq", "event_id", "kind")
 
@@ -448,11 +528,11 @@ def log_read_failclosed(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        scan_materials, report_lines, evidence_invariants, llm_schema, log_read_audit, log_read_lifecycle, log_read_failclosed, log_opened_by_event, log_opened_by_workflow, log_opened_by_material, log_all_events,
+        scan_materials, report_lines, evidence_invariants, recommendation_invariants, log_read_audit, log_read_lifecycle, log_read_failclosed, log_opened_by_event, log_opened_by_workflow, log_opened_by_material, log_all_events,
         text_normalize, text_numeric_tokens, text_word_tokens, text_category, text_material_numbers, completeness, completeness_custom, issues_long, dup_part_branch,
         dup_lexical_branch, dup_candidates, dup_against_catalog, assess, evidence_long, recommend, recommend_long, decision_counts, eval_report, eval_errors, llm_prompt,
         llm_contract, llm_identity_guard, llm_evidence, llm_recommend, review_validate, review_agreement, audit_events, audit_by_material, audit_by_event, audit_roundtrip, review_event_consistency,
-        log_admission, log_by_material, log_by_workflow, log_by_event, log_opened_all, workflow_state, workflow_pending, workflow_conclude, history_violations, workflow_state_stream, lifecycle_roundtrip,
+        log_admission, log_store_append, log_store_lookups, log_admission_stream, workflow_state_table, specialist_measures, log_by_material, log_by_workflow, log_by_event, log_opened_all, workflow_state, workflow_pending, workflow_conclude, history_violations, workflow_state_stream, lifecycle_roundtrip,
     )
 } | {
     "rule_required": _rule(rules.required_issues),

@@ -144,7 +144,7 @@ SELECT workflow_id, material_id, decision, CASE WHEN end_us IS NULL THEN '{d.PEN
 _BROKEN = f"""l AS ({_L}), x AS (SELECT seq, kind, workflow_id, seq % 23 AS n FROM l),
       y AS (SELECT *, CASE n WHEN 1 THEN 'malformed' WHEN 2 THEN 'schema_version is not 1' WHEN 3 THEN 'workflow_id is missing'
         WHEN 4 THEN CASE kind WHEN 'OPENED' THEN 'opened_at is no time with an offset' ELSE 'review.reviewer_identity.verified_at is no time with an offset' END
-        WHEN 5 THEN CASE kind WHEN 'OPENED' THEN 'event_type is unknown' ELSE 'malformed' END ELSE 'ok' END AS violation FROM x)"""
+        WHEN 5 THEN CASE kind WHEN 'OPENED' THEN 'event_type is unknown' ELSE 'ok' END ELSE 'ok' END AS violation FROM x)"""
 
 _RULE = "WITH {f} SELECT material_id, issue_type, field_name, message, severity FROM ({rule})"
 
@@ -192,7 +192,7 @@ SQL: dict[str, str] = {
     "audit_events": f"""WITH {_REVIEWS} SELECT event_id, '{d.AUDIT_EVENT}' AS event_type, material_id, specialist_id AS actor_id, review_id, epoch_us(event_at) AS occurred_us, {_AGREES} AS agrees_with_system,
       CAST(fixed AS BIGINT) AS correction_count, human_decision, decision AS system_recommendation FROM v WHERE violation = 'ok'""",
     "audit_by_material": f"WITH {_REVIEWS} SELECT event_id, review_id FROM v WHERE violation = 'ok' AND material_id = 'MAT-7'",
-    "audit_by_event": f"WITH {_REVIEWS} SELECT event_id, review_id, specialist_id AS actor_id FROM v WHERE violation = 'ok' AND event_id = 'EC-10-1' ORDER BY seq LIMIT 1",
+    "audit_by_event": f"WITH {_REVIEWS} SELECT event_id, review_id, specialist_id AS actor_id FROM v WHERE violation = 'ok' ORDER BY encode(event_id), seq LIMIT 1",
     "log_read_audit": f"""WITH {_REVIEWS}, e AS (SELECT event_id, min(seq) AS seq, arg_min(review_id, seq) AS review_id, epoch_us(arg_min(event_at, seq)) AS occurred_us FROM v WHERE violation = 'ok' GROUP BY event_id)
       SELECT row_number() OVER (ORDER BY seq) AS line_no, event_id, review_id, occurred_us FROM e""",
     "log_read_lifecycle": f"WITH {_ADMITTED} SELECT row_number() OVER (ORDER BY seq) AS line_no, event_id, kind, workflow_id FROM ok",
@@ -202,19 +202,39 @@ SQL: dict[str, str] = {
     "log_all_events": f"WITH {_ADMITTED} SELECT seq, event_id, kind, workflow_id, material_id FROM ok",
     "scan_materials": f"SELECT m.ord, {', '.join('m.' + c for c in d.FIELDS)}, expected_issue FROM ({_M}) m JOIN ({_LABELS}) l ON m.ord = l.ord",
     "report_lines": f"""{_ALL} SELECT material_id, printf('%-11s | %-7s | %10.2f | %9.2f | %s', material_id, decision, completeness, {_CONFIDENCE}, CASE issues WHEN '' THEN 'VALID' ELSE replace(issues, '|', ',') END) AS line FROM a""",
-    "evidence_invariants": f"""SELECT material_id, CASE ord % 7 WHEN 1 THEN 'evidências de outro material' WHEN 2 THEN 'source inválido' WHEN 3 THEN 'issue_type inválido' WHEN 4 THEN 'observation não pode ser vazia'
-      WHEN 5 THEN 'severity inválida' ELSE 'ok' END AS violation FROM ({_M}) m""",
-    "llm_schema": f"""SELECT * FROM (VALUES ('material_id', 'string', 'string', true, '', false), ('decision', 'string', 'string', true, '{"|".join(d.DECISIONS)}', false), ('confidence', 'number', 'number', true, '', false),
-      ('issues', 'array', 'string', true, '{"|".join(d.ISSUES)}', false), ('summary', 'string', 'string', true, '', false), ('evidence', 'array', 'string', true, '', false)) x(field, type, item_type, required, known, more)""",
+    "evidence_invariants": f"""SELECT material_id, CASE ord % 13 WHEN 1 THEN 'evidências de outro material' WHEN 2 THEN 'source inválido' WHEN 3 THEN 'issue_type inválido' WHEN 4 THEN 'observation não pode ser vazia'
+      WHEN 5 THEN 'severity inválida' WHEN 7 THEN 'observation não pode ser vazia' WHEN 8 THEN 'source inválido' WHEN 9 THEN 'issue_type inválido' WHEN 10 THEN 'severity inválida' WHEN 11 THEN '{d.EMPTY_ID}'
+      WHEN 12 THEN 'severity inválida' ELSE 'ok' END AS violation FROM ({_M}) m""",
+    "recommendation_invariants": f"""SELECT material_id, CASE WHEN ord % 9 IN (1, 5) THEN '{d.EMPTY_ID}' WHEN ord % 9 = 2 THEN 'decision inválida' WHEN ord % 9 IN (3, 6) THEN 'rationale vazio'
+      WHEN ord % 9 IN (4, 7) THEN 'falta a decisão humana' ELSE 'ok' END AS violation FROM ({_M}) m""",
     "audit_roundtrip": f"WITH {_REVIEWS} SELECT review_id, 'ok' AS violation, true AS same FROM v WHERE violation = 'ok'",
     "review_event_consistency": f"WITH {_REVIEWS} SELECT review_id, event_id, 'actor_id' AS violation FROM v WHERE violation = 'ok' AND review_id LIKE '%7'",
     "log_admission": f"WITH {_ADMITTED} SELECT seq, outcome FROM adm",
+    "log_store_append": f"WITH {_ADMITTED} SELECT seq, outcome FROM adm",
+    "log_admission_stream": f"WITH {_ADMITTED} SELECT seq, outcome FROM adm",
+    "log_store_lookups": f"""WITH {_ADMITTED}, x AS (
+      SELECT 'by_event' AS lookup, * FROM ok WHERE event_id = 'EO-100' UNION ALL SELECT 'by_workflow', * FROM ok WHERE workflow_id = 'WF-100' UNION ALL SELECT 'by_material', * FROM ok WHERE material_id = 'MAT-7'
+      UNION ALL SELECT 'opened_by_event', * FROM ok WHERE kind = 'OPENED' AND event_id = 'EO-100' UNION ALL SELECT 'opened_by_workflow', * FROM ok WHERE kind = 'OPENED' AND workflow_id = 'WF-100'
+      UNION ALL SELECT 'opened_by_material', * FROM ok WHERE kind = 'OPENED' AND material_id = 'MAT-7' UNION ALL SELECT 'opened', * FROM ok WHERE kind = 'OPENED' UNION ALL SELECT 'listed', * FROM ok)
+      SELECT turn, lookup, event_id, kind, workflow_id, material_id FROM x, (VALUES ('batches'), ('compacted')) t(turn)""",
     "log_by_material": f"WITH {_ADMITTED} SELECT seq, event_id, kind FROM ok WHERE material_id = 'MAT-7'",
     "log_by_workflow": f"WITH {_ADMITTED} SELECT seq, event_id, kind FROM ok WHERE workflow_id = 'WF-100'",
     "log_by_event": f"WITH {_ADMITTED} SELECT seq, event_id, workflow_id FROM ok WHERE event_id = 'EO-100' ORDER BY seq LIMIT 1",
     "log_opened_all": f"WITH {_ADMITTED} SELECT seq, event_id, workflow_id, material_id FROM ok WHERE kind = 'OPENED'",
     "workflow_state": _STATE,
     "workflow_state_stream": _STATE,
+    "workflow_state_table": _STATE,
+    "specialist_measures": f"""WITH l AS ({_L}),
+      a AS (SELECT 'MAT-' || CAST(o_custkey AS VARCHAR) AS material_id, o_orderdate AS assessed_at, max({{'d': CASE o_orderstatus WHEN 'O' THEN 'REVIEW' WHEN 'F' THEN 'REJECT' ELSE 'APPROVE' END, 'g': o_orderpriority}}) AS said FROM orders GROUP BY ALL),
+      j AS (SELECT said.d AS decision, said.g AS "group", human_decision, {_AGREES.replace("decision = ", "said.d = ").replace("human_said.d", "human_decision")} AS alike FROM (SELECT * FROM l WHERE kind = 'CONCLUDED') r ASOF JOIN a ON r.material_id = a.material_id AND r.event_at >= a.assessed_at)
+      SELECT CASE grouping_id("group", decision) WHEN 0 THEN 'group and decision' WHEN 1 THEN 'group' WHEN 2 THEN 'decision' ELSE 'all' END AS "of", "group", decision, count(*) AS reviewed,
+        count(*) FILTER (alike) AS agreed, coalesce(count(*) FILTER (alike) / CAST(nullif(count(*), 0) AS DOUBLE), 0) AS accuracy,
+        count(*) FILTER (decision = 'REVIEW') AS to_review, coalesce(count(*) FILTER (decision = 'REVIEW') / CAST(nullif(count(*), 0) AS DOUBLE), 0) AS review_rate,
+        count(*) FILTER (decision = 'APPROVE' AND human_decision <> 'APPROVE') AS false_accepts,
+        coalesce(count(*) FILTER (decision = 'APPROVE' AND human_decision <> 'APPROVE') / CAST(nullif(count(*) FILTER (decision = 'APPROVE'), 0) AS DOUBLE), 0) AS false_accept_rate,
+        count(*) FILTER (decision = 'REJECT' AND human_decision = 'APPROVE') AS false_rejects,
+        coalesce(count(*) FILTER (decision = 'REJECT' AND human_decision = 'APPROVE') / CAST(nullif(count(*) FILTER (decision = 'REJECT'), 0) AS DOUBLE), 0) AS false_reject_rate
+      FROM j GROUP BY GROUPING SETS (("group", decision), ("group"), (decision), ())""",
     "workflow_pending": f"WITH {_ADMITTED} SELECT workflow_id, material_id, decision, '{d.PENDING}' AS status, epoch_us(event_at) AS opened_us FROM ok WHERE kind = 'OPENED'",
     "workflow_conclude": f"""WITH l AS ({_L}), o AS (SELECT * FROM l WHERE kind = 'OPENED'),
       e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) AS n FROM l WHERE kind = 'CONCLUDED') WHERE n = 1),

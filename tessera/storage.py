@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def open_store(uri: str):
+    """The pyarrow file system of a folder and its path there, for worker functions that read or write files themselves."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: its lineage is cut and a lost executor costs no
     recomputation. ``compact``, for what a cheap last step makes of few bytes: no more tasks and files than cores."""
@@ -39,6 +56,11 @@ def materialise(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     return out
 
 
+def bounded_broadcast(table: DataFrame, most_rows: int = 300_000) -> DataFrame:
+    """A hint to broadcast a materialised table of narrow rows, only if it has at most ``most_rows``; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= most_rows else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing will read again."""
     for t in tables:

@@ -130,3 +130,25 @@ def test_output_evidence_needs_equal_lengths(spark):
     rows = spark.createDataFrame([("a", ["INVALID_UNIT"], ["x", "y"])], "m string, i array<string>, e array<string>")
     with pytest.raises(PySparkException, match="same length"):
         rows.select(decisions.output_evidence(F.col("m"), F.col("i"), F.col("e"))).collect()
+
+
+ITEM = {"material_id": "M", "source": "RULE", "issue_type": "INVALID_UNIT", "observation": "o", "severity": "WARNING"}
+
+
+@pytest.mark.parametrize(("owner", "items", "wanted"), [
+    ("M", [], None), ("M", [{}], None), ("", [], d.EMPTY_ID), ("", [{}], d.EMPTY_ID), ("M", [{"material_id": ""}], d.EMPTY_ID), ("M", [{"material_id": "N"}], "evidências de outro material"),
+    ("M", [{"source": "x", "observation": ""}], "source inválido"), ("M", [{"issue_type": None, "observation": ""}], "issue_type inválido"), ("M", [{"observation": "", "severity": "x"}], "observation não pode ser vazia"),
+    ("M", [{"severity": "x"}, {"source": "x"}], "severity inválida"), ("M", [{"material_id": "N"}, {"severity": None}], "severity inválida"), ("", [{"severity": "x"}], "severity inválida"),
+])
+def test_items_are_judged_one_by_one_before_their_collection(spark, owner, items, wanted):
+    schema = "owner string, evidence array<struct<material_id:string,source:string,issue_type:string,observation:string,severity:string>>"
+    row = spark.createDataFrame([(owner, [tuple((ITEM | x).values()) for x in items])], schema)
+    assert row.select(decisions.evidence_violation(F.col("owner"), F.col("evidence"))).first()[0] == wanted
+
+
+@pytest.mark.parametrize(("change", "wanted"), [
+    ({}, None), ({"m": "", "d": "x"}, d.EMPTY_ID), ({"d": "x", "r": ""}, "decision inválida"), ({"d": None}, "decision inválida"), ({"r": "", "h": False}, "rationale vazio"), ({"h": False}, "falta a decisão humana"), ({"h": None}, "falta a decisão humana"),
+])
+def test_recommendation_invariants(spark, change, wanted):
+    row = spark.createDataFrame([tuple(({"m": "M", "d": "REVIEW", "r": "r", "h": True} | change).values())], "m string, d string, r string, h boolean")
+    assert row.select(decisions.recommendation_violation(*map(F.col, "mdrh"))).first()[0] == wanted

@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.operators import contracts, records
+from tessera.operators.provider import ask_once
 
 GOOD = {"material_id": "M1", "decision": "REVIEW", "confidence": 0.5, "issues": ["INVALID_UNIT"], "summary": "s", "evidence": ["e"]}
 
@@ -38,10 +40,10 @@ def test_schema_lists_all_keys():
     assert s["required"] == list(GOOD) == list(s["properties"]) and s["additionalProperties"] is False and s["properties"]["confidence"]["maximum"] == 1
 
 
-def test_provider_and_identity_guard(spark):
+def test_provider_and_identity_guard(spark, tmp_path):
     from tests.test_assess import frame
 
-    asked = contracts.ask_provider(frame(spark, {"material_id": "A"}, {"material_id": "B"}), lambda prompt, schema: json.dumps(GOOD | {"material_id": "A"}))
+    asked = ask_once(frame(spark, {"material_id": "A"}, {"material_id": "B"}), lambda prompt, schema: json.dumps(GOOD | {"material_id": "A"}), str(tmp_path / "answers"))
     loose = {r.material_id: r.violation for r in contracts.analyze_outputs(asked.select("material_id", "raw"), strict=False).collect()}
     assert loose["A"] is None and loose["B"] == "identity: expected B, received A"
     with pytest.raises(PySparkException, match="identity"):
@@ -114,3 +116,27 @@ def test_records_round_trip(spark):
     row = records.lifecycle_records(raw.select(records.opened_json(iso(at)).alias("raw"))).first()
     assert row.violation is None and row.event.rationale == "ç" and row.event.evidence[0].observation == "o" and row.event.event_at.microsecond == 500_000
     assert list(json.loads(row.raw)) == sorted(json.loads(row.raw))
+
+
+def test_of_repeated_keys_the_last_counts(spark):
+    """As ``json.loads`` has it: generated objects with keys repeated at the top and below."""
+    rng = random.Random(4)
+    texts, wanted = [], []
+    for i in range(60):
+        pairs = [(k, json.dumps(v)) for k, v in GOOD.items()]
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.choice(list(GOOD))
+            pairs.insert(rng.randrange(len(pairs)), (k, rng.choice(["null", "7", '"MAYBE"', '"REVIEW"', "0.25", "[]", '["x"]', '{"a": 1, "a": 2}'])))
+        texts.append((i, "{" + ", ".join(f"{json.dumps(k)}: {v}" for k, v in pairs) + "}"))
+        last = json.loads(texts[-1][1])
+        wanted.append(next(iter(spark_fault(spark, json.dumps(last)))))
+    rows = spark.createDataFrame(texts, "i long, raw string").withColumns(contracts.validate_output("raw"))
+    spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    assert [r.violation for r in rows.orderBy("i").collect()] == wanted and None in wanted and len(set(wanted)) > 2
+    twice = json.dumps(OPENED)[:-1] + ', "workflow_id": "last", "recommendation": ' + json.dumps({**OPENED["recommendation"], "material_id": "N", "evidence": []}) + "}"
+    got = records.lifecycle_records(spark.createDataFrame([(twice,)], "raw string")).first()
+    assert got.violation is None and got.event.workflow_id == "last" and got.event.material_id == "N"
+
+
+def spark_fault(spark, raw):
+    return [r.violation for r in spark.createDataFrame([(raw,)], "raw string").withColumns(contracts.validate_output("raw")).collect()]

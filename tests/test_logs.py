@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import log, projection, reviews
 from tessera.sources import files
+from tessera.sources.logstore import LifecycleStore
 from tests.test_contracts import AUDIT, CONCLUDED, OPENED, changed
 
 SCHEMA = "seq long, event_id string, workflow_id string, kind string, material_id string, decision string, human_decision string, event_at timestamp"
@@ -56,24 +57,16 @@ def test_admission_equals_the_fold(spark, ids):
 
 
 def test_append_and_query(spark, tmp_path):
-    path = str(tmp_path / "log")
-    first = files.append_events(spark, path, spark.createDataFrame(CASES[1:2], SCHEMA))
+    store = LifecycleStore(spark, str(tmp_path / "log"))
+    first = store.append(spark.createDataFrame(CASES[1:2], SCHEMA))
     assert [r.outcome for r in first.collect()] == ["ok"]
-    second = files.append_events(spark, path, spark.createDataFrame([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED", day=5)], SCHEMA))
+    second = store.append(spark.createDataFrame([event(1, "o", "w", "OPENED"), event(2, "c", "w", "CONCLUDED", day=5)], SCHEMA))
     assert {r.seq: r.outcome for r in second.collect()} == {1: "dup", 2: "ok"}
-    stored = spark.read.parquet(path)
+    stored = store.events()
     assert [r.event_id for r in log.by_workflow(stored, "w").collect()] == ["o", "c"] and log.by_event(stored, " o").count() == 0
     assert [r.event_id for r in log.listed(stored).collect()] == ["o", "c"] and log.opened(stored).count() == 1 and log.by_material(stored, "M").count() == 2
 
 
-def test_append_audit(spark, tmp_path):
-    path = str(tmp_path / "audit")
-    rows = lambda *x: spark.createDataFrame([(i, e, "M") for i, e in enumerate(x, 1)], "seq long, event_id string, material_id string")
-    assert [r.outcome for r in files.append_audit(spark, path, rows("a", "b", "a")).orderBy("seq").collect()] == ["ok", "ok", "dup"]
-    assert [r.outcome for r in files.append_audit(spark, path, rows("b", "c")).orderBy("seq").collect()] == ["dup", "ok"]
-    assert [(r.seq, r.event_id) for r in spark.read.parquet(path).orderBy("seq").collect()] == [(1, "a"), (2, "b"), (4, "c")]
-
-
 def test_read_logs_whole_or_not_at_all(spark, tmp_path):
     at = tmp_path / "log.jsonl"
     assert files.read_lifecycle_log(spark, str(at)).count() == 0

@@ -1,0 +1,75 @@
+import json
+import os
+import uuid
+
+import pytest
+
+from tessera.operators import contracts, provider
+from tests.test_assess import frame
+from tests.test_contracts import GOOD
+
+
+def counting(folder, fail_on=None):
+    """A provider that leaves a file for each call; fails on one prompt, as long as a file says so."""
+
+    def call(prompt, schema):
+        assert set(schema["properties"]) == set(GOOD)
+        said = prompt.split("material_id: ")[1].split("\n")[0]
+        if fail_on == said and os.path.exists(f"{folder}/down"):
+            raise RuntimeError("provider is down")
+        with open(f"{folder}/{said}-{uuid.uuid4().hex}", "w"):
+            pass
+        return json.dumps(GOOD | {"material_id": said})
+
+    return call
+
+
+def calls(folder):
+    return sorted(x.split("-")[0] for x in os.listdir(folder) if "-" in x)
+
+
+@pytest.fixture
+def log(tmp_path):
+    (tmp_path / "calls").mkdir()
+    return tmp_path / "calls"
+
+
+def test_one_call_a_material_over_actions_and_runs(spark, tmp_path, log):
+    rows = frame(spark, *({"material_id": f"M{i}"} for i in range(30)), {"material_id": "M3"})
+    out = provider.ask_once(rows, counting(str(log)), str(tmp_path / "answers"))
+    assert out.count() == 31 and out.where("raw is null").count() == 0
+    assert {(r.material_id, json.loads(r.raw)["material_id"]) for r in out.collect()} == {(f"M{i}", f"M{i}") for i in range(30)}
+    assert calls(log) == sorted(f"M{i}" for i in range(30))
+    more = frame(spark, *({"material_id": f"M{i}"} for i in range(28, 33)))
+    assert provider.ask_once(more, counting(str(log)), str(tmp_path / "answers")).count() == 5
+    assert calls(log) == sorted(f"M{i}" for i in range(33))
+    assert contracts.analyze_outputs(out).where("violation is not null").count() == 0
+
+
+def test_a_failed_run_goes_on_where_it_ended(spark, tmp_path, log):
+    (log / "down").touch()
+    rows = frame(spark, *({"material_id": f"M{i}"} for i in range(40)))
+    ask = lambda: provider.ask_once(rows, counting(str(log), "M17"), str(tmp_path / "answers"), tasks=4, at_once=2)
+    with pytest.raises(Exception, match="provider is down"):
+        ask()
+    before = calls(log)
+    assert before and "M17" not in before and provider.answers(spark, str(tmp_path / "answers")).count() == 0
+    os.remove(log / "down")
+    assert ask().count() == 40 and calls(log) == sorted(f"M{i}" for i in range(40))
+    assert not os.path.exists(tmp_path / "answers" / "journal")
+
+
+def test_a_lost_tasks_answers_are_found_again(tmp_path, log):
+    """The worker function by itself: it is stopped in the middle and run again over all prompts."""
+    import pandas as pd
+
+    asked = pd.DataFrame({"asked": [f"{i:02x}" * 32 for i in range(25)], "prompt": [f"material_id: M{i}\n" for i in range(25)]})
+    run = provider._call(str(tmp_path / "answers"), counting(str(log)), contracts.output_schema(), 1)
+    first = next(run(iter([asked])))
+    assert len(first) == 10 == len(calls(log))
+    whole = pd.concat(list(run(iter([asked]))))
+    assert len(whole) == 25 and calls(log) == sorted(f"M{i}" for i in range(25)) and json.loads(whole.raw.iloc[7])["material_id"] == "M7"
+
+
+def test_no_materials(spark, tmp_path, log):
+    assert provider.ask_once(frame(spark, {}).limit(0), counting(str(log)), str(tmp_path / "answers")).count() == 0

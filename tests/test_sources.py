@@ -53,11 +53,6 @@ def test_a_folder_of_any_files_is_no_log(spark, tmp_path):
         files.read_audit_log(spark, str(tmp_path))
 
 
-def test_append_audit_rejects_what_is_no_event(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a", "M"), (2, " ", "M"), (3, "b", None), (4, None, "M")], "seq long, event_id string, material_id string")
-    assert {r.seq: r.outcome for r in files.append_audit(spark, str(tmp_path / "a"), rows).collect()} == {1: "ok", 2: "invalid", 3: "invalid", 4: "invalid"}
-
-
 def test_lookups(spark):
     rows = [(1, "o", "w", "OPENED", "M"), (2, "c", "w", "CONCLUDED", "M")]
     stored = spark.createDataFrame(rows, "seq long, event_id string, workflow_id string, kind string, material_id string")
