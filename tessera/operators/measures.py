@@ -44,7 +44,7 @@ def specialist_measures(judged: DataFrame) -> DataFrame:
     ``reviewed``; ``agreed`` and ``accuracy``, the share that the specialist decided alike; ``to_review`` and ``review_rate``,
     the share that was sent to review; ``false_accepts`` and ``false_accept_rate``, approved ones that the specialist did not
     approve, of the approved; ``false_rejects`` and ``false_reject_rate``, rejected ones that the specialist approved, of the
-    rejected. Shares of nothing are 0."""
+    rejected. Shares of nothing are 0; without a judged recommendation there is no row."""
     rows = judged.where("decision is not null").withColumns(
         {
             "alike": agrees(F.col("decision"), F.col("human_decision")).cast("long"), "sent": (F.col("decision") == "REVIEW").cast("long"), "yes": (F.col("decision") == "APPROVE").cast("long"), "no": (F.col("decision") == "REJECT").cast("long"),
