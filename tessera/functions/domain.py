@@ -66,6 +66,14 @@ RATIONALE = {
 }
 EMPTY_ID = "material_id não pode ser vazio"
 
+# Words of the report.
+REPORT_HEAD, REPORT_RULE = "material_id | decisão | completude | confiança | alertas", "-" * 78
+REPORT_TITLE, REPORT_ERRORS, REPORT_DECISIONS = "Métricas do baseline", "- Erros:", "- Decisões: %s"
+REPORT_MEASURES = (
+    ("- Registros: %d", "total"), ("- Acertos: %d", "correct"), ("- Correspondência exata: %.1f%%", "exact_match_accuracy"), ("- Cobertura do rótulo esperado: %.1f%%", "label_hit_rate"),
+    ("- Precisão de duplicidade: %.1f%%", "duplicate_precision"), ("- Recall de duplicidade: %.1f%%", "duplicate_recall"),
+)
+
 # Weights of the evaluation and confidences of the decision.
 COST_MISSED_DUPLICATE, COST_NEEDLESS_REVIEW = 5, 1
 SURE_APPROVE, SURE_REJECT, REVIEW_FROM, REVIEW_STEP, REVIEW_LEAST = 0.95, 0.98, 0.85, 0.08, 0.55
