@@ -64,7 +64,10 @@ class Encoder:
         self.end, self.run, self.merge = self._packed([end]), re.compile(f"{LETTERS}+").fullmatch, self.of.model.tokenize
         if by_word:
             letters = [chr(i) for i in range(256) if self.run(chr(i))]
+            self.specials = [x.content.encode() for x in self.of.get_added_tokens_decoder().values()]
             self.form = str.maketrans({c: "".join(x for x, _ in self.of.pre_tokenizer.pre_tokenize_str(self.of.normalizer.normalize_str(c))) for c in letters})
+            # Where the tokenizer makes all letters small itself, that is done to A-Z first: fewer words are distinct.
+            self.lowers = all(self.form[ord(c)] == c.lower() for c in letters if c.isascii())
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -74,21 +77,30 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """A call of the library costs more than a word, so all new pieces that aren't letters go to it at once."""
-        pieces, cuts = self.pieces, [self.cut(w.decode()) for w in words]
+        pieces, cuts = self.pieces, [[w.decode()] if w.isalpha() else self.cut(w.decode()) for w in words]  # bytes: A-Z, a-z
         new = set().union(*cuts).difference(pieces) if cuts else set()
         if len(pieces) + len(new) > REMEMBER:
             pieces.clear()
             new = set().union(*cuts)
-        plain = [x for x in new if self.run(x)]
-        other = [x for x in new if not self.run(x)]
-        pieces.update((x, self._packed([t.id for t in self.merge(x.translate(self.form))])) for x in plain)
+        other, merge, form, lowers = [], self.merge, self.form, self.lowers
+        for x in new:
+            if x.isascii() and x.isalpha() and lowers:
+                pieces[x] = self._packed([t.id for t in merge(x.lower())])
+            elif self.run(x):
+                pieces[x] = self._packed([t.id for t in merge(x.translate(form))])
+            else:
+                other.append(x)
         pieces.update(zip(other, self._ids(other)))
-        self.known.update((w, b"".join([pieces[x] for x in cut])) for w, cut in zip(words, cuts))
+        self.known.update((w, pieces[cut[0]] if len(cut) == 1 else b"".join([pieces[x] for x in cut])) for w, cut in zip(words, cuts))
+
+    def _small(self, text: bytes) -> bytes:
+        """Special tokens are told by their case, so a text with their first characters stays as it is."""
+        return text.lower() if self.lowers and not any(x[:2] in text for x in self.specials) else text
 
     def encode(self, data: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [ids + self.end for ids in self._ids([t.decode() for t in data])]
-        split = [t.split() for t in data]  # at ASCII white space only
+        split = [self._small(t).split() for t in data]  # bytes: at ASCII white space, A-Z
         have = set().union(*split)
         if len(self.known) + len(have) > REMEMBER:
             self.known.clear()
