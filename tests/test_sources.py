@@ -34,6 +34,21 @@ def test_lifecycle_lines_are_admitted(spark, tmp_path):
     assert [(r.seq, r.kind) for r in files.read_lifecycle_log(spark, path).orderBy("seq").collect()] == [(1, "OPENED")]
 
 
+def test_a_log_without_its_store_is_adopted(spark, tmp_path):
+    """Batches that were written before there was a store, and one of a writer that never committed."""
+    path = tmp_path / "log"
+    for i, e in enumerate((OPENED, CONCLUDED)):
+        (path / f"batch-{i:08d}").mkdir(parents=True)
+        (path / f"batch-{i:08d}" / "part-0.txt").write_text(json.dumps(e) + "\n")
+    (path / "_index").mkdir()
+    assert files.read_lifecycle_log(spark, str(path)).count() == 2
+    more = changed(changed(OPENED, "event_id", "n"), "workflow_id", "v")
+    assert {r.seq: r.outcome for r in files.append_lifecycle_lines(spark, str(path), lines(spark, OPENED, more)).collect()} == {1: "dup", 2: "ok"}
+    (path / "batch-00000009").mkdir()
+    (path / "batch-00000009" / "part-0.txt").write_text("never committed\n")
+    assert [(r.seq, r.event_id) for r in files.read_lifecycle_log(spark, str(path)).orderBy("seq").collect()] == [(1, "e1"), (2, "e2"), (3, "n")]
+
+
 def test_lines_are_numbered_over_splits(spark, tmp_path):
     at = tmp_path / "log.jsonl"
     at.write_text("".join(json.dumps(changed(AUDIT, "event_id", f"e{i}")) + "\n" for i in range(500)))
