@@ -2,56 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import domain as d
-from ..operators.log import fold
-
-STATE = "opened string, concluded boolean, ids array<string>, open_at timestamp, end_at timestamp, material_id string, decision string, human_decision string"
-OUTPUT = "workflow_id string, material_id string, decision string, status string, opened_at timestamp, closed_at timestamp, lead_time_us long, human_decision string, n_rejected long"
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (wf,) = key
-    opened, concluded, ids = {}, set(), {}
-    _, ended, known, open_at, end_at, material, decided, human = state.get if state.exists else (None, False, [], None, None, None, None, None)
-    for i in known:
-        ids[i] = (len(ids),)
-    if open_at is not None:
-        opened[wf] = (material, decided, pd.Timestamp(open_at), 0)
-    if ended:
-        concluded.add(wf)
-    events = pd.concat(list(frames)).sort_values("seq")
-    said = fold(events[["event_id", "workflow_id", "kind", "material_id", "decision", "event_at"]].itertuples(index=False, name=None), opened, concluded, ids)
-    took = events[[x == "ok" for x in said]]
-    for e in took.itertuples():
-        if e.kind == "OPENED":
-            open_at, material, decided = e.event_at, e.material_id, e.decision
-        else:
-            end_at, human = e.event_at, e.human_decision
-    state.update((wf, wf in concluded, list(ids), _plain(open_at), _plain(end_at), material, decided, human))
-    if open_at is not None:
-        lead = None if end_at is None else int((pd.Timestamp(end_at) - pd.Timestamp(open_at)) / pd.Timedelta(microseconds=1))
-        row = (wf, material, decided, d.PENDING if end_at is None else d.REVIEWED, open_at, end_at, lead, human, len(said) - len(took))
-        out = pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        out["lead_time_us"] = out["lead_time_us"].astype("Int64")
-        out["closed_at"] = pd.to_datetime(out["closed_at"])
-        yield out
 
 
-def _plain(t):
-    return None if t is None else pd.Timestamp(t).to_pydatetime()
+def _accepted_first(events: Column, test) -> Column:
+    return F.get(F.filter(events, test), F.lit(0))
 
 
 def workflow_states(events: DataFrame) -> DataFrame:
     """The state of every workflow that a micro-batch changes, in update mode. Events of one workflow are admitted in the
     order of ``seq`` within a batch, and batches in theirs. Event ids are unique within a workflow here; ids that cross
-    workflows need the batch admission."""
-    return events.groupBy("workflow_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    workflows need the batch admission.
+
+    The state of a workflow is the list of its events, kept by Spark's streaming aggregation. A workflow accepts its first
+    opening and the first conclusion after that which fits it, so two looks through the list in its order are the fold.
+    Batches are told apart by Spark's time of the batch, which is in the checkpoint and the same when a batch is run again; a
+    clock that is set back between two batches would put them in the wrong order."""
+    one = F.struct("arrived", "seq", "kind", "event_id", "material_id", "decision", "human_decision", F.col("event_at").cast("timestamp").alias("event_at"))
+    all_ = events.withColumn("arrived", F.current_timestamp()).groupBy("workflow_id").agg(F.collect_list(one).alias("events"))
+    all_ = all_.withColumn("events", F.sort_array("events"))
+    all_ = all_.withColumn("open", _accepted_first(F.col("events"), lambda e: e["kind"] == "OPENED")).where("open is not null")
+    o = {k: F.col(f"open.{k}") for k in ("arrived", "seq", "event_id", "material_id", "decision", "event_at")}
+
+    def fits(e: Column) -> Column:
+        later = (e["arrived"] > o["arrived"]) | ((e["arrived"] == o["arrived"]) & (e["seq"] > o["seq"]))
+        same = e["material_id"].eqNullSafe(o["material_id"]) & e["decision"].eqNullSafe(o["decision"]) & ~e["event_id"].eqNullSafe(o["event_id"])
+        return ~e["kind"].eqNullSafe("OPENED") & later & same & F.coalesce(e["event_at"] >= o["event_at"], F.lit(True))
+
+    all_ = all_.withColumn("end", _accepted_first(F.col("events"), fits)).withColumn("now", F.element_at("events", -1)["arrived"])
+    took = sum((F.coalesce(F.col(f"{x}.arrived") == F.col("now"), F.lit(False)).cast("long") for x in ("open", "end")), F.lit(0))
+    came = F.size(F.filter("events", lambda e: e["arrived"] == F.col("now"))).cast("long")
+    return all_.select(
+        "workflow_id", "open.material_id", "open.decision", F.when(F.col("end").isNull(), d.PENDING).otherwise(d.REVIEWED).alias("status"), F.col("open.event_at").alias("opened_at"),
+        F.col("end.event_at").alias("closed_at"), F.timestamp_diff("MICROSECOND", F.col("open.event_at"), F.col("end.event_at")).alias("lead_time_us"), F.col("end.human_decision").alias("human_decision"),
+        (came - took).alias("n_rejected"),
+    )
 
 
 def run_to_end(events: DataFrame, path: str) -> None:

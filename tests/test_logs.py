@@ -148,3 +148,27 @@ def test_read_materials(spark, tmp_path):
         (tmp_path / "more" / f"{i}.csv").write_text("material_id\nx\n")
     with pytest.raises(ValueError, match="order"):
         files.read_materials(spark, str(tmp_path / "more"))
+
+
+def test_stream_state_runs_no_python_and_equals_the_fold(spark, tmp_path):
+    """Random histories in batches cut anywhere: the state after each, and how many events it rejected, are the fold's."""
+    from tessera.streaming.workflows import run_to_end, workflow_states
+
+    rng, at = random.Random(5), str(tmp_path / "in")
+    pick = lambda *x: rng.choice(x)
+    rows = [event(i, f"e{pick(*range(12))}", f"w{pick(*range(6))}", pick("OPENED", "CONCLUDED", "CONCLUDED"), material=pick("M", "M", "N"), decision=pick("REVIEW", "REVIEW", "REJECT"), day=pick(1, 2, 3)) for i in range(90)]
+    rows = [(r[0], f"{r[2]}-{r[1]}", *r[2:]) for r in rows]  # ids of one workflow each
+    opened, concluded, ids, last = {}, set(), {}, {}
+    for n, batch in enumerate((rows[:20], rows[60:], rows[20:60])):
+        frame = spark.createDataFrame(batch, SCHEMA)
+        frame.write.mode("append").parquet(at)
+        run_to_end(spark.readStream.schema(frame.schema).parquet(at), str(tmp_path / "run"))
+        said = log.fold([tuple(r[i] for i in (1, 2, 3, 4, 5, 7)) for r in batch], opened, concluded, ids)
+        for wf in {r[2] for r in batch} & set(opened):
+            last[wf] = (n, wf in concluded, sum(s != "ok" for r, s in zip(batch, said) if r[2] == wf))
+    got = spark.read.parquet(str(tmp_path / "run" / "states")).groupBy("workflow_id").agg(F.max(F.struct("batch", (F.col("status") == "REVIEWED").alias("ended"), "n_rejected")).alias("s")).collect()
+    assert {r.workflow_id: tuple(r.s) for r in got} == last and len(concluded) > 1
+    seen = []
+    run = workflow_states(spark.readStream.schema(frame.schema).parquet(at)).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.append(b._jdf.queryExecution().executedPlan().toString() if b.count() else "")).option("checkpointLocation", str(tmp_path / "plan")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert seen and not any("Python" in p or "InPandas" in p for p in seen)
