@@ -152,3 +152,23 @@ def test_items_are_judged_one_by_one_before_their_collection(spark, owner, items
 def test_recommendation_invariants(spark, change, wanted):
     row = spark.createDataFrame([tuple(({"m": "M", "d": "REVIEW", "r": "r", "h": True} | change).values())], "m string, d string, r string, h boolean")
     assert row.select(decisions.recommendation_violation(*map(F.col, "mdrh"))).first()[0] == wanted
+
+
+def test_flag_equals_candidates_and_makes_no_pairs(spark):
+    rng = random.Random(9)
+    pick = lambda *x: rng.choice(x)
+    rows = [dict(material_id=f"M{rng.randrange(12)}", description_short=pick("", "TUBO", "10 POL", "POLEGADAS 10 20") + pick("", " 10 20", " 20 30", " 10 30"), manufacturer=pick("", "A"), manufacturer_part_number=pick("", "", "P"), material_group=pick("", "G")) for _ in range(70)]
+    m = frame(spark, *rows)
+    for existing in (None, frame(spark, *rows[:9])):
+        whole, flag = decisions.assess(m, existing), decisions.assess(m, existing, candidates=False)
+        assert flag.columns == [c for c in whole.columns if c != "duplicate_candidates"]
+        got = {r.ord: r for r in flag.collect()}
+        assert got == {r.ord: r for r in whole.drop("duplicate_candidates").collect()} and {r.issues[-1].issue_type == "POSSIBLE_DUPLICATE" if r.issues else False for r in got.values()} == {True, False}
+    assert "collect_list" not in decisions.assess(m, candidates=False)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_are_compared_as_one_class(spark):
+    """60 copies of each of two texts: 7,140 pairs, four pairs of classes; no join is of a record with a record."""
+    own = duplicates.duplicate_features(rules.with_features(frame(spark, *[dict(material_id=f"M{i}", description_short=("TUBO 10 20", "TUBO 10 20 30")[i % 2]) for i in range(120)])))
+    assert duplicates._class_pairs(own, own, True, "PL").count() == 4
+    assert duplicates.duplicate_pairs(own, own).count() == 120 * 119 // 2
