@@ -273,18 +273,10 @@ def _distinct_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(kept, "bucket")
 
 
-def _buckets(rep: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(bucket, id, fp)`` of classes ``(id, fp, anchors)``: a bucket for each anchor; in place of one with more rows than
-    a tile, which boilerplate makes, a bucket for each pair of its anchor with another of the class. And the table to discard."""
-    own = materialise(_distinct_buckets(rep.select("id", "fp", "anchors", F.explode("anchors").alias("bucket"))), "anchored", True)
-    single, hot = own.where(F.col("n") <= TILE), own.where(F.col("n") > TILE)
-    if hot.isEmpty():
-        return own.select("bucket", "id", "fp"), own
-    pairs = hot.select("id", "fp", F.explode("anchors").alias("other"), F.col("bucket").alias("own")).where("other <> own")
-    pairs = pairs.select("id", "fp", F.xxhash64(F.least("own", "other"), F.greatest("own", "other")).alias("bucket")).distinct()
-    out = materialise(single.select("bucket", "id", "fp").union(_distinct_buckets(pairs).select("bucket", "id", "fp")), "buckets", True)
-    discard(own)
-    return out, out
+def _buckets(rep: DataFrame) -> DataFrame:
+    """``(bucket, id, fp)`` of classes ``(id, fp, anchors)``: a bucket for each anchor, whatever its size; ``_in_tiles`` deals
+    out those that boilerplate makes large."""
+    return materialise(_distinct_buckets(rep.select("id", "fp", F.explode("anchors").alias("bucket"))).select("bucket", "id", "fp"), "buckets", True)
 
 
 def near_duplicates(
@@ -296,8 +288,7 @@ def near_duplicates(
 
     Texts with the same lower-cased words are one class from the start. Two documents are compared where they share
     one of ``anchors`` minimal shingles, which a pair of the least similarity fails to do with probability
-    (1 - similarity)**anchors (0.2**8 = 3e-6); in the bucket of a shingle that more than a tile of classes have, where
-    they share another too (8e-5 for pairs that share no other bucket). Bit-sliced SimHash then leaves pairs within
+    (1 - similarity)**anchors (0.2**8 = 3e-6), however many others share it: a large bucket is compared tile by tile. Bit-sliced SimHash then leaves pairs within
     ``radius`` bits (a pair at 0.8 differs in 10 bits, one in 10,000 in over 20), and their shingle sets decide. Null and
     empty texts are copies of one another. Repeated rows stay rows; a null doc_id keeps its row and names a component
     (as null, with its tid) only where no row has an id. Other columns are not read. No rows, no result.
@@ -306,7 +297,7 @@ def near_duplicates(
     sketch = materialise(_sketch(given, shingle_words, anchors), "sketch")
     named = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")
     rep = materialise(sketch.groupBy("digest").agg(F.min(named).alias("least"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")).withColumn("id", F.xxhash64("digest")), "rep", True)
-    rows, bucket_table = _buckets(rep.select("id", "fp", F.array_sort(F.array_distinct("anchors")).alias("anchors")))
+    rows = _buckets(rep.select("id", "fp", F.array_sort(F.array_distinct("anchors")).alias("anchors")))
 
     def partners(batches):
         def of_tile(t):
@@ -347,7 +338,7 @@ def near_duplicates(
         yield from _tiles(batches, of_tile)
 
     roots = connected_components(_in_tiles(close.join(sets, "id")).mapInArrow(links, "a long, b long"))
-    discard(bucket_table, close, wanted, sets)
+    discard(rows, close, wanted, sets)
     rooted = materialise(rep.select("digest", "least", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named", True)
     least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component")), "least", True)
     names = materialise(rooted.join(least, "root").select("digest", "component"), "names", True)

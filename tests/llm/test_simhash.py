@@ -140,3 +140,13 @@ def test_near_duplicates_under_a_common_line(spark, tile, monkeypatch):
     want = classes(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     got = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_buckets_do_not_depend_on_their_size(spark, monkeypatch):
+    """Classes that share one anchor alone meet, however many have it."""
+    rep = spark.createDataFrame([(i, i, [1, 100 + i]) for i in range(20)] + [(50, 50, [2, 3]), (51, 51, [3, 4])], "id long, fp long, anchors array<long>")
+    got = []
+    for tile in (4096, 3):
+        monkeypatch.setattr(s, "TILE", tile)
+        got.append({(r.bucket, r.id) for r in s._buckets(rep).select("bucket", "id").collect()})
+    assert got[0] == got[1] == {(1, i) for i in range(20)} | {(3, 50), (3, 51)}
