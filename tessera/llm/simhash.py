@@ -123,25 +123,55 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
+def _low(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _may_reach(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets of ``others`` may be so similar to ``own``; never leaves out one that is. Of each shingle hash its ``_low``
+    bits are given; shingles count as shared where these are, which is as often or more often than they are."""
+    size = np.array([len(x) for x in others])
+    mark = np.zeros(1 << 16, bool)
+    mark[own] = True
+    shared = np.append(0, np.cumsum(mark[np.concatenate(others)], dtype=np.int32))
+    end = np.cumsum(size)
+    common = shared[end] - shared[end - size]
+    rest = len(own) + size - common
+    return (rest == 0) | (common >= similarity * (1 - 1e-9) * rest)
+
+
 def _link_tile(ids, fps, own, radius, sets=None, similarity=0.0):
     """Star edges of the forest that the links of a tile form. ``own``: which of the two chunks a row is from.
 
     With ``sets``, a pair within the radius is a link only if its shingle sets are at least so similar; pairs that
-    are joined already are not looked at again.
+    are joined already are not looked at again. A row's sets are compared with one pass over those it may be joined to,
+    so only pairs that are similar, but for chance, are compared one by one.
     """
     label = np.arange(len(ids))
+    low = [_low(x) for x in sets or ()]
     a = np.flatnonzero(own == own.min())
     b = np.flatnonzero(own != own.min())
-    b = b if len(b) else a
+    one = not len(b)
+    b = a if one else b
     for i, j in neighbours(fps[a], fps[b], radius):
         i, j = a[i], b[j]
-        i, j = i[(keep := i != j)], j[keep]
-        if sets is not None and len(i):
-            for k in np.argsort(np.bitwise_count(fps[i] ^ fps[j]), kind="stable"):
-                if label[i[k]] != label[j[k]] and _jaccard(sets[i[k]], sets[j[k]]) >= similarity:
-                    merge_labels(label, i[k : k + 1], j[k : k + 1])
+        i, j = i[(keep := i < j if one else i != j)], j[keep]
+        if sets is None:
+            merge_labels(label, i, j)
             continue
-        merge_labels(label, i, j)
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        edges = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else []
+        for x, y in zip(edges, np.append(edges[1:], len(i))):
+            row, others = i[x], j[x:y]
+            others = others[label[others] != label[row]]
+            for at in range(0, len(others), 512):
+                part = others[at : at + 512]
+                if len(part) > 4:
+                    part = part[_may_reach(low[row], [low[k] for k in part.tolist()], similarity)]
+                for k in part.tolist():
+                    if label[row] != label[k] and _jaccard(sets[row], sets[k]) >= similarity:
+                        merge_labels(label, np.array([row]), np.array([k]))
     leaf = np.flatnonzero(label != np.arange(len(ids)))
     return ids[leaf], ids[label[leaf]]
 

@@ -125,39 +125,44 @@ def _groups(batches):
         yield rest
 
 
-def _windows(packed: bytes, window: int) -> list[bytes]:
-    """The word sequences of all windows of a packed string, which are parts of it."""
-    spaces = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
-    starts, ends = np.append(0, spaces + 1), np.append(spaces, len(packed))
-    return [packed[x:y] for x, y in zip(starts[: len(starts) - window + 1].tolist(), ends[window - 1 :].tolist())]
+def _windows(packed: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the word sequences of all windows of a packed string begin and end in it."""
+    spaces = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32).astype(np.int32)
+    starts, ends = np.append(np.int32(0), spaces + np.int32(1)), np.append(spaces, np.int32(len(packed)))
+    return starts[: len(starts) - window + 1], ends[window - 1 :]
 
 
 def _repeats(group, window: int):
     """Rows ``(doc_id, tid, start, stop, digest)``: runs of window starts whose words also start in a smaller document
     of the group. The windows are sorted by a 128-bit digest of their words and then by document, so equal ones are
-    neighbours; that their words are equal is checked. A part of a hot minimiser's group also gives, with its digest,
+    neighbours; that their words are equal is checked. Windows are cut out of the packed strings when they are looked at, as
+    all of them are some 50 times the text. A part of a hot minimiser's group also gives, with its digest,
     each window of the least document here that has it: whether another part has a smaller one is left to tell."""
     import xxhash
 
     docs, tids, starts = (group.column(c).to_numpy() for c in ("doc_id", "tid", "start"))
     part, packed = group.column("salt")[0].as_py() > 0, group.column("packed").to_pylist()
     found = [_windows(x, window) for x in packed]
-    sizes = np.array([len(x) for x in found])
-    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in chain.from_iterable(found)), np.uint64).reshape(-1, 2)
-    row = np.repeat(np.arange(len(found)), sizes)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    sizes = np.array([len(x) for x, _ in found])
+    digests = bytearray()
+    for text, (x, y) in zip(packed, found):
+        digests += b"".join([xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(x.tolist(), y.tolist())])
+    digest = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+    row = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+    at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
     order = np.lexsort((docs[row], digest[:, 1], digest[:, 0]))
     digest, row, at = digest[order], row[order], at[order]
+    cut_out = lambda i: packed[row[i]][found[row[i]][0][at[i]] : found[row[i]][1][at[i]]]
     new = np.ones(len(row), bool)
     new[1:] = (digest[1:] != digest[:-1]).any(1)
     first = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
     later = docs[row] > docs[row[first]]
     if part:
-        for i in np.flatnonzero(~later).tolist():
+        for i in np.flatnonzero(~later):
             yield int(docs[row[i]]), int(tids[row[i]]), int(starts[row[i]] + at[i]), int(starts[row[i]] + at[i]) + 1, digest[i].tobytes()
     later = np.flatnonzero(later)
-    for i, j in zip(later.tolist(), first[later].tolist()):
-        if found[row[i]][at[i]] != found[row[j]][at[j]]:
+    for i, j in zip(later, first[later]):
+        if cut_out(i) != cut_out(j):
             raise ArithmeticError("two word sequences have one 128-bit digest")
     row, at = row[later], at[later]
     order = np.lexsort((at, row))

@@ -150,3 +150,30 @@ def test_buckets_do_not_depend_on_their_size(spark, monkeypatch):
         monkeypatch.setattr(s, "TILE", tile)
         got.append({(r.bucket, r.id) for r in s._buckets(rep).select("bucket", "id").collect()})
     assert got[0] == got[1] == {(1, i) for i in range(20)} | {(3, 50), (3, 51)}
+
+
+def test_only_pairs_that_may_be_similar_are_compared_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    base, sets = rng.integers(0, 2**63, 100, dtype=np.uint64), []
+    for _ in range(300):  # near copies, few of which are similar enough
+        x = base.copy()
+        n = rng.integers(0, 40)
+        x[rng.choice(100, n, replace=False)] = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets.append(np.unique(x[: rng.integers(90, 101)]))
+    sets[7] = sets[9] = np.empty(0, np.uint64)
+    fps, ids = s.fingerprints(sets), rng.permutation(300).astype(np.int64)
+    jaccard, calls = s._jaccard, []
+    monkeypatch.setattr(s, "_jaccard", lambda a, b: calls.append(1) or jaccard(a, b))
+    for own in (np.zeros(300, int), np.arange(300) % 2):
+        calls.clear()
+        leaf, root = s._link_tile(ids, fps, own, 22, sets, 0.8)
+        assert len(calls) < 2 * 300
+        label = np.arange(300)
+        for i in range(300):
+            for j in range(i):
+                meet = own[i] != own[j] or not own.any()
+                if meet and np.bitwise_count(fps[i] ^ fps[j]) <= 22 and jaccard(sets[i], sets[j]) >= 0.8:
+                    merge_labels(label, np.array([i]), np.array([j]))
+        want = np.flatnonzero(label != np.arange(300))
+        assert 50 < len(want) < 250
+        assert (leaf.tolist(), root.tolist()) == (ids[want].tolist(), ids[label[want]].tolist())

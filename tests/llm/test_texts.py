@@ -328,3 +328,19 @@ def test_multi_index_finds_all_within_the_radius(spark):
     pairs = [(r.w, r.item_id, r.distance) for r in got.collect()]
     want = [(w, i, ((fp ^ g) % 2**64).bit_count()) for w, fp, n in windows for i, g, m in items if n == m and ((fp ^ g) % 2**64).bit_count() <= 24]
     assert sorted(pairs) == sorted(want)
+
+
+def test_windows_of_a_group_are_not_all_cut_out_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = b" ".join(b"%d" % (i * 7919 % 10007) for i in range(650))
+    n, windows = 100, 601
+    group = pa.table({"mini": pa.array([1] * n), "salt": pa.array([1] * n, pa.int32()), "doc_id": pa.array(range(n)), "tid": pa.array([0] * n, pa.int32()), "start": pa.array([0] * n, pa.int32()), "packed": [text] * n})
+    tracemalloc.start()
+    found = sum((row[4] is None) * (row[3] - row[2]) for row in substrings._repeats(group, 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == (n - 1) * windows
+    assert peak < 200 * n * windows
