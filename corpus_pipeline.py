@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 REST = ("lang", "source", "n_chars")
 
+#: Rows of an Arrow batch: executors hold each whole, as do their Python workers, which look at so many at a time anyway.
+ARROW_ROWS = 500
+
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` but the rows with the id and text of one of ``gone(doc_id, tid)``."""
@@ -70,12 +75,23 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where("copies > 0").select(*COLUMNS, "size", "target", "copies", "taken")
 
 
+def _in_small_batches(stage):
+    """``stage`` with the session's Arrow batches of ``ARROW_ROWS``, as what it returns is written after it has returned."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", toxicity),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
+    ("toxicity", _in_small_batches(toxicity)),
+    ("near_dedup", _in_small_batches(near_dedup)),
+    ("substring_dedup", _in_small_batches(substring_dedup)),
+    ("decontamination", _in_small_batches(decontamination)),
+    ("mixing", _in_small_batches(mixing)),
 ]
 
 #: Trained scores and hashes are not for SQL; the stages are tested against brute force.

@@ -41,6 +41,26 @@ def small(batches, rows: int = 500, size: int = 8 << 20):
                 yield part
 
 
+def runs(batches, keys: tuple[str, ...]):
+    """The rows with the same ``keys``, run by run, of sorted Arrow batches: a list of slices, as a run may begin in one batch
+    and end in another. Slices are kept as they came, so a long run is copied by no batch that adds to it."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        cut = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()
+        for x, y in zip([0, *cut], [*cut, b.num_rows]):
+            key = tuple(c[x] for c in columns)
+            if held and key != last:
+                yield held
+                held = []
+            held.append(b.slice(x, y - x))
+            last = key
+    if held:
+        yield held
+
+
 def texts(batch, column: str = "text") -> list[bytes]:
     """The UTF-8 texts of an Arrow batch; null is empty."""
     import pyarrow as pa

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, discard, materialise, partitions, shingle_hashes, small, texts
+from .common import bounded_broadcast, discard, materialise, partitions, runs, shingle_hashes, small, texts
 from .components import connected_components, merge_labels
 
 #: Fingerprints in a tile; pairs of tiles share a task's memory of a few MB.
 TILE = 4096
+#: Words of 64 lanes whose pairs are spelt out at a time (65,536 pairs, a few MB).
+HITS = 1024
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -105,12 +107,14 @@ def neighbours(a: np.ndarray, b: np.ndarray, radius: int, step: int = 256):
         if not len(query):
             continue
         near = ~_exceeds(counter, over, radius)
-        hit = np.flatnonzero(near)
-        lanes = np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, lane = np.nonzero(lanes)
-        i, j = query[hit[row]] + at, word[hit[row]] * 64 + lane
-        ok = j < len(b)
-        yield i[ok], j[ok]
+        hits = np.flatnonzero(near)
+        for k in range(0, len(hits), HITS):  # among near copies every lane is a hit: a million pairs a step
+            hit = hits[k : k + HITS]
+            lanes = np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            row, lane = np.nonzero(lanes)
+            i, j = query[hit[row]] + at, word[hit[row]] * 64 + lane
+            ok = j < len(b)
+            yield i[ok], j[ok]
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -178,18 +182,9 @@ def _link_tile(ids, fps, own, radius, sets=None, similarity=0.0):
 
 def _tiles(batches, of_tile):
     """Call ``of_tile(table)`` for each run of rows with the same bucket and tile in sorted Arrow batches."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-        key = [table.column(c).to_numpy() for c in ("bucket", "t0", "t1")]
-        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-        edges = [0, *cut.tolist(), table.num_rows]
-        for x, y in zip(edges[:-2], edges[1:-1]):
-            if y - x > 1:
-                yield from of_tile(table.slice(x, y - x))
-        rest = table.slice(edges[-2]).combine_chunks() if table.num_rows else None
-    if rest is not None and rest.num_rows > 1:
-        yield from of_tile(rest)
+    for run in runs(batches, ("bucket", "t0", "t1")):
+        if len(run) > 1 or run[0].num_rows > 1:
+            yield from of_tile(pa.Table.from_batches(run))
 
 
 def _in_tiles(rows: DataFrame) -> DataFrame:
@@ -360,7 +355,7 @@ def near_duplicates(
     def links(batches):
         def of_tile(t):
             ids, fps, own = (t.column(c).to_numpy() for c in ("id", "fp", "own"))
-            own_sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            own_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
             u, v = _link_tile(ids, fps.view(np.uint64), own, radius, own_sets, similarity)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_broadcast, discard, materialise, partitions, small, texts
+from .common import bounded_broadcast, discard, materialise, partitions, runs, small, texts
 
 #: The filter of shared minimisers has at most so many bits (32 MB): a proven bound for what is broadcast.
 FILTER_BITS = 28
@@ -112,17 +112,9 @@ def _runs(batch, window: int, gram: int, hashes: _Hashes):
 def _groups(batches):
     """Runs of rows with the same minimiser and salt, of sorted Arrow batches, that hold more than one document or are
     part of a hot minimiser's."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-        mini, salt, doc = (table.column(c).to_numpy() for c in ("mini", "salt", "doc_id"))
-        edges = np.concatenate([[0], np.flatnonzero((mini[1:] != mini[:-1]) | (salt[1:] != salt[:-1])) + 1])
-        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if doc[x] != doc[y - 1] or salt[x]:
-                yield table.slice(x, y - x)
-        rest = table.slice(edges[-1]).combine_chunks() if table.num_rows else None
-    if rest is not None and rest.num_rows:
-        yield rest
+    for run in runs(batches, ("mini", "salt")):
+        if run[0]["doc_id"][0] != run[-1]["doc_id"][-1] or run[0]["salt"][0].as_py():
+            yield pa.Table.from_batches(run)
 
 
 def _windows(packed: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as cp
+import pyarrow as pa
 import pytest
 
 from .conftest import DOCS, clash, prose
@@ -78,3 +79,16 @@ def test_empty_documents(spark, tables, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{at}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_get_their_texts_in_small_batches(spark, tables):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    docs = spark.read.parquet(f"{tables[2]}/documents.parquet")
+    for _, stage in cp.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        stage(spark, docs, tables[2])
+        rows = spark.range(0, 2000, 1, 1).mapInArrow(sizes, "n long").collect()
+        assert sum(r.n for r in rows) == 2000 and max(r.n for r in rows) <= cp.ARROW_ROWS

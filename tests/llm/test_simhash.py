@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from tessera.llm import simhash as s
+from tessera.llm.common import runs
 from tessera.llm.components import connected_components, merge_labels
 
 from .conftest import clash
@@ -177,3 +179,26 @@ def test_only_pairs_that_may_be_similar_are_compared_one_by_one(monkeypatch):
         want = np.flatnonzero(label != np.arange(300))
         assert 50 < len(want) < 250
         assert (leaf.tolist(), root.tolist()) == (ids[want].tolist(), ids[label[want]].tolist())
+
+
+def test_pairs_of_near_copies_are_spelt_out_in_pieces():
+    a = np.arange(4096, dtype=np.uint64)  # all within 12 bits of one another
+    most = total = 0
+    for i, j in s.neighbours(a, a, 12):
+        most, total = max(most, len(i)), total + len(i)
+    assert total == 4096 * 4096 and most <= s.HITS * 64
+
+
+def test_runs_across_batches():
+    bucket = np.repeat([1, 2, 3, 3, 4, 9], [3, 1, 5, 1, 40, 2])
+    rows = pa.record_batch({"bucket": bucket, "t0": np.arange(52) // 26, "t1": np.zeros(52, int), "id": np.arange(52)})
+    want = []
+    for key in sorted(set(zip(bucket.tolist(), (np.arange(52) // 26).tolist()))):
+        want.append([i for i in range(52) if (bucket[i], i // 26) == key])
+    for step in (1, 3, 7, 60):
+        batches = [rows.slice(0, 0), *[rows.slice(i, step) for i in range(0, 52, step)], rows.slice(52)]
+        got = [[i for b in run for i in b["id"].to_pylist()] for run in runs(batches, ("bucket", "t0", "t1"))]
+        assert got == want
+        tiles = [t["id"].to_pylist() for t in s._tiles(batches, lambda t: [t])]
+        assert tiles == [x for x in want if len(x) > 1]
+    assert list(runs([], ("bucket",))) == list(s._tiles([rows.slice(0, 0)], lambda t: [t])) == []
