@@ -23,20 +23,29 @@ from .components import connected_components, merge_labels
 TILE = 4096
 #: Words of 64 lanes whose pairs are spelt out at a time (65,536 pairs, a few MB).
 HITS = 1024
+#: Shingles whose bits are counted at a time (3 MB).
+SHINGLES = 10_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """(n, 64): the bits of 64-bit numbers."""
+    return np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
     """One 64-bit fingerprint for each array of shingle hashes: a bit is 1 if set in over half of them; none: 0."""
     out = np.zeros(len(hashes), np.uint64)
     sizes = np.array([len(h) for h in hashes])
     at = 0
-    while at < len(hashes):  # a quarter of a million shingles at a time, or one text
-        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 250_000, "right")))
+    while at < len(hashes):  # so many shingles at a time, as their bits are counted as int32; a longer text in pieces
+        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SHINGLES, "right")))
         keep = np.flatnonzero(sizes[at:to]) + at
         if len(keep):
-            bits = np.unpackbits(np.concatenate([hashes[i] for i in keep]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, np.cumsum(sizes[keep]) - sizes[keep], axis=0, dtype=np.int32)
+            if sizes[at] > SHINGLES:
+                ones = sum(_bits(hashes[at][k : k + SHINGLES]).sum(0, dtype=np.int64, keepdims=True) for k in range(0, sizes[at], SHINGLES))
+            else:
+                ones = np.add.reduceat(_bits(np.concatenate([hashes[i] for i in keep])), np.cumsum(sizes[keep]) - sizes[keep], axis=0, dtype=np.int32)
             out[keep] = np.packbits(ones * 2 > sizes[keep][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         at = to
     return out

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -202,3 +204,14 @@ def test_runs_across_batches():
         tiles = [t["id"].to_pylist() for t in s._tiles(batches, lambda t: [t])]
         assert tiles == [x for x in want if len(x) > 1]
     assert list(runs([], ("bucket",))) == list(s._tiles([rows.slice(0, 0)], lambda t: [t])) == []
+
+
+def test_fingerprints_count_the_bits_of_few_shingles_at_a_time():
+    rng = np.random.default_rng(3)
+    hashes = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in [400] * 300 + [0, 1, 9_999, 10_000, 10_001, 250_000, 0, 7]]
+    tracemalloc.start()
+    got = s.fingerprints(hashes).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    assert got == [sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h)) for h in hashes]
